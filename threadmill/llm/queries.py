@@ -6,10 +6,10 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mix_sources
+from . import chat_format, exact_dedup, mix_sources, quality_fm, simhash_dedup
 from .scratch import Scratch
 
 
@@ -47,6 +47,24 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(folds: int) -> Column:
+    """Whether a document is held out from learning: crc32(doc_id as text) mod folds is 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
+
+
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_fm.train(docs, labels, learn=~held_out(5))
+    scored = quality_fm.score(docs, model)
+    return scored.select("doc_id", held_out(5).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = str(Path(__file__).resolve().parents[2])
     if top not in sys.path:
@@ -57,9 +75,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_fm": op2_quality_fm,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op8_chat_format": op8_chat_format,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
