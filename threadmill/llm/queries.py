@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mix_sources, quality_fm, simhash_dedup
+from . import chat_format, exact_dedup, mix_sources, quality_fm, rans_tokens, simhash_dedup
 from .scratch import Scratch
 
 
@@ -17,6 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark, _table(spark, sf_dir, "documents"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write all documents in the token format and read the files back."""
+    import public_tokenizers
+
+    folder = Scratch(spark, "token-files").path("corpus")
+    rans_tokens.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return rans_tokens.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark)
     judged = index.add(_table(spark, sf_dir, "documents"))
@@ -76,6 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_fm": op2_quality_fm,
+    "op3_rans_tokens": op3_rans_tokens,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op8_chat_format": op8_chat_format,

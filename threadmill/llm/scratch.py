@@ -51,7 +51,7 @@ class Scratch:
 
 def plan_bytes(df: DataFrame) -> int:
     """Estimated input size of a plan in bytes, from file sizes; 0 where the plan has no estimate."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 55 else 0
 
 

@@ -126,3 +126,51 @@ def sums_by(counts: np.ndarray, values: np.ndarray, dtype: type | None = None) -
     if full.any():
         out[full] = np.add.reduceat(values, (np.cumsum(counts) - counts)[full], axis=0, dtype=out.dtype)
     return out
+
+
+class KeyTable:
+    """Numbers 64-bit keys in the order in which they are first met; open addressing on whole arrays."""
+
+    def __init__(self, bits: int = 18):
+        self.count = 0
+        self._reset(bits)
+
+    def _reset(self, bits: int) -> None:
+        self.bits = bits
+        self.key = np.zeros(1 << bits, np.uint64)
+        self.number = np.full(1 << bits, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for keys that are not in the table."""
+        mask = (1 << self.bits) - 1
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.number[slot]
+        todo = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        at = slot[todo]
+        while len(todo):
+            at = (at + 1) & mask
+            got = self.number[at]
+            out[todo] = got
+            open_ = (got >= 0) & (self.key[at] != keys[todo])
+            todo, at = todo[open_], at[open_]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Add distinct keys that are not in the table."""
+        if 2 * (self.count + len(keys)) > 1 << self.bits:
+            full = self.number >= 0
+            old, numbers = self.key[full], self.number[full]
+            self._reset(max(self.bits + 1, int(2 * (self.count + len(keys))).bit_length() + 1))
+            self._place(old, numbers)
+        self._place(keys, np.arange(self.count, self.count + len(keys), dtype=np.int32))
+        self.count += len(keys)
+
+    def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.number[slot] < 0)
+            self.number[slot[free]] = numbers[free]
+            self.key[slot[free]] = keys[free]
+            lost = self.number[slot] != numbers
+            keys, numbers, slot = keys[lost], numbers[lost], (slot[lost] + 1) & mask
