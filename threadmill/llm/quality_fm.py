@@ -159,12 +159,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     return fit(np.array([got[i].label for i in order], np.float32), [rows[i] for i in order])
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``doc_id, score`` for every row of ``doc_id, text, n_chars``."""
+def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, score`` for every row, or the columns of ``keep`` and ``score``, of documents ``doc_id, text, n_chars``."""
+    own = docs.select(*[F.col(c) for c in keep or ["doc_id"]])
+    used = docs.select(F.struct(*[F.col(c) for c in own.columns]).alias("own"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
+    schema = own.schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
             y = np.zeros(rows.num_rows) if model is None else model.margin(*_features(data, offs, _declared(rows)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(y, -30, 30))), pa.float64())], ["doc_id", "score"])
+            mine = pa.RecordBatch.from_struct_array(rows.column(0))
+            yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(1 / (1 + np.exp(-np.clip(y, -30, 30))), pa.float64())], [*mine.schema.names, "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("n_chars").cast("double")).mapInArrow(run, "doc_id long, score double")
+    return used.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mix_sources, quality_fm, rans_tokens, simhash_dedup
+from . import chat_format, decontaminate, exact_dedup, mix_sources, quality_fm, rans_tokens, simhash_dedup
 from .scratch import Scratch
 
 
@@ -60,6 +60,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def held_out(folds: int) -> Column:
     """Whether a document is held out from learning: crc32(doc_id as text) mod folds is 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
@@ -88,12 +92,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_quality_fm": op2_quality_fm,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op8_chat_format": op8_chat_format,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
