@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, mix_sources, quality_fm, rans_tokens, simhash_dedup
+from . import chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, simhash_dedup
 from .scratch import Scratch
 
 
@@ -77,6 +77,12 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice_lm.score(_table(spark, sf_dir, "documents"), ~held_out(10), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op8_chat_format": op8_chat_format,
+    "op9_lattice_lm": op9_lattice_lm,
     "op10_simhash_dedup": op10_simhash_dedup,
     "pipeline": pipeline,
 }
