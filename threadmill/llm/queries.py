@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, simhash_dedup
+from . import chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, recompress_dedup, simhash_dedup
 from .scratch import Scratch
 
 
@@ -40,6 +40,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_recompress_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress_dedup.dedup(_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "\\### Assistant: </turn> ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rans_tokens": op3_rans_tokens,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_recompress_dedup": op6_recompress_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_simhash_dedup": op10_simhash_dedup,

@@ -140,10 +140,13 @@ class KeyTable:
         self.key = np.zeros(1 << bits, np.uint64)
         self.number = np.full(1 << bits, -1, np.int32)
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, -1 for keys that are not in the table."""
         mask = (1 << self.bits) - 1
-        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        slot = self._slot(keys)
         out = self.number[slot]
         todo = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
         at = slot[todo]
@@ -167,7 +170,7 @@ class KeyTable:
 
     def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         mask = (1 << self.bits) - 1
-        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        slot = self._slot(keys)
         while len(keys):
             free = np.flatnonzero(self.number[slot] < 0)
             self.number[slot[free]] = numbers[free]
