@@ -135,13 +135,13 @@ def _staged(docs: DataFrame, path: str, end_id: int, bounds: np.ndarray, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, held, size = encoder(path), [], 0
         kind = "<u2" if enc.size <= 1 << 16 else "<u4"
-        for rows, data, offs in slices(batches):
+        for rows, data, offs in slices(batches, limit=1 << 20):
             ids, count = enc.encode(data, offs)
             out = np.full(len(ids) + len(count), end_id, kind)
             out[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
             held.append((rows.column(0).fill_null(NO_ID).to_numpy(), count + 1, out))
             size += len(out)
-            if size > 8 << 20:
+            if size > 4 << 20:
                 yield flush(held)
                 held, size = [], 0
         if held:

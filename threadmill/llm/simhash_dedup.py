@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """``doc_id, fp`` (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in slices(batches):
+        for rows, data, offs in slices(batches, limit=2 << 20):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints_of(data, offs, shingle).view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
