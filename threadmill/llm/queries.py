@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, recompress_dedup, simhash_dedup
+from . import chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, recompress_dedup, simhash_dedup, suffix_dedup
 from .scratch import Scratch
 
 
@@ -44,6 +44,11 @@ def op6_recompress_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress_dedup.dedup(_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(_table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "\\### Assistant: </turn> ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_recompress_dedup": op6_recompress_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_simhash_dedup": op10_simhash_dedup,

@@ -86,8 +86,9 @@ class Exchange:
 
         return known.mapInArrow(go, schema)
 
-    def answered(self, questions: DataFrame, reply: Callable[[list[list[np.ndarray]]], list[np.ndarray]], table: str) -> DataFrame:
-        """``reply`` gets the arrays of all questions to a bucket and returns an array for each question."""
+    def answered(self, questions: DataFrame, reply: Callable[..., list[np.ndarray]], table: str, runs: bool = False) -> DataFrame:
+        """``reply`` gets the arrays of all questions to a bucket (and before them the runs that asked, if it wants them)
+        and returns an array for each question."""
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked: dict[int, list[tuple[int, bytes]]] = {}
@@ -95,7 +96,8 @@ class Exchange:
                 for bucket, run, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     asked.setdefault(bucket, []).append((run, blob))
             for bucket, rows in asked.items():
-                out = [pack(a) for a in reply([unpack(b) for _, b in rows])]
+                arrays = [unpack(b) for _, b in rows]
+                out = [pack(a) for a in (reply([r for r, _ in rows], arrays) if runs else reply(arrays))]
                 yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int32()), pa.array([r for r, _ in rows]), pa.array(out, pa.binary())], ["bucket", "run", "blob"])
 
         dealt = questions.repartitionById(self.buckets, F.col("bucket"))
@@ -107,7 +109,7 @@ def by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int
     bucket = (keys % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    return order, [(int(bucket[order[a]]), int(a), int(b)) for a, b in zip(cut, [*cut[1:], len(order)], strict=True)]
+    return order, [(int(bucket[order[a]]), int(a), int(b)) for a, b in zip(cut, np.append(cut, len(order))[1:], strict=True)]
 
 
 def message(run: int, parts: list[tuple[int, int, int]], *arrays: np.ndarray) -> pa.RecordBatch:
