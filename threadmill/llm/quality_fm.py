@@ -150,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
             )
 
     # The sample is bounded by its parameter, so it may be broadcast.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("n_chars").cast("double"), F.col("label").cast("int"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
+    rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", F.col("label").cast("int").alias("label"))
     got = rows.mapInArrow(extract, "label int, words binary, shares binary, stats binary").collect()
     if not got:
         return None
@@ -159,16 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     return fit(np.array([got[i].label for i in order], np.float32), [rows[i] for i in order])
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, score`` for every row, or the columns of ``keep`` and ``score``, of documents ``doc_id, text, n_chars``."""
-    own = docs.select(*[F.col(c) for c in keep or ["doc_id"]])
-    used = docs.select(F.struct(*[F.col(c) for c in own.columns]).alias("own"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
-    schema = own.schema.add("score", "double")
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``row, score`` for every document ``doc_id, text, n_chars``; ``row`` is a struct of all its columns."""
+    used = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs.text.cast("string").alias("text"), docs.n_chars.cast("double").alias("n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
             y = np.zeros(rows.num_rows) if model is None else model.margin(*_features(data, offs, _declared(rows)))
-            mine = pa.RecordBatch.from_struct_array(rows.column(0))
-            yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(1 / (1 + np.exp(-np.clip(y, -30, 30))), pa.float64())], [*mine.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(y, -30, 30))), pa.float64())], ["row", "score"])
 
-    return used.mapInArrow(run, schema)
+    return used.mapInArrow(run, used.select("row").schema.add("score", "double"))

@@ -82,7 +82,7 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality_fm.train(docs, labels, learn=~held_out(5))
-    scored = quality_fm.score(docs, model)
+    scored = quality_fm.score(docs.select("doc_id", "text", "n_chars"), model).select("row.doc_id", "score")
     return scored.select("doc_id", held_out(5).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
