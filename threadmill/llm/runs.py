@@ -54,7 +54,7 @@ def _cut(limit: int):
 
 
 class Exchange:
-    def __init__(self, docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 12 << 20):
+    def __init__(self, docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 3 << 20):
         self.scratch = Scratch(docs.sparkSession, name)
         self.buckets, self.parts = parts_for(docs, 24), parts_for(docs, 16)
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -144,7 +144,7 @@ def _edges(length: int, run_of: list[int], questions: list[list[np.ndarray]]) ->
     total = np.cumsum(size[order])
     at = 0
     while at < len(order):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (4 << 20), "right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (2 << 20), "right")))
         while to < len(order) and group[order[to]] == group[order[to - 1]]:
             to += 1
         own = order[at:to]
