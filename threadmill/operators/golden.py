@@ -59,7 +59,9 @@ def plan_queue(hints: DataFrame, intents: DataFrame, target: int = V.GOLDEN_TARG
     limits = picks.select("ord", "intent", F.explode(F.array(F.struct(F.lit("auto").alias("decision"), F.col("auto_picks").alias("n")), F.struct(F.lit("escalate").alias("decision"), F.col("escalate_picks").alias("n")))).alias("p"))
     limits = limits.select("ord", "intent", "p.decision", "p.n")
     ranked = hints.withColumn("_h", hash_rank(seed, F.col(key)))
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("intent", "decision").orderBy("_h", key)))
+    # No stratum gives more rows than there are seats: with a constant limit each task keeps that many before the shuffle.
+    seats = max(target, floor * intents.count())
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("intent", "decision").orderBy("_h", key))).where(F.col("_r") <= seats)
     chosen = ranked.join(F.broadcast(limits), ["intent", "decision"]).where(F.col("_r") <= F.col("n"))  # one row per intent and decision
     chosen = chosen.withColumn("_p", F.row_number().over(Window.partitionBy("intent").orderBy("_h", key)))
     place = F.row_number().over(Window.orderBy("_p", "ord"))  # at most the target's rows
