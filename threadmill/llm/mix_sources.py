@@ -4,7 +4,8 @@ Each source gets a target number of words (its weight's share of all words, capp
 the excess shared again by weight). Every document of a source then expects ``target / source_size`` copies;
 the expected copies are summed along the source, one random offset is added, and a document is emitted once for
 each integer boundary that its own stretch crosses. Documents are laid out by size, so that what rounding takes
-from one document it gives to one of nearly the same size and the words taken stay near the target.
+from one document it gives to one of nearly the same size; and of ``OFFSETS`` offsets, spaced evenly from a random one, a
+source takes that which brings its words nearest to the target.
 
 The running sum of a hot source is never formed in one task: ranks come from counts per (source, size, salt).
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+OFFSETS = 16
 WORDS = r"[^\x20\x09-\x0D]++"
 
 
@@ -101,12 +103,23 @@ def mix(
         bases.source, bases.size, bases.salt, (F.col("size_base") + F.col("salt_base")).alias("base")
     )
     bases = bases.join(targets, same(bases, targets, ["source"])).drop(targets.source)
+    bases = bases.join(cells, same(bases, cells, ["source", "size", "salt"])).drop(cells.source, cells["size"], cells.salt)
     bases = scratch.put(bases, "bases")
+    whole = F.floor("rate")
+    part = F.col("rate") - whole
+    # Ranks of a cell are consecutive, so its boundaries are counted from its ends.
+    offsets = [F.col("offset") + j / OFFSETS - F.floor(F.col("offset") + j / OFFSETS) for j in range(OFFSETS)]
+    ends = [F.floor((F.col("base") + F.col("n")) * part + u) - F.floor(F.col("base") * part + u) for u in offsets]
+    totals = bases.groupBy("source").agg(*[F.sum(F.col("size") * (F.col("n") * whole + e)).alias(f"t{j}") for j, e in enumerate(ends)])
+    errors = [F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("error"), F.lit(j).alias("j")) for j in range(OFFSETS)]
+    nearest = totals.join(targets, same(totals, targets, ["source"])).select(totals.source, F.array_min(F.array(*errors))["j"].alias("j"))
+    nearest = scratch.put(nearest, "nearest")
+    bases = bases.join(nearest, same(bases, nearest, ["source"])).drop(nearest.source)
+    shifted = F.col("offset") + F.col("j") / OFFSETS
+    bases = scratch.put(bases.withColumn("offset", shifted - F.floor(shifted)).drop("n", "j"), "chosen")
     at = Window.partitionBy("source", "size", "salt").orderBy("doc_id")
     ranked = rows.withColumn("rank", F.row_number().over(at))
     k = F.col("base") + F.col("rank")
-    whole = F.floor("rate")
-    part = F.col("rate") - whole
     crossed = F.floor(k * part + F.col("offset")) - F.floor((k - 1) * part + F.col("offset"))
     copies = (whole + F.least(crossed, F.lit(1))).cast("long")
     return (

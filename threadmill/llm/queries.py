@@ -144,13 +144,17 @@ ORACLE_SQL: dict[str, str] = {
                              * weight / sum(weight) FILTER (NOT (capped OR target >= 3 * source_size)) OVER () END
             FROM fill WHERE round < 30),
         t AS (SELECT source, source_size, target,
-                     ('0x' || substr(sha256('7:' || coalesce(source, chr(0))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
+                     ('0x' || substr(sha256('7:' || coalesce(source, chr(0))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u0,
                      CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM fill WHERE round = 30),
-        r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u, t.rate, t.rate - floor(t.rate) AS part,
+        r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.u0, t.rate, t.rate - floor(t.rate) AS part,
                      row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.salt, d.doc_id) AS k
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-               (size * (floor(rate) + least(1, floor(k * part + u) - floor((k - 1) * part + u))))::BIGINT AS taken FROM r""",
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        o AS (SELECT r.*, j, u0 + j / 16.0::DOUBLE - floor(u0 + j / 16.0::DOUBLE) AS u FROM r, range(0, 16) x(j)),
+        c AS (SELECT *, (size * (floor(rate) + least(1, floor(k * part + u) - floor((k - 1) * part + u))))::BIGINT AS taken FROM o),
+        -- of sixteen offsets the one that comes nearest to the target
+        e AS (SELECT source, j, abs(sum(taken) - any_value(target)) AS error FROM c GROUP BY source, j),
+        b AS (SELECT source, arg_min(j, (error, j)) AS j FROM e GROUP BY source)
+        SELECT c.doc_id, c.size, c.source_size::BIGINT AS source_size, c.target, c.taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.j = b.j""",
     "op8_chat_format": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
