@@ -29,7 +29,7 @@ from .lattice_lm import unpack
 from .runs import MESSAGE, NO_ID, Documents, Exchange, by_bucket, message
 from .textblocks import RangeHash, mix64
 
-K, HOT, PART = 24, 20_000, 1 << 20
+K, HOT, PART = 24, 20_000, 1 << 19
 _KMER, _CONTEXT, _MORE = RangeHash(53), RangeHash(59), RangeHash(61)
 FIRST, LATER, EDGE, CROWD = 0, 1, 2, 3
 
@@ -140,11 +140,11 @@ def _edges(length: int, run_of: list[int], questions: list[list[np.ndarray]]) ->
     into = np.cumsum(windows) - windows
     repeated = np.zeros(int(windows.sum()), bool)
     order = np.lexsort((place, run, doc, group))
-    # Some megabytes of whole groups at a time.
+    # About a megabyte of whole groups at a time.
     total = np.cumsum(size[order])
     at = 0
     while at < len(order):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (2 << 20), "right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
         while to < len(order) and group[order[to]] == group[order[to - 1]]:
             to += 1
         own = order[at:to]
