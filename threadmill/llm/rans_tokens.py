@@ -141,7 +141,7 @@ def _staged(docs: DataFrame, path: str, end_id: int, bounds: np.ndarray, id_col:
             out[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
             held.append((rows.column(0).fill_null(NO_ID).to_numpy(), count + 1, out))
             size += len(out)
-            if size > 4 << 20:
+            if size > 1 << 20:
                 yield flush(held)
                 held, size = [], 0
         if held:
