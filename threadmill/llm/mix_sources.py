@@ -69,15 +69,21 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    key_col: str | None = None,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every document."""
+    """``doc_id, source, size, source_size, target, copies, taken`` for every document.
+
+    With ``key_col``, a column that no two rows share, rows are handed on with it and equal ids are ordered by it.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
+    key = [key_col] if key_col else []
     rows = scratch.put(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 3).alias("salt"),
+            *key,
         ),
         "rows",
     )
@@ -117,13 +123,13 @@ def mix(
     bases = bases.join(nearest, same(bases, nearest, ["source"])).drop(nearest.source)
     shifted = F.col("offset") + F.col("j") / OFFSETS
     bases = scratch.put(bases.withColumn("offset", shifted - F.floor(shifted)).drop("n", "j"), "chosen")
-    at = Window.partitionBy("source", "size", "salt").orderBy("doc_id")
+    at = Window.partitionBy("source", "size", "salt").orderBy("doc_id", *key)
     ranked = rows.withColumn("rank", F.row_number().over(at))
     k = F.col("base") + F.col("rank")
     crossed = F.floor(k * part + F.col("offset")) - F.floor((k - 1) * part + F.col("offset"))
     copies = (whole + F.least(crossed, F.lit(1))).cast("long")
     return (
         ranked.join(bases, same(ranked, bases, ["source", "size", "salt"]))
-        .select("doc_id", ranked.source, ranked["size"], "source_size", "target", copies.alias("copies"))
+        .select("doc_id", ranked.source, ranked["size"], "source_size", "target", copies.alias("copies"), *key)
         .withColumn("taken", F.col("size") * F.col("copies"))
     )
