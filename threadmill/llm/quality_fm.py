@@ -11,7 +11,7 @@ shuffle.
 
 Null and empty texts have no words and are scored from their statistics; null lengths count as the text's own
 length; repeated rows are scored alike; labels that are null are left out, and of several labels of an id the
-largest counts; without any labels every score is 0.5; an empty table gives no rows; further columns are ignored.
+largest counts; of several rows of a labelled id one is learnt from; without any labels every score is 0.5; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,6 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     # The sample is bounded by its parameter, so it may be broadcast.
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
     rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", F.col("label").cast("int").alias("label"))
+    # One row of each id, that with the smallest digest of its text: an id may have any number of rows.
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "n_chars", "label"), F.struct(F.xxhash64("text"), "text", "n_chars")).alias("r"))
+    rows = one.select("doc_id", "r.text", "r.n_chars", "r.label")
     got = rows.mapInArrow(extract, "label int, words binary, shares binary, stats binary").collect()
     if not got:
         return None
