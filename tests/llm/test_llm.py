@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from threadmill.llm import chat_format, components, decontaminate, exact_dedup, lattice_lm, mix_sources, pretokens, quality_fm, rans_tokens, recompress_dedup, simhash_dedup, suffix_dedup
 from threadmill.llm.scratch import Scratch
-from threadmill.llm.textblocks import KeyTable, column_bytes
+from threadmill.llm.textblocks import P61, KeyTable, PlaceHash, RangeHash, bit_counts, column_bytes
 
 tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -74,6 +75,46 @@ def test_key_table():
     assert t.find(asked).tolist() == [seen.get(int(k), -1) for k in asked]
 
 
+def thue_morse(n):
+    """Two strings on which polynomials modulo a power of two collide, whatever their base."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_tell_thue_morse_strings_apart():
+    for n in (64, 1024, 4096):
+        a, b = (np.frombuffer(x.encode(), np.uint8) for x in thue_morse(n))
+        zero, end = np.zeros(1, np.int64), np.array([n])
+        h, place = RangeHash(3), PlaceHash(3)
+        assert h.ranges(h.prefix(a), zero, end) != h.ranges(h.prefix(b), zero, end)
+        assert place.of(a, zero, end) != place.of(b, zero, end)
+        symbols = np.array([5, 9], np.uint64)
+        assert h.ranges(h.prefix(symbols[a - 97]), zero, end) != h.ranges(h.prefix(symbols[b - 97]), zero, end)
+
+
+def test_range_hashes_are_polynomials_modulo_a_prime():
+    rng = np.random.default_rng(2)
+    h, p = RangeHash(8), int(P61)
+    for values in (rng.integers(0, 256, 40_000).astype(np.uint8), rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)):
+        prefix, sums, power = h.prefix(values), 0, 1
+        for i, v in enumerate(values.tolist()):
+            assert prefix[i] == sums
+            sums, power = (sums + (v + int(h.shift) if values.dtype == np.uint8 else v % p) * power) % p, power * h.base % p
+        twice = np.concatenate([values[100:400], values[50:700]])
+        again = h.prefix(twice)
+        assert h.ranges(again, np.array([7, 357]), np.array([300, 650])).tolist() == h.ranges(prefix, np.array([107, 107]), np.array([400, 400])).tolist()
+
+
+def test_bit_counts():
+    rng = np.random.default_rng(3)
+    counts = np.array([0, 3, 0, 70_000, 5, 140_000, 0, 1, 0])
+    h = rng.integers(0, 1 << 64, counts.sum(), dtype=np.uint64)
+    each = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(int)
+    assert (bit_counts(h, counts) == np.stack([x.sum(0) for x in np.split(each, np.cumsum(counts)[:-1])])).all()
+
+
 # ---- 1
 
 
@@ -194,6 +235,15 @@ def test_tokens_round_trip(spark, rows, docs, nothing):
     assert rans_tokens.read_tokens(spark, folder).count() == 0
 
 
+def test_colliding_texts_keep_their_ids():
+    """Each is one pretoken; polynomials modulo 2**64 take them for the same."""
+    e = pretokens.Encoder(tokenizers.path("byte_bpe_50k.json"))
+    texts = [*thue_morse(1024), *thue_morse(4096)]
+    data, offs = column_bytes(pa.array(texts))
+    ids, count = e.encode(data, offs)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 # ---- 4
 
 
@@ -264,6 +314,17 @@ def test_long_word_repeats(spark, rows, docs, nothing):
     assert recompress_dedup.dedup(nothing).count() == 0
 
 
+def test_colliding_words_and_windows_stay(spark):
+    a, b = thue_morse(1024)
+    pair = [(1, " ".join([a, *[f"w{i}" for i in range(34)]]), "a"), (2, " ".join([b, *[f"w{i}" for i in range(34)]]), "a")]
+    long = [(3, " ".join("pq"[c == "b"] for c in a), "a"), (4, " ".join("pq"[c == "b"] for c in b), "a")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in recompress_dedup.dedup(table(spark, pair), window=35).collect()}
+    assert got == {1: (35, 0), 2: (35, 0)}
+    assert all(r.n_removed == 0 for r in recompress_dedup.dedup(table(spark, long), window=1024).collect())
+    found = suffix_dedup.dedup(table(spark, [(1, a[:700], "a"), (2, b[:700], "a")]), length=700)
+    assert all(r.n_removed == 0 for r in found.collect())
+
+
 def test_equal_words_get_equal_symbols():
     rng = np.random.default_rng(5)
     inner = rng.integers(0, 4, 200).astype(np.uint64)
@@ -351,6 +412,51 @@ def test_scores(spark, rows, docs, nothing):
     assert {r.score for r in got if r.n_tokens == 1} == {max(r.score for r in got)}
 
 
+def test_score_is_the_sum_of_lattices_and_the_end(spark):
+    """Without learning, by the first weights: all segmentations of each word, added up one by one."""
+    path = tokenizers.path("piece_bpe_32k.model")
+    own, logq = lattice_lm.pieces(path), lattice_lm.first_weights(path)
+    q = {p: math.exp(logq[i]) for i, p in enumerate(own)}
+
+    def total(t):
+        sums = [1.0]
+        for e in range(1, len(t) + 1):
+            sums.append(sum(sums[s] * q.get(t[s:e], 0.0) for s in range(e)))
+        return sums[-1]
+
+    texts = [(1, "the Thing of things", "a"), (2, None, "a"), (3, "éa the\tthe", "a")]
+    expected = [(i, round(sum(math.log10(total(b" " + w.translate(LOWER))) for w in words(t)) + logq[-1] / math.log(10), 9)) for i, t, _ in texts]
+    got = lattice_lm.score(table(spark, texts), F.lit(True), path, rounds=0)
+    assert key((r.doc_id, round(r.score, 9)) for r in got.collect()) == key(expected)
+
+
+def test_long_words_are_walked(spark, monkeypatch):
+    path = tokenizers.path("piece_bpe_32k.model")
+    logq = lattice_lm.first_weights(path)
+    texts = [("Thequickbrownfox" * 60).encode()[:n] for n in (5, 40, 255, 700)]
+    given = (path, logq, np.frombuffer(b"".join(texts), np.uint8), np.array(list(map(len, texts))), np.array([1, 2, 3, 4]))
+    monkeypatch.setattr(lattice_lm, "LONG", 10**6)
+    whole = lattice_lm.lattices(*given)
+    monkeypatch.setattr(lattice_lm, "LONG", 1)
+    monkeypatch.setattr(lattice_lm, "STRETCH", 50)
+    assert all(np.allclose(a, b) for a, b in zip(whole, lattice_lm.lattices(*given), strict=True))
+
+
+def test_word_of_a_megabyte_ends(spark):
+    path, rng = tokenizers.path("piece_bpe_32k.model"), np.random.default_rng(1)
+    word = rng.integers(97, 123, 1 << 20).astype(np.uint8).tobytes().decode()
+    start = time.monotonic()
+    got = lattice_lm.score(table(spark, [(1, word, "a"), (2, "one", "a")], 1), F.lit(True), path, rounds=1).orderBy("doc_id").collect()
+    assert time.monotonic() - start < 60 and got[0].score < -1e6 and got[0].n_tokens == 2
+
+
+def test_unseen_word_is_not_known(spark):
+    a, b = thue_morse(1024)
+    rows = [(1, a, "a"), (4, b, "a")]
+    got = lattice_lm.score(table(spark, rows), F.col("doc_id") == 1, tokenizers.path("piece_bpe_32k.model"), rounds=0)
+    assert {r.doc_id: r.n_known for r in got.collect()} == {1: 2, 4: 1}
+
+
 # ---- 10
 
 

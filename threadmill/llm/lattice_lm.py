@@ -12,7 +12,7 @@ Beside it stands an add-0.1 unigram model of whole words, whose counts are of al
 Counts, lattices and look-ups work on distinct words, dealt to buckets by hash in compressed runs: each task first
 sums its own words, so a very frequent word reaches a bucket once per run of documents. Words that make up a
 ``1 / HOT`` part of all tokens or more (so ``HOT`` at most) are known to every task; for others a run of documents asks
-the buckets once per distinct word.
+the buckets once per distinct word. Words of ``LONG`` bytes or more are walked one by one, a stretch of places at a time.
 
 Null texts count as empty and consist of the end symbol; repeated rows are scored alike; null ids stay; an empty table
 gives no rows; without training documents N and V are 0 and the base score is that of the smoothing alone; further
@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from functools import cache
@@ -33,10 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, parts_for
-from .textblocks import LOWER, KeyTable, RangeHash, Words, slices, sums_by
+from .textblocks import LOWER, KeyTable, PlaceHash, Words, mix64, slices, sums_by
 
 RUN, HOT, ROUNDS, PRIOR = 32 << 20, 50_000, 3, 0.1
-_WORD, _PIECE = RangeHash(31), RangeHash(37)
+_WORD, _PIECE = PlaceHash(31), PlaceHash(37)
+#: Bytes from which on a word is walked alone, and places that are looked up at a time in it.
+LONG, STRETCH = 256, 1 << 16
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -79,7 +82,7 @@ def _piece_table(path: str) -> tuple[KeyTable, int]:
     end = np.cumsum([len(p) for p in own])
     start = end - np.array([len(p) for p in own])
     table = KeyTable()
-    table.add(np.array([_PIECE.ranges(_PIECE.prefix(data[a:b]), np.zeros(1, np.int64), np.array([b - a]))[0] for a, b in zip(start, end, strict=True)]))
+    table.add(_PIECE.of(data, start, end))
     return table, max(map(len, own))
 
 
@@ -89,30 +92,112 @@ def first_weights(path: str) -> np.ndarray:
     return np.log(q / q.sum())
 
 
+class _Long:
+    """The lattice of one long word: a stretch of places at a time, so that memory does not grow with places times pieces."""
+
+    def __init__(self, path: str, logq: np.ndarray, word: np.ndarray):
+        self.table, self.longest = _piece_table(path)
+        self.logq, self.text = logq, np.concatenate([np.full(1, 32, np.uint8), word])
+
+    def arcs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and piece of all arcs that end at ``first`` or later and before ``last``, by end."""
+        low = max(0, first - self.longest)
+        text = self.text[low : last - 1].astype(np.int64)
+        total, found = np.zeros(len(text), np.uint64), []
+        for size in range(1, min(self.longest, len(text)) + 1):
+            n = len(text) - size + 1
+            total = total[:n] + _PIECE.value(text[size - 1 :].astype(np.uint64) | np.uint64((size - 1) << 8))
+            piece = self.table.find(mix64(total))
+            at = np.flatnonzero(piece >= 0)
+            at = at[at + size + low >= first]
+            found.append((at + low, at + low + size, piece[at]))
+        begin, end, piece = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.argsort(end, kind="stable")
+        return begin[order], end[order], piece[order]
+
+    def walk(self, counted: float | None) -> tuple[float, np.ndarray | None]:
+        """Log probability of the word, and the expected pieces times ``counted``."""
+        width = len(self.text)
+        alpha = self._sums(width, False)
+        if counted is None:
+            return float(alpha[width]), None
+        beta, expected = self._sums(width, True), np.zeros(len(self.logq))
+        for first in range(1, width + 1, STRETCH):
+            begin, end, piece = self.arcs(first, min(first + STRETCH, width + 1))
+            expected += np.bincount(piece, np.exp(alpha[begin] + self.logq[piece] + beta[end] - alpha[width]) * counted, len(self.logq))
+        return float(alpha[width]), expected
+
+    def _sums(self, width: int, back: bool) -> np.ndarray:
+        """Log sums over all segmentations before each place (or after it). Sums are carried as plain numbers beside a
+        common logarithm, which is renewed before they become too small."""
+        out = np.full(width + 1, -np.inf)
+        near, scale = {width if back else 0: 1.0}, 0.0
+        out[width if back else 0] = 0.0
+        firsts = range(1, width + 1, STRETCH)
+        for first in reversed(firsts) if back else firsts:
+            begin, end, piece = self.arcs(first, min(first + STRETCH, width + 1))
+            if back:
+                order = np.lexsort((-begin, -end))
+                begin, end, piece = end[order], begin[order], piece[order]
+            now, least = -1, 1.0
+            for a, b, q in zip(begin.tolist(), end.tolist(), np.exp(self.logq[piece]).tolist(), strict=True):
+                if back:  # a place's own sum is complete when arcs that end at it are met
+                    if a != now:
+                        now, least = a, near.get(a, 0.0)
+                        out[a] = math.log(least) + scale if least else -np.inf
+                        near.pop(a + self.longest + 1, None)
+                    if least:
+                        near[b] = near.get(b, 0.0) + least * q
+                else:
+                    if b != now:
+                        if now >= 0:
+                            out[now] = math.log(near[now]) + scale if near.get(now) else -np.inf
+                            near.pop(now - self.longest - 1, None)
+                        now = b
+                    near[b] = near.get(b, 0.0) + near.get(a, 0.0) * q
+                    least = near[b]
+                if 0.0 < least < 1e-150:
+                    near = {k: v * 1e150 for k, v in near.items()}
+                    scale -= 150 * math.log(10)
+                    least = near[now]
+            if not back and now >= 0 and near.get(now):
+                out[now] = math.log(near[now]) + scale
+        if back:
+            out[0] = math.log(near[0]) + scale if near.get(0) else -np.inf
+        return out
+
+
 def lattices(path: str, logq: np.ndarray, word_bytes: np.ndarray, size: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of each word; with counts also the expected count of each piece."""
     table, longest = _piece_table(path)
     logp, expected = np.zeros(len(size)), np.zeros(len(logq))
     begin = np.cumsum(size) - size
     order = np.argsort(size, kind="stable")
+    short = int(np.searchsorted(size[order], LONG))
+    for i in order[short:]:
+        word = _Long(path, logq, word_bytes[begin[i] : begin[i] + size[i]])
+        logp[i], own = word.walk(None if count is None else float(count[i]))
+        expected += 0 if own is None else own
     at = 0
-    while at < len(order):
+    while at < short:
         n = int(size[order[at]])
         # Words of one length, about a million bytes at a time.
         to = min(int(np.searchsorted(size[order], n, "right")), at + max(1, (1 << 20) // (n + 1)))
         own = order[at:to]
         at, m, width = to, to - at, n + 1
-        text = np.full((m, width), 32, np.uint8)
-        text[:, 1:] = word_bytes[begin[own][:, None] + np.arange(n)]
-        prefix = _PIECE.prefix(text.ravel())
-        row = np.arange(m) * width
+        text = np.full((width, m), 32, np.uint64)
+        text[1:] = word_bytes[begin[own] + np.arange(n)[:, None]]
+        # Of each begin, the hash of the bytes up to the present end.
+        total = np.zeros((width, m), np.uint64)
         arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(width + 1)]
         for e in range(1, width + 1):
-            for s in range(max(0, e - longest), e):
-                piece = table.find(_PIECE.ranges(prefix, row + s, row + e))
-                has = np.flatnonzero(piece >= 0)
+            first = max(0, e - longest)
+            total[first:e] += _PIECE.near[(np.arange(e - 1 - first, -1, -1)[:, None] << 8) + text[e - 1].astype(np.int64)]
+            piece = table.find(mix64(total[first:e]).ravel()).reshape(e - first, m)
+            for s in range(first, e):
+                has = np.flatnonzero(piece[s - first] >= 0)
                 if len(has):
-                    arcs[e].append((s, has, piece[has]))
+                    arcs[e].append((s, has, piece[s - first][has]))
         alpha = np.full((width + 1, m), -np.inf)
         alpha[0] = 0
         for e in range(1, width + 1):
@@ -182,7 +267,7 @@ def _vocabulary(n: int):
         for rows, data, offs in slices(batches):
             text = LOWER[data]
             words = Words(text, offs)
-            number = mine.numbers(_WORD.ranges(_WORD.prefix(text), words.start, words.end), words, text)
+            number = mine.numbers(_WORD.of(text, words.start, words.end), words, text)
             train = np.repeat(rows.column(1).to_numpy(zero_copy_only=False).astype(float), words.counts())
             trained = _grown(trained, mine.table.count) + np.bincount(number, train, mine.table.count)
             counted = _grown(counted, mine.table.count) + np.bincount(number, minlength=mine.table.count)
@@ -270,7 +355,7 @@ def _asked(n: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
         for rows, data, offs in slices(batches, "text"):
             text = LOWER[data]
             words = Words(text, offs)
-            key = _WORD.ranges(_WORD.prefix(text), words.start, words.end)
+            key = _WORD.of(text, words.start, words.end)
             at = table.find(key)
             own = at >= 0
             n_words = words.counts()

@@ -14,13 +14,13 @@ import unicodedata
 
 import numpy as np
 
-from .textblocks import KeyTable, RangeHash
+from .textblocks import KeyTable, PlaceHash
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 KEPT = 4_000_000
-_HASH = RangeHash(23)
+_HASH = PlaceHash(23)
 _KINDS: np.ndarray | None = None
 _OPEN: dict[str, Encoder] = {}
 #: The characters of the Unicode property White_Space.
@@ -130,7 +130,7 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
         start = split(data, offs)
         end = np.append(start[1:], len(data))
-        key = _HASH.ranges(_HASH.prefix(data), start, end)
+        key = _HASH.of(data, start, end)
         if self.known.count > KEPT:
             self._clear()
         place = self.known.find(key)

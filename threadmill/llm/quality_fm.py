@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import LOWER, RangeHash, Words, slices, sums_by
+from .textblocks import LOWER, PlaceHash, Words, slices, sums_by
 
 SAMPLE = 12_000
 BITS, FACTORS = 15, 8
-_HASH = RangeHash(11)
+_HASH = PlaceHash(11)
 
 #: Byte classes of the structure statistics.
 _CLASS = np.zeros(256, np.uint8)
@@ -49,7 +49,7 @@ def _features(data: np.ndarray, offs: np.ndarray, declared: np.ndarray) -> tuple
     """Per document the number of its word features; all their indices and values; the statistics."""
     words, docs = Words(data, offs), len(offs) - 1
     n, size = words.counts(), np.diff(offs)
-    digest = _HASH.ranges(_HASH.prefix(LOWER[data]), words.start, words.end)
+    digest = _HASH.of(LOWER[data], words.start, words.end)
     again = np.zeros(len(digest))
     again[1:] = digest[1:] == digest[:-1]
     key = np.sort((words.doc_of().astype(np.int64) << BITS) | (digest >> np.uint64(64 - BITS)).astype(np.int64))

@@ -8,8 +8,8 @@ neighbours that were looked at.
 
 A window of words takes as its anchor, among the high-level symbols that are decided within it, the one with the
 smallest name, and its own hash where there is none; equal windows thus have equal anchors. Rounds of questions then
-find (1) which anchors occur at two places and (2), for windows with such anchors only, which windows (96 bits of
-hash) occur at two places. Words covered by these go.
+find (1) which anchors occur at two places and (2), for windows with such anchors only, which windows (93 bits of
+hash, polynomials modulo a prime at two random places) occur at two places. Words covered by these go.
 
 Null texts have no words; texts shorter than a window lose nothing; repeated rows repeat all their windows; ties do
 not arise, as every occurrence goes; null ids stay null; an empty table gives no rows; further columns are ignored.
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .runs import MESSAGE, NO_ID, Documents, Exchange, bits, by_bucket, message, shared
-from .textblocks import KeyTable, RangeHash, Words, mix64
+from .textblocks import KeyTable, PlaceHash, RangeHash, Words, mix64
 
 LEVELS = 4
-_WORD, _WINDOW, _MORE = RangeHash(41), RangeHash(43), RangeHash(47)
+_WORD, _WINDOW, _MORE = PlaceHash(41), RangeHash(43), RangeHash(47)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,7 +120,7 @@ class Parse:
 class _Windows:
     def __init__(self, docs: Documents, window: int):
         self.words = Words(docs.data, docs.offs)
-        symbols = _WORD.ranges(_WORD.prefix(docs.data), self.words.start, self.words.end)
+        symbols = _WORD.of(docs.data, self.words.start, self.words.end)
         counts = np.maximum(self.words.counts() - window + 1, 0)
         self.start = np.repeat(self.words.doc[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         self.hash = _WINDOW.ranges(_WINDOW.prefix(symbols), self.start, self.start + window)

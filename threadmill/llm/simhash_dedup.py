@@ -19,12 +19,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .textblocks import Words, slices, sums_by
+from .textblocks import Words, bit_counts, slices
 
 CHUNK = 2048
 SMALL = 16
@@ -42,8 +42,7 @@ def fingerprints_of(data: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndar
     text, digest = joined.tobytes(), xxhash.xxh64_intdigest
     pairs = zip(start[first].tolist(), end[last].tolist(), strict=True)
     h = np.fromiter((digest(text[a:b], 42) for a, b in pairs), np.uint64, len(first))
-    ones = sums_by(shingles, np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), np.int32)
-    bits = (2 * ones > shingles[:, None]).astype(np.uint8)
+    bits = (2 * bit_counts(h, shingles) > shingles[:, None]).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -58,14 +57,16 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places ``(child, parent)`` of a spanning forest of the links among distinct fingerprints."""
+def forest(fp: np.ndarray, radius: int, other: np.ndarray | None = None, loose: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(child, parent)`` of a spanning forest of the links among fingerprints (and a second one of each)."""
     left, child, parent = np.arange(len(fp)), [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
             near = np.bitwise_count(fp[left] ^ fp[at]) <= radius
+            if other is not None:
+                near &= np.bitwise_count(other[left] ^ other[at]) <= loose
             if near.any():
                 found = left[near]
                 child.append(found)
@@ -76,10 +77,14 @@ def forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(child), np.concatenate(parent)) if child else (none, none)
 
 
-def _linked(radius: int):
-    """Links of the units of one partition, which is sorted by unit; a unit may span batches."""
+def _linked(radius: int, loose: int = 64):
+    """Links of the units of one partition, which is sorted by unit; a unit may span batches.
 
-    def links(unit: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    Rows are ``unit, fp`` or ``unit, fp, other, node``; links are of nodes (of fingerprints, where there are none).
+    """
+
+    def links(unit: np.ndarray, fp: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+        other, node = more or (None, fp)
         cut = np.flatnonzero(unit[1:] != unit[:-1]) + 1
         start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(unit)]])
         size = np.repeat(end - start, end - start)
@@ -87,29 +92,29 @@ def _linked(radius: int):
         for k in range(1, min(SMALL, int(size.max()))):  # small units: every row with the k-th row after it
             near = np.flatnonzero((unit[k:] == unit[:-k]) & (size[k:] <= SMALL))
             near = near[np.bitwise_count(fp[near] ^ fp[near + k]) <= radius]
-            a.append(fp[near])
-            b.append(fp[near + k])
+            if other is not None:
+                near = near[np.bitwise_count(other[near] ^ other[near + k]) <= loose]
+            a.append(node[near])
+            b.append(node[near + k])
         large = end - start > SMALL
         for s, e in zip(start[large], end[large], strict=True):
-            own = fp[s:e]
-            child, parent = forest(own, radius)
-            a.append(own[child])
-            b.append(own[parent])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+            child, parent = forest(fp[s:e], radius, None if other is None else other[s:e], loose)
+            a.append(node[s:e][child])
+            b.append(node[s:e][parent])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64)) for x in (a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            units = np.concatenate([units, np.asarray(batch.column(0))])
-            fps = np.concatenate([fps, np.asarray(batch.column(1)).view(np.uint64)])
-            done = int(np.searchsorted(units, units[-1])) if len(units) else 0
+            now = [np.asarray(c).view(np.uint64) for c in batch.columns]
+            now[0] = now[0].view(np.int64)
+            held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if done:
-                a, b = links(units[:done], fps[:done])
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-                units, fps = units[done:], fps[done:]
-        if len(units):
-            a, b = links(units, fps)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                yield links(*[c[:done] for c in held])
+                held = [c[done:] for c in held]
+        if held is not None and len(held[0]):
+            yield links(*held)
 
     return run
 
@@ -121,21 +126,36 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(each, blocks - radius)]
 
 
-def near_links(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """Links ``a, b`` that connect all distinct fingerprints (column ``fp``) within the radius."""
+def _keys(fp: Column, radius: int, blocks: int, salt: int = 0) -> list[Column]:
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(block_masks(radius, blocks))]
-    buckets = fps.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+    return [F.xxhash64(F.lit(i + salt), fp.bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(block_masks(radius, blocks))]
+
+
+def _in_units(buckets: DataFrame, rest: list[str]) -> DataFrame:
+    """Rows ``unit, *rest`` from rows ``bucket, *rest``, sorted by unit. A large bucket is cut into chunks; every pair of chunks is a unit."""
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = buckets.join(many, "bucket")
-    # A large bucket is cut into chunks by the fingerprint; every pair of chunks is a unit.
     chunks = F.ceil(F.col("n") / CHUNK)
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), chunks)
-    rows = rows.select("bucket", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
-    unit = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(unit.alias("unit"), "fp")
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_linked(radius), "a long, b long")
+    own = F.pmod(F.xxhash64(rest[-1], F.lit(1)), chunks)
+    rows = rows.select("bucket", *rest, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other_chunk"))
+    unit = F.xxhash64("bucket", F.least("own", "other_chunk"), F.greatest("own", "other_chunk"))
+    return rows.select(unit.alias("unit"), *rest).repartition(F.col("unit")).sortWithinPartitions("unit")
+
+
+def near_links(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """Links ``a, b`` that connect all distinct fingerprints (column ``fp``) within the radius."""
+    buckets = fps.select("fp", F.explode(F.array(*_keys(F.col("fp"), radius, blocks))).alias("bucket"))
+    return _in_units(buckets, ["fp"]).mapInArrow(_linked(radius), "a long, b long")
+
+
+def candidate_links(nodes: DataFrame, prints: list[str], radius: int, blocks: int, other: str, loose: int) -> DataFrame:
+    """Links ``a, b`` that connect all nodes (column ``node``) that are within the radius in one of the fingerprints ``prints`` and
+    within ``loose`` bits in the fingerprint ``other``."""
+    each = []
+    for i, name in enumerate(prints):
+        each += [F.struct(k.alias("bucket"), F.col(name).alias("fp")) for k in _keys(F.col(name), radius, blocks, 1000 * i)]
+    buckets = nodes.select(F.col(other).alias("other"), "node", F.explode(F.array(*each)).alias("k")).select("k.bucket", "k.fp", "other", "node")
+    return _in_units(buckets, ["fp", "other", "node"]).mapInArrow(_linked(radius, loose), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

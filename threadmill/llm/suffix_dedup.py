@@ -9,7 +9,9 @@ anchors at equal places; the windows of one anchor occurrence are one context. T
    contexts (the edges of repeats) remain.
 2. Those are sent to the buckets of their anchors, which sort the suffixes of the contexts (ranks of 8, 16, 32, 64, ...
    bytes, each from two of the half) and find for each window whether its rank was met earlier. Anchors with more than
-   ``HOT`` contexts are not gathered: their windows are asked for one by one (96 bits of hash).
+   ``HOT`` contexts are not gathered: their windows are asked for one by one (93 bits of hash).
+
+A context's name is 61 bits of hash over all its bytes; k-mers only bring together what may be equal.
 
 Null texts count as empty and texts shorter than a window lose nothing; null ids come before others; rows with equal ids
 are ordered by their place in the table's files; repeated rows repeat all but the first; an empty table gives no rows;
@@ -30,7 +32,8 @@ from .runs import MESSAGE, NO_ID, Documents, Exchange, by_bucket, message
 from .textblocks import RangeHash, mix64
 
 K, HOT, PART = 24, 20_000, 1 << 19
-_KMER, _CONTEXT, _MORE = RangeHash(53), RangeHash(59), RangeHash(61)
+_CONTEXT, _MORE = RangeHash(59), RangeHash(61)
+_SPREAD = np.random.default_rng(53).integers(0, 1 << 64, 3, dtype=np.uint64) | np.uint64(1)
 FIRST, LATER, EDGE, CROWD = 0, 1, 2, 3
 
 
@@ -67,9 +70,10 @@ class Anchors:
         if not count.any():
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64), none
-        prefix = _KMER.prefix(data)
         place = np.arange(len(data) - K + 1)
-        hashed = _KMER.ranges(prefix, place, place + K)
+        eight = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
+        hashed = sum(eight[8 * i : 8 * i + len(place)] * c for i, c in enumerate(_SPREAD))
+        hashed = mix64(hashed ^ (hashed >> np.uint64(29)))
         key = (hashed & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
         # Smallest key of each stretch of ``width``: from suffix and prefix minima of blocks.
         blocks = -(-len(key) // width)
@@ -83,7 +87,7 @@ class Anchors:
         cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         s1, s2, at = start[cut], start[np.append(cut[1:], len(start)) - 1], at[cut]
         context = _CONTEXT.ranges(_CONTEXT.prefix(data), s1, s2 + n)
-        context = mix64(context ^ (at - s1).astype(np.uint64)) & np.uint64((1 << 48) - 1)
+        context = mix64(context ^ (at - s1).astype(np.uint64))
         doc = np.searchsorted(offs, s1, "right") - 1
         return s1 + base, s2 + base, hashed[at], context, doc + a
 
@@ -234,7 +238,7 @@ def dedup(docs: DataFrame, length: int = 100, hot: int = HOT, id_col: str = "doc
         first, order, parts = pairs(own)
         if parts:
             a = first[order]
-            yield message(run, parts, own.kmer[a], (own.context[a] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (own.context[a] >> np.uint64(32)).astype(np.uint16), d.ids[own.doc[a]])
+            yield message(run, parts, own.kmer[a], (own.context[a] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (own.context[a] >> np.uint64(32)).astype(np.uint32), d.ids[own.doc[a]])
 
     states = ex.answered(ex.passed(ask_contexts, MESSAGE, []), lambda runs, asked: _judge(hot, runs, asked), "states", runs=True)
 
