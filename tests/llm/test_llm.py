@@ -263,6 +263,20 @@ def test_exact_dedup(spark, rows, docs, nothing):
     index.close()
 
 
+def test_index_keeps_its_buckets_and_batches(spark, docs):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    facts = lambda got: key((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect())
+    first, n = facts(index.add(docs, name="day 1")), index.read().count()
+    assert facts(index.add(docs, name="day 1")) == first and index.read().count() == n  # a retry
+    assert not any(r[3] for r in facts(index.add(docs, name="day 2"))) and index.read().count() == n
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, buckets=5)
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert again.buckets == 3 and not any(r[3] for r in facts(again.add(docs)))
+    again.close()
+    index.close()
+
+
 # ---- 5
 
 
@@ -370,6 +384,18 @@ def test_chat_round_trip(spark):
     assert len(got) == 21 and chat_format.format_chats(df.limit(0).withColumn("parts", chat_format.text_part(F.col("text")))).count() == 0
 
 
+def test_long_conversation_is_linear(spark):
+    """50,000 turns, and a text of a million characters."""
+    turns = spark.range(50_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é <"), F.col("id").cast("string")).alias("text"))
+    turns = turns.unionByName(spark.createDataFrame([(2, 0, "assistant", "<\\😀" * 250_000)], "conv_id int, turn long, role string, text string"))
+    start = time.monotonic()
+    chats = Scratch(spark, "t").put(chat_format.format_chats(turns.withColumn("parts", chat_format.text_part(F.col("text")))), "chats")
+    read = chats.select("conv_id", F.size(chat_format.read_turns(F.col("formatted"))).alias("n"), chat_format.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    got = {r.conv_id: (r.n, r.loss) for r in read.collect()}
+    assert got == {1: (50_000, "".join(f"é <{i}" for i in range(1, 50_000, 2))), 2: (1, "<\\😀" * 250_000)}
+    assert time.monotonic() - start < 60
+
+
 def test_chat_parts(spark):
     part = lambda kind, text=None, ref=None, units=None: (kind, text, ref, units)
     rows = [(1, 0, "user", [part("text", "see <"), part("image", ref="s3/a", units=2), part("audio", ref="b", units=None), None]), (1, 1, "assistant", [part("text", "a"), part("document", ref="c", units=3)]), (1, 2, "user", None)]

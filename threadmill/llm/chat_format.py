@@ -16,6 +16,8 @@ columns are ignored. A conversation with very many turns is joined from blocks o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,29 +115,34 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
     )
     chats = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list("b")).alias("bs"))
 
-    def shift(acc: Column, b: Column) -> Column:
-        moved = F.transform(b["loss"]["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["length"].alias("length")))
-        return F.struct((acc["at"] + b["loss"]["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+    def before(size: Callable[[Column], Column]) -> Column:
+        """For each block the sum over those before it."""
+        return F.aggregate("bs", F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + size(b).cast("int"))))
+
+    def moved(sums: Column, change: Callable[[Column, Column], Column]) -> Column:
+        """Each block's entries, changed by what lies before it; the sums are bound by an outer function, so that they are formed once."""
+        return F.transform(F.array(sums), lambda own: F.flatten(F.transform("bs", lambda b, i: change(b, own[i]))))[0]
 
-    def place(acc: Column, b: Column) -> Column:
-        moved = F.transform(
+    def spans(b: Column, at: Column) -> Column:
+        return F.transform(b["loss"]["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length")))
+
+    def files(b: Column, n: Column) -> Column:
+        return F.transform(
             b["files"],
             lambda f: F.struct(
-                (f["place"] + acc["n"]).alias("turn_place"),
+                (f["place"] + n).alias("turn_place"),
                 f["file"]["ord"].alias("ord"),
                 f["file"]["kind"].alias("kind"),
                 f["file"]["ref"].alias("ref"),
                 f["file"]["tokens"].alias("tokens"),
             ),
         )
-        return F.struct((acc["n"] + b["n"]).alias("n"), F.concat(acc["files"], moved).alias("files"))
 
-    empty = F.array().cast("array<struct<turn_place:int,ord:int,kind:string,ref:string,tokens:bigint>>")
     return chats.select(
         "conv_id",
         F.array_join(F.transform("bs", lambda b: b["text"]), "").alias("formatted"),
-        F.aggregate("bs", start(), shift)["spans"].alias("loss_spans"),
-        F.aggregate("bs", F.struct(F.lit(0).alias("n"), empty.alias("files")), place)["files"].alias("attachments"),
+        moved(before(lambda b: b["loss"]["at"]), spans).alias("loss_spans"),
+        moved(before(lambda b: b["n"]), files).alias("attachments"),
         F.aggregate("bs", F.lit(0).cast("long"), lambda n, b: n + b["n"]).alias("n_turns"),
     )
 
@@ -155,5 +162,13 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, nothing between.
+
+    Spans are cut from the text in four bytes a code point, where a place is found without counting from the start; the
+    inner function is over an array of that one value, so that it is formed once.
+    """
+
+    def cut(wide: Column) -> Column:
+        return F.transform(spans, lambda s: unescape(F.decode(F.substr(wide, 4 * s["start"] + 1, 4 * s["length"]), "UTF-32")))
+
+    return F.array_join(F.transform(F.array(F.encode(formatted, "UTF-32")), cut)[0], "")

@@ -8,6 +8,10 @@ digests that are new are appended.
 Null texts count as empty; an empty batch gives no rows; repeated rows count as often as they occur; ties
 cannot arise, for the largest id of equal texts stays and rows with the same id are equal (all of them are
 then marked as kept); null ids rank below any other id. Further columns of the input are ignored.
+
+The index folder holds ``digests`` (the table) and ``meta`` (how many buckets it has): an index that is opened again takes its own
+bucket count, and another one that is asked for is refused. Digests are appended with the name of their batch, and a batch that is
+added again under its name (a retry) meets only digests of other batches, so it gets the same answer and is not appended twice.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, exists
 
 SALTS = 64
 
@@ -25,18 +29,27 @@ SALTS = 64
 class DigestIndex:
     """Digests of all texts seen so far, with the id that was kept for each.
 
-    ``path`` is the place of the table; an index written by an earlier session is opened again by its path.
-    ``buckets`` is fixed when the index is created and should suit its final size.
+    ``path`` is the place of the index; one written by an earlier session is opened again by its path.
+    ``buckets`` is fixed when the index is created (64 if not given) and should suit its final size.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.scratch = Scratch(spark, "exact-dedup")
         self.path = path or self.scratch.path("index")
         self.table = f"threadmill_digests_{uuid.uuid4().hex[:12]}"
+        meta = f"{self.path}/meta"
+        if exists(spark, f"{meta}/_SUCCESS"):
+            own = spark.read.schema("buckets int").parquet(meta).first()[0]
+            if buckets not in (None, own):
+                raise ValueError(f"the index at {self.path} has {own} buckets, not {buckets}")
+        else:
+            own = buckets or 64
+            spark.range(1).select(F.lit(own).cast("int").alias("buckets")).write.mode("overwrite").parquet(meta)
+        self.buckets = own
         spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {own} BUCKETS LOCATION '{self.path}/digests'"
         )
 
     def read(self) -> DataFrame:
@@ -46,13 +59,15 @@ class DigestIndex:
         """Forget the catalog entry; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def add(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Decide each row of a batch and append its new digests.
+    def add(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str | None = None) -> DataFrame:
+        """Decide each row of a batch and append its new digests. A batch that may be tried again has a ``name``.
 
         Returns ``doc_id, keep_id, group_size, kept, digest``: ``group_size`` counts the rows of the batch with
         this text; a text that the index already has keeps nothing of the batch and ``keep_id`` is the older id.
         """
         run = uuid.uuid4().hex[:8]
+        name = name or run
+        mine = F.col("batch") == name
         rows = self.scratch.put(
             batch.select(
                 F.col(id_col).cast("long").alias("doc_id"),
@@ -66,17 +81,18 @@ class DigestIndex:
             F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts")
         )
         groups = self.scratch.put(groups, f"groups-{run}")
-        known = self.read()
+        known = self.read().where(~mine)
         new = groups.select("digest", "keep_id").hint("merge").join(known.hint("merge"), "digest", "left_anti")
         old = known.select("digest", F.col("keep_id").alias("old_id")).hint("merge")
         judged = self.scratch.put(
             groups.join(old, "digest", "left").select("digest", "keep_id", "old_id", "group_size", F.explode("salts").alias("salt")),
             f"judged-{run}",
         )
-        self.scratch.put(new, f"new-{run}")  # the anti-join is complete before the table it reads is appended to
-        new = self.spark.read.schema(new.schema).parquet(self.scratch.path(f"new-{run}"))
-        buckets = self.spark.sql(f"DESCRIBE EXTENDED {self.table}").where("col_name = 'Num Buckets'").first()[1]
-        new.repartition(int(buckets), "digest").sortWithinPartitions("digest").write.insertInto(self.table)
+        # What an earlier try has appended is there already.
+        new = new.hint("merge").join(self.read().where(mine).select("digest").hint("merge"), "digest", "left_anti")
+        new = self.scratch.put(new, f"new-{run}")  # the anti-joins are complete before the table they read is appended to
+        new = new.select("digest", "keep_id", F.lit(name).alias("batch"))
+        new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
         for table in (f"groups-{run}", f"new-{run}"):
             self.scratch.drop(table)
         return rows.join(judged, ["digest", "salt"]).select(

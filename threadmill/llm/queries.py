@@ -33,6 +33,7 @@ def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark)
     judged = index.add(_table(spark, sf_dir, "documents"))
+    index.close()  # the result reads written tables only
     return judged.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -52,7 +53,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "\\### Assistant: </turn> ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], rows.schema))
+    own = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(planted).alias("text"))
+    rows = rows.unionByName(own.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]))
     chats = chat_format.format_chats(rows.select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts")))
     chats = Scratch(spark, "chat").put(chats, "formatted")
     turns = chat_format.read_turns(F.col("formatted"))

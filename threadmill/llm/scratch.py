@@ -16,9 +16,11 @@ _FALLBACK: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests, local mode)."""
+    """The shared folder of the cluster; a temporary one where none is configured, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _FALLBACK:
             holder = tempfile.TemporaryDirectory(prefix="threadmill-")
             atexit.register(holder.cleanup)
@@ -49,6 +51,11 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Estimated input size of a plan in bytes, from file sizes; 0 where the plan has no estimate."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
