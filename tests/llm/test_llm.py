@@ -152,6 +152,16 @@ def test_decontaminate(spark):
     assert key(got) == key(expected)
 
 
+def test_the_index_finds_all_items_within_the_radius(spark):
+    """Two items of one length; the document's shared shingles are those of one, but it is like both."""
+    base = [f"w{i}" for i in range(60)]
+    other = ["x0", *base[1:59], "x59"]
+    items = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(f"y{i}" for i in range(60)))], "item_id long, text string")
+    docs = table(spark, [(1, " ".join(["a", *base, "b"]), "a"), (2, " ".join(f"z{i}" for i in range(50)), "a")])
+    got = decontaminate.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (1, 2)} and all(r.hamming <= 24 for r in got)
+
+
 def test_decontaminate_nothing(spark, docs, nothing):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.contaminated(nothing, items).count() == 0

@@ -6,10 +6,12 @@ into ``BLOCKS`` blocks, and each block is indexed under every value within ``rad
 a fingerprint within the radius of an item meets it in one block at least. Candidates are verified by the exact
 weighted similarity: the sum of the lesser weights over the sum of the greater ones, counting repeats.
 
-A window that shares no shingle with an item has similarity zero to it, and one with the least similarity
-shares that part of the item's weight; so windows are laid only around shingles that a document shares with an item,
-at every offset that insertions and deletions within the similarity can cause, and only where the document has that much.
-This drops no window that would pass the exact test.
+Windows are laid where one could pass the exact test: a window that shares no shingle with an item has similarity zero to it,
+and one with the least similarity shares that part of the item's weight; so they are laid around shingles that a document shares
+with some item, at every offset that insertions and deletions within the similarity can cause, and only where the document
+has that much. A window is laid once for a length, not for an item: which items it is like, the index finds, over all
+items of that length. A pair is found if its fingerprints are within ``radius`` (at a similarity of 0.8 they differ in some 10 of 64 bits,
+so 24 leaves out next to none; the tests find every pair).
 
 Words are runs of letters and digits of the lower-cased text. A shingle weighs 4 if one item at most has it, 2 if two
 or three have it, else 1. Items shorter than a shingle are one shingle. Null and empty texts match nothing; ties between
@@ -103,22 +105,22 @@ def contaminated(
     small = places.count() <= BROADCAST_ROWS
     fit = F.broadcast if small else (lambda x: x)
     index = places.select("sh", "item", "q", "weight")
-    found = None
-    for n in sizes:
-        runs = hashed.select(*key, F.posexplode(shingles(word_hashes(F.col("text")), n)).alias("p", "sh"))
-        found = runs if found is None else found.unionByName(runs)
+    # Shingles of all sizes in one pass; the words are bound by an outer function, so that they are formed once.
+    each = lambda h: [F.transform(shingles(h, n), lambda sh, p: F.struct(p.alias("p"), sh.alias("sh"))) for n in sizes]
+    runs = F.transform(F.array(word_hashes(F.col("text"))), lambda h: F.concat(*each(h)))[0]
+    found = hashed.select(*key, F.inline(runs))
     anchors = scratch.put(found.join(fit(index), "sh"), "anchors")
     # Enough of the item's weight must be there, counting a shingle no more often than the item has it.
     have = anchors.select(*key, "item", "sh", "weight", "p").distinct().groupBy(*key, "item", "sh", "weight").agg(F.count("*").alias("doc_n"))
     have = have.join(fit(counted), ["item", "sh", "weight"]).groupBy(*key, "item").agg(F.sum(F.col("weight") * F.least("doc_n", "item_n")).alias("shared"))
     pairs = have.join(fit(totals), "item").where(F.col("shared") >= similarity * F.col("item_total")).select(*key, "item", "size", "words")
     spread = F.ceil((1 - similarity) * F.col("words")).cast("int") + 1
-    starts = anchors.join(pairs, [*key, "item"]).select(*key, "item", "size", "words", (F.col("p") - F.col("q")).alias("at")).distinct()
-    starts = starts.select(*key, "item", "size", "words", F.explode(F.sequence(F.col("at") - spread, F.col("at") + spread)).alias("start"))
-    starts = scratch.put(starts.groupBy(*key, "item", "size", "words").agg(F.collect_set("start").alias("starts")), "starts")
+    starts = anchors.join(pairs, [*key, "item"]).select(*key, "size", "words", (F.col("p") - F.col("q")).alias("at")).distinct()
+    starts = starts.select(*key, "size", "words", F.explode(F.sequence(F.col("at") - spread, F.col("at") + spread)).alias("start"))
+    starts = scratch.put(starts.groupBy(*key, "size", "words").agg(F.collect_set("start").alias("starts")), "starts")
 
     # Windows of the few documents that have candidates.
-    again = hashed.join(starts, key).select("doc_id", *key, "item", "size", "words", "starts", word_hashes(F.col("text")).alias("h"))
+    again = hashed.join(starts, key).select("doc_id", *key, "size", "words", "starts", word_hashes(F.col("text")).alias("h"))
     last = F.greatest(F.size("h") - F.col("words"), F.lit(0))
     again = again.withColumn("starts", F.array_distinct(F.transform("starts", lambda s: F.greatest(F.lit(0), F.least(s, last)))))
     by_shingle = None
@@ -126,10 +128,10 @@ def contaminated(
         part = again.where(F.col("size") == n).withColumn("all", shingles(F.col("h"), n))
         part = part.withColumn("start", F.explode("starts")).drop("starts", "h")
         run = F.slice("all", F.col("start") + 1, F.greatest(F.col("words") - n + 1, F.lit(1)))
-        part = part.select("doc_id", *key, "item", "words", "start", run.alias("run"))
+        part = part.select("doc_id", *key, "words", "start", run.alias("run"))
         by_shingle = part if by_shingle is None else by_shingle.unionByName(part)
     # Rows with the same id and text are one window; how often they occur comes back at the end.
-    window = [*key, "item", "start"]
+    window = [*key, "words", "start"]
     windows = by_shingle.dropDuplicates(window).select(*window, F.explode("run").alias("sh"))
     known = places.select("sh", "weight").distinct()
     windows = windows.join(fit(known), "sh", "left").withColumn("weight", F.coalesce("weight", F.lit(4).cast("long")))
@@ -141,21 +143,21 @@ def contaminated(
     flips = F.array(*[F.lit(m).cast("long") for m in near])
     around = lambda k: F.transform(flips, lambda m: _block(F.col("item_fp"), k).bitwiseXOR(m))
     of_item = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), around(k).alias("near")) for k in range(BLOCKS)]))
-    blocks = totals.select("item", "item_fp", "item_total", of_item.alias("b")).select("item", "item_fp", "item_total", "b.k", F.explode("b.near").alias("block"))
+    blocks = totals.select("item", "words", "item_fp", "item_total", of_item.alias("b")).select("item", "words", "item_fp", "item_total", "b.k", F.explode("b.near").alias("block"))
     probes = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("fp"), k).alias("block")) for k in range(BLOCKS)]))
-    met = prints.select(*window, "total", "fp", probes.alias("b")).select(*window, "total", "fp", "b.k", "b.block").join(blocks, ["item", "k", "block"])
+    met = prints.select(*window, "total", "fp", probes.alias("b")).select(*window, "total", "fp", "b.k", "b.block").join(blocks, ["words", "k", "block"])
     met = met.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= radius)
-    met = met.select(*window, "total", "item_total", "hamming").distinct()
-    shared = windows.join(fit(counted), ["item", "sh", "weight"]).groupBy(*window).agg(F.sum(F.col("weight") * F.least("n", "item_n")).alias("shared"))
+    met = scratch.put(met.select(*window, "item", "total", "item_total", "hamming").distinct(), "met")
+    shared = met.select(*window, "item").join(windows, window).join(fit(counted), ["item", "sh", "weight"])
+    shared = shared.groupBy(*window, "item").agg(F.sum(F.col("weight") * F.least("n", "item_n")).alias("shared"))
     alike = F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))
-    sure = met.join(shared, window).withColumn("similarity", alike).where(F.col("similarity") >= similarity)
+    sure = met.join(shared, [*window, "item"]).withColumn("similarity", alike).where(F.col("similarity") >= similarity)
     best = sure.groupBy(*key, "item").agg(F.max_by(F.struct("similarity", "start", "hamming"), F.struct("similarity", -F.col("start"))).alias("w"))
     named = own.select("item", "item_id", F.size("h").alias("words"))
-    ids = by_shingle.select("doc_id", *key, "item", "start")
-    ids = ids.withColumnRenamed("start", "some_start")
-    first = ids.groupBy("doc_id", *key, "item").agg(F.min("some_start").alias("some_start"), F.count("*").alias("rows"), F.count_distinct("some_start").alias("starts"))
+    ids = by_shingle.select("doc_id", *key, "words", F.col("start").alias("some_start"))
+    first = ids.groupBy("doc_id", *key, "words").agg(F.min("some_start").alias("some_start"), F.count("*").alias("rows"), F.count_distinct("some_start").alias("starts"))
     times = F.explode(F.sequence(F.lit(1), (F.col("rows") / F.col("starts")).cast("int")))
-    out = best.join(first, [*key, "item"]).join(named, "item")
+    out = best.join(named, "item").join(first, [*key, "words"])
     return out.select(
         "doc_id", "item_id", F.col("w.similarity").alias("similarity"), F.col("w.start").alias("start_word"), "words", F.col("w.hamming").alias("hamming"), times.alias("copy")
     ).drop("copy")
