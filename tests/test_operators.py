@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import text
 from threadmill.functions.contracts import ContractError
-from threadmill.operators import discovery, golden, inference, labels, metrics, resolution, sampling, vectors
+from threadmill.operators import discovery, golden, inference, labels, metrics, resolution, sampling, stitch, vectors
 from threadmill.streaming import verdicts
 
 
@@ -109,6 +109,80 @@ def test_inference_caches_and_repairs(spark, tmp_path):
         inference.cached(spark.createDataFrame([(3, "x")], work.schema), log, lambda: lambda *a: ("hm", "m"), "s", valid)
 
 
+def test_a_run_that_dies_keeps_its_verdicts(spark, tmp_path):
+    """Every row is sent once over both runs, but for the wave in which the first one died."""
+    calls = spark.sparkContext.accumulator(0)
+    work = spark.range(60).select(F.col("id").alias("interaction_id"), F.col("id").cast("string").alias("prompt"))
+    log, flag = f"file://{tmp_path}/log", tmp_path / "broken"
+    flag.touch()
+    path = str(flag)
+    fourth = str(work.where(F.pmod(F.xxhash64("interaction_id", F.lit(7)), F.lit(6)) == 3).first()[0])  # of six waves
+
+    def make():
+        import os
+
+        def model(prompt, system, temperature):
+            if os.path.exists(path) and prompt == fourth:
+                raise ValueError("the worker is lost")
+            calls.add(1)
+            return "{}", "m"
+
+        return model
+
+    with pytest.raises(Exception, match="lost"):
+        inference.cached(work, log, make, "s", lambda r: None, wave=10, workers=2).count()
+    kept = spark.read.parquet(log).count()
+    assert kept > 10
+    flag.unlink()
+    before = calls.value
+    assert inference.cached(work, log, make, "s", lambda r: None, wave=10, workers=2).count() == 60
+    assert calls.value - before == 60 - kept
+
+
+def test_verdicts_that_no_longer_hold(spark, tmp_path):
+    work = spark.createDataFrame([(1, "a"), (2, "b")], "interaction_id long, prompt string")
+    log = f"file://{tmp_path}/log"
+    says = lambda what: lambda: lambda *a: (f'{{"intent": "{what}"}}', "m")
+    named = lambda *names: F.get_json_object("reply", "$.intent").isin(*names)
+    assert inference.cached(work, log, says("old"), "s", lambda r: None, current=named("old")).count() == 2
+    with pytest.raises(ContractError, match="no longer hold"):
+        inference.cached(work, log, says("new"), "s", lambda r: None, current=named("new"))
+    got = inference.cached(work, log, says("new"), "s", lambda r: None, current=named("new"), stale="redo")
+    assert {r.reply for r in got.collect()} == {'{"intent": "new"}'}
+
+
+def test_errors_are_named(spark, tmp_path):
+    work = spark.createDataFrame([(7, "a")], "interaction_id long, prompt string")
+
+    def make():
+        def model(*_):
+            raise inference.InferenceError("no such model", 404)
+
+        return model
+
+    with pytest.raises(ContractError, match="7: call failed: no such model"):
+        inference.cached(work, f"file://{tmp_path}/log", make, "s", lambda r: None)
+
+
+def test_hint_replies_need_a_decision():
+    from threadmill.cli import valid_reply
+
+    check = valid_reply("intent", ["x"], decision=("auto", "escalate"))
+    assert check('{"intent": "x", "decision": "maybe", "justification": "y"}') == "unknown decision"
+    assert check('{"intent": "x", "decision": "auto", "justification": "y"}') is None
+
+
+def test_grow_and_climb_over_cycles_and_long_chains(spark):
+    """A chain longer than several rounds of hops, and two rows that answer each other."""
+    who = lambda i: "brand" if i % 2 else "cust"
+    rows = [(i, who(i), i % 2 == 0, "@brand hi", i - 1 if i else None) for i in range(40)] + [(100, "cust", True, "@brand", 101), (101, "cust", True, "@brand", 100)]
+    t = spark.createDataFrame(rows, "tweet_id long, author_id string, inbound boolean, text string, parent_id long").withColumn("created_at", F.col("tweet_id"))
+    climbed = {r.seed: r.opening for r in stitch.climb(t, "brand").collect()}
+    assert climbed == {**{i: 0 for i in range(0, 40, 2)}, 100: 101, 101: 100}
+    grown = stitch.grow(t, spark.createDataFrame([(0,), (100,)], "opening long"), "brand")
+    assert sorted(tuple(r) for r in grown.collect()) == [(0, i) for i in range(40)] + [(100, 100), (100, 101)]
+
+
 def test_backoff():
     slept, tries = [], []
 

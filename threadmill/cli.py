@@ -82,8 +82,8 @@ def adjudicate_closures(spark, a):
     sinks.distinct_paths(a.interactions, a.labels, a.output)
     rows, own = _records(spark, a.interactions, "interactions"), _records(spark, a.labels, "closure_labels")
     joined = resolution.exact_join(rows, own).where("needs_adjudication")
-    work = joined.select("interaction_id", inference.adjudication_prompt(F.col("turns"), F.col("reason")).alias("prompt"))
-    said = inference.cached(work, a.log, a.make_model(), "Judge how the conversation ended. Reply with a JSON object with label and justification.", a.valid("label", V.CLOSURE_LABELS))
+    work = joined.select("interaction_id", inference.adjudication_prompt(F.col("turns"), F.col("reason"), V.CLOSURE_LABELS).alias("prompt"))
+    said = inference.cached(work, a.log, a.make_model(), "Judge how the conversation ended. Reply with a JSON object with label and justification.", a.valid("label", V.CLOSURE_LABELS), current=_names("label", V.CLOSURE_LABELS))
     fields = inference.reply_fields(F.col("reply"), "label", V.CLOSURE_LABELS)
     final = resolution.merge_verdicts(own, said.select("interaction_id", fields["value"].alias("label"), fields["text"].alias("reason"), "model"))
     _write((final, a.output, ["interaction_id"]))
@@ -138,10 +138,12 @@ def sample_golden(spark, a):
     final = _taxonomy(spark, a.taxonomy)
     names = [r[0] for r in final["intents"].select("intent_id").collect()]
     rows = stitch.opening_text(stitch.with_opening(_records(spark, a.input, "interactions")))
-    work = rows.select("interaction_id", inference.intent_prompt(inference.definitions_text(final["intents"]), F.col("message")).alias("prompt"))
-    said = inference.cached(work, a.log, a.make_model(), "Name the intent and whether to escalate. Reply with a JSON object with intent, decision and justification.", a.valid("intent", names), attempts=3)
+    rule = "Escalate what a reply cannot settle by itself: accounts, payments, safety, anger."
+    work = rows.select("interaction_id", inference.intent_prompt(inference.definitions_text(final["intents"]), F.col("message"), rule).alias("prompt"))
+    valid, current = a.valid("intent", names, decision=V.DECISIONS), _names("intent", names) & _names("decision", V.DECISIONS)
+    said = inference.cached(work, a.log, a.make_model(THINKING_OFF), "Name the intent and whether to escalate. Reply with a JSON object with intent, decision (auto or escalate) and justification.", valid, current=current, stale="redo", attempts=3)
     found = inference.json_object(F.col("reply"))
-    hints = said.select("interaction_id", F.get_json_object(found, "$.intent").alias("intent"), F.coalesce(F.get_json_object(found, "$.decision"), F.lit("escalate")).alias("decision"))
+    hints = said.select("interaction_id", F.get_json_object(found, "$.intent").alias("intent"), F.get_json_object(found, "$.decision").alias("decision"))
     queue = golden.plan_queue(hints, final["intents"].select("ord", F.col("intent_id").alias("intent")), a.target, a.floor, a.auto_share, a.seed)
     _write((queue.drop("queue_pos").withColumn("_p", queue.queue_pos).orderBy("_p").drop("_p"), a.output, []))
     return _one(queue.agg(F.count("*").alias("queued"), F.count_if(F.col("hint_decision") == "auto").alias("auto")))
@@ -165,7 +167,7 @@ def label_intents(spark, a):
     pool = stitch.opening_text(_records(spark, a.input, "interactions"))
     part = sampling.dev_slice(pool, a.slice_size, a.seed)
     work = part.select("interaction_id", inference.intent_prompt(inference.definitions_text(final["intents"]), F.col("message")).alias("prompt"))
-    said = inference.cached(work, a.log, a.make_model(), "Name the intent. Reply with a JSON object with intent and justification.", a.valid("intent", names))
+    said = inference.cached(work, a.log, a.make_model(), "Name the intent. Reply with a JSON object with intent and justification.", a.valid("intent", names), current=_names("intent", names))
     r = inference.reply_fields(F.col("reply"), "intent", names)
     own = said.join(part, "interaction_id").select("interaction_id", F.col("message").alias("customer_message"), r["value"].alias("intent"), F.lit("labeler").alias("source"), r["text"].alias("justification"), "model", F.lit(final["version"]).alias("taxonomy_version"))
     if a.corrections:
@@ -175,6 +177,11 @@ def label_intents(spark, a):
     return json.dumps([x.asDict() for x in labels.distribution(own, intents).orderBy("ord").collect()])
 
 
+def _names(choice: str, allowed) -> object:
+    """Whether a logged reply names an allowed choice."""
+    return F.get_json_object(inference.json_object(F.col("reply")), f"$.{choice}").isin(*allowed)
+
+
 def smoke_model(spark, a):
     return a.make_model()()("Say hello.", "You are brief.", 0.0)[0]
 
@@ -199,9 +206,9 @@ COMMANDS = {
 }
 
 
-def valid_reply(choice: str, allowed) -> object:
-    """What is wrong with a reply, for the repair prompt."""
-    allowed = list(allowed)
+def valid_reply(choice: str, allowed, **more) -> object:
+    """What is wrong with a reply, for the repair prompt; ``more`` are further choices and what they may be."""
+    choices = {choice: list(allowed), **{k: list(v) for k, v in more.items()}}
 
     def check(reply: str) -> str | None:
         bare = reply[reply.find("{") : reply.rfind("}") + 1]
@@ -209,15 +216,20 @@ def valid_reply(choice: str, allowed) -> object:
             got = json.loads(bare)
         except ValueError:
             return "no JSON object"
-        if got.get(choice) not in allowed:
-            return f"unknown {choice}"
+        for name, values in choices.items():
+            if got.get(name) not in values:
+                return f"unknown {name}"
         return None if str(got.get("justification") or "").strip() else "no justification"
 
     return check
 
 
-def http_model(path: str | None = None, role: str = "labeler"):
-    """A chat model of the configured service."""
+#: Sent with each request for a hint: a label is wanted, no reasoning.
+THINKING_OFF = {"chat_template_kwargs": {"enable_thinking": False}}
+
+
+def http_model(path: str | None = None, role: str = "labeler", extra: dict | None = None):
+    """A chat model of the configured service; ``extra`` is added to each request."""
 
     def make():
         import urllib.error
@@ -226,7 +238,7 @@ def http_model(path: str | None = None, role: str = "labeler"):
         conf, key = config.load(path), config.api_key(("THREADMILL_API_KEY", "OPENAI_API_KEY"))
 
         def call(prompt: str, system: str, temperature: float) -> tuple[str, str]:
-            body = {"model": conf["roles"][role], "temperature": temperature, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
+            body = {"model": conf["roles"][role], "temperature": temperature, **(extra or {}), "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
             ask = urllib.request.Request(f"{conf['base_url'].rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
             try:
                 with urllib.request.urlopen(ask, timeout=120) as r:
@@ -260,7 +272,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, make_model=None) -> int:
     a = parser().parse_args(argv)
     a.valid = valid_reply
-    a.make_model = lambda: make_model or http_model(a.config)
+    a.make_model = lambda extra=None: make_model or http_model(a.config, extra=extra)
     try:
         print(COMMANDS[a.command][0](spark or session(), a))
     except ERRORS as e:

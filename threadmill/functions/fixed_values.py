@@ -1,6 +1,7 @@
 """Labels, reasons, patterns and limits that results depend on. They are data, kept together and in order."""
 
 CLOSURE_LABELS = ("resolved", "uncertain", "unresolved")
+DECISIONS = ("auto", "escalate")
 
 REASONS = {
     "customer_continues": "customer keeps asking after the brand's last reply",

@@ -1,7 +1,7 @@
 """Inference as an operator: prompts, a cached verdict log, repair retries, backoff, and validated replies.
 
 The model is any callable ``(prompt, system, temperature) -> (text, model)``; each worker makes one. Only rows that the log
-has no valid verdict for are sent; verdicts are written as they come and stay for later runs.
+has no valid verdict for are sent; verdicts are written wave by wave and stay for later runs.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contracts import gate
 from ..functions.text import is_blank, json_object, prompt_hash, squeeze
+from ..plans.staging import stage_table
 
 Infer = Callable[[str, str, float], tuple[str, str]]
 TRANSIENT = (408, 409, 425, 429)
@@ -76,22 +77,50 @@ def infer(work: DataFrame, make: Callable[[], Infer], system: str, valid: Callab
     return asked.repartition(workers).mapInPandas(run, f"{key} long, prompt_sha256 string, reply string, model string, error string")
 
 
-def cached(work: DataFrame, log_path: str, make: Callable[[], Infer], system: str, valid: Callable[[str], str | None], key: str = "interaction_id", **options) -> DataFrame:
-    """Verdicts of all rows, from the log where its prompt is the same, else inferred and appended to the log."""
+LOG = "prompt_sha256 string, reply string, model string, error string, recorded long"
+
+
+def latest_valid(log: DataFrame, key: str) -> DataFrame:
+    """``key, prompt_sha256, reply, model`` of the last record without an error of each row and prompt."""
+    last = F.max_by(F.struct("reply", "model"), "recorded").alias("r")
+    return log.where("error is null").groupBy(key, "prompt_sha256").agg(last).select(key, "prompt_sha256", "r.reply", "r.model")
+
+
+def cached(
+    work: DataFrame, log_path: str, make: Callable[[], Infer], system: str, valid: Callable[[str], str | None], key: str = "interaction_id",
+    current: Column | None = None, stale: str = "raise", wave: int = 200, **options,
+) -> DataFrame:
+    """Verdicts of all rows, from the log where its prompt is the same, else inferred and appended to the log.
+
+    ``current`` says of a logged ``reply`` whether it still holds (its choice may have left the taxonomy since): rows for which
+    it does not are an error, or with ``stale="redo"`` inferred again. Rows are sent in waves of about ``wave``; each is appended before the next
+    is sent, so a run that dies loses one wave at most. The last record of a row and prompt counts.
+    """
     spark = work.sparkSession
-    schema = f"{key} long, prompt_sha256 string, reply string, model string, error string"
+    schema = f"{key} long, {LOG}"
+    holds = F.lit(True) if current is None else F.coalesce(current, F.lit(False))
     asked = work.withColumn("prompt_sha256", prompt_hash(F.lit(system), F.col("prompt")))
     keys = [key, "prompt_sha256"]
+    missing = asked
     if _exists(spark, log_path):
-        known = spark.read.schema(schema).parquet(log_path).where("error is null").dropDuplicates(keys)
-        missing = asked.join(known, keys, "left_anti")
-    else:
-        missing = asked
-    infer(missing, make, system, valid, key=key, **options).write.mode("append").parquet(log_path)
+        known = latest_valid(spark.read.schema(schema).parquet(log_path), key)
+        if stale == "raise":
+            gate(known.where(~holds).join(asked.select(*keys), keys, "left_semi"), "logged verdicts that no longer hold", key)
+        missing = asked.join(known.where(holds), keys, "left_anti")
+    missing = stage_table(missing, "asked")
+    waves = -(-missing.count() // wave)
+    for k in range(waves):
+        part = missing.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(waves)) == k)
+        infer(part, make, system, valid, key=key, **options).withColumn("recorded", F.lit(time.time_ns())).write.mode("append").parquet(log_path)
+    if not waves and not _exists(spark, log_path):
+        return spark.createDataFrame([], f"{key} long, prompt_sha256 string, reply string, model string")
     log = spark.read.schema(schema).parquet(log_path)
-    failed = asked.join(log.where("error is null"), keys, "left_anti")
-    gate(failed, "rows without a verdict", key)
-    return log.where("error is null").dropDuplicates(keys).join(asked.select(*keys), keys, "left_semi")
+    got = latest_valid(log, key).where(holds)
+    failed = stage_table(asked.join(got, keys, "left_anti").select(*keys), "failed")
+    if not failed.isEmpty():
+        why = log.where("error is not null").join(failed, keys).groupBy(key).agg(F.max_by("error", "recorded").alias("error")).orderBy(key).limit(5).collect()
+        gate(failed, "rows without a verdict (" + "; ".join(f"{r[0]}: {r[1]}" for r in why) + ")", key)
+    return got.join(asked.select(*keys), keys, "left_semi")
 
 
 def _exists(spark, path: str) -> bool:
@@ -111,14 +140,25 @@ def reply_fields(reply: Column, choice: str, allowed: Sequence[str], text: str =
     return F.struct(value.alias("value"), said.alias("text"), error.alias("error"))
 
 
-def adjudication_prompt(turns: Column, flag: Column) -> Column:
-    """A conversation as lines, and why it could not be judged by rule."""
-    lines = F.array_join(F.transform(turns, lambda t: F.concat(t["side"], F.lit(": "), t["text"])), "\n")
-    return F.concat(F.lit("Flag: "), flag, F.lit("\n\n"), lines)
+#: How a conversation may have ended, for the model that judges it.
+ENDINGS = {
+    "resolved": "the customer's problem was solved, or the customer says so",
+    "uncertain": "the turns do not show how it ended, for it goes on elsewhere or stops",
+    "unresolved": "the problem was left open, or the customer says that it remains",
+}
+
+
+def adjudication_prompt(turns: Column, flag: Column, labels: Sequence[str] = ()) -> Column:
+    """The labels with their meaning, why the rules could not decide, and the conversation as numbered lines."""
+    meant = "".join(f"- {x}: {ENDINGS.get(x, x.replace('_', ' '))}\n" for x in labels)
+    rules = f"Labels:\n{meant}\nJudge by the last turns first; a promise is no solution, and thanks alone are none.\n\n" if labels else ""
+    lines = F.array_join(F.transform(turns, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t["side"], F.lit(": "), t["text"])), "\n")
+    return F.concat(F.lit(f"{rules}Flag: "), flag, F.lit("\n\n"), lines)
 
 
-def intent_prompt(definitions: str, message: Column) -> Column:
-    return F.concat(F.lit(f"Intents:\n{definitions}\n\nMessage: "), message)
+def intent_prompt(definitions: str, message: Column, rules: str = "") -> Column:
+    """The intents with their definitions, further rules, and the message."""
+    return F.concat(F.lit(f"Intents:\n{definitions}\n\n" + (f"{rules}\n\n" if rules else "") + "Message: "), message)
 
 
 def cluster_prompt(examples: Column, candidates: Column) -> Column:

@@ -1,7 +1,7 @@
 """Stitching reply edges into conversations between one customer and a brand.
 
 Rows are ``tweet_id, author_id, inbound, created_at, text, parent_id``. Climbing and growing are frontier joins whose state is
-written every round; a path carries the ids it has been at, so cycles end it.
+written every few hops; a path carries the ids it has been at, so cycles end it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, mentions
 from ..plans.staging import stage_table
 
+#: Replies that are followed between two written states.
+HOPS = 6
+
 
 def parents(tweets: DataFrame) -> DataFrame:
     """``tweet_id, parent_author, parent_exists``: the row that each row replies to; it may be missing."""
@@ -35,45 +38,52 @@ def seeds(tweets: DataFrame, brand: str) -> DataFrame:
 
 
 def climb(tweets: DataFrame, brand: str, found: DataFrame | None = None) -> DataFrame:
-    """``seed, opening``: from each seed up through the brand's rows and its author's own seeds."""
+    """``seed, opening``: from each seed up through the brand's rows and its author's own seeds, ``HOPS`` rows at a time."""
     found = stage_table(seeds(tweets, brand) if found is None else found, "seeds")
     nodes = tweets.select(F.col("tweet_id").alias("at"), "parent_id", F.col("author_id").alias("node_author"))
     nodes = stage_table(nodes.join(found.select(F.col("tweet_id").alias("at"), F.lit(True).alias("is_seed")), "at", "left"), "nodes")
+    up = nodes.select(F.col("at").alias("parent_id"), F.col("parent_id").alias("next"), "node_author", "is_seed")
     start = found.join(nodes.select(F.col("at").alias("tweet_id"), "parent_id"), "tweet_id")
-    open_ = start.select(F.col("tweet_id").alias("seed"), F.col("author_id").alias("author"), F.col("tweet_id").alias("opening"), "parent_id", F.array("tweet_id").alias("path"))
+    state = start.select(F.col("tweet_id").alias("seed"), F.col("author_id").alias("author"), F.col("tweet_id").alias("opening"), "parent_id", F.array("tweet_id").alias("path"))
+    fresh = F.col("node_author").isNotNull() & ~F.array_contains("path", F.col("parent_id"))
+    own = F.coalesce(fresh & (F.col("node_author") == F.col("author")) & F.coalesce("is_seed", F.lit(False)), F.lit(False))
+    goes = F.coalesce(F.col("parent_id").isNotNull() & (fresh & (F.col("node_author") == brand) | own), F.lit(False))
     done = None
     while True:
-        up = nodes.select(F.col("at").alias("parent_id"), F.col("parent_id").alias("next"), "node_author", "is_seed")
-        moved = open_.join(up, "parent_id", "left")
-        fresh = F.col("node_author").isNotNull() & ~F.array_contains("path", F.col("parent_id"))
-        through = fresh & (F.col("node_author") == brand)
-        own = fresh & (F.col("node_author") == F.col("author")) & F.coalesce("is_seed", F.lit(False))
-        goes = F.coalesce(F.col("parent_id").isNotNull() & (through | own), F.lit(False))
-        step = stage_table(moved.withColumns({"goes": goes, "own": F.coalesce(own, F.lit(False))}), "climb")
-        ended = step.where("not goes").select("seed", "opening")
+        for _ in range(HOPS):  # a row that has ended has no parent to go to
+            moved = state.join(up, "parent_id", "left").withColumns({"goes": goes, "own": own})
+            state = moved.select(
+                "seed", "author", F.when(F.col("goes") & F.col("own"), F.col("parent_id")).otherwise(F.col("opening")).alias("opening"), F.when(F.col("goes"), F.col("next")).alias("parent_id"),
+                F.when(F.col("goes"), F.concat("path", F.array("parent_id"))).otherwise(F.col("path")).alias("path"),
+            )
+        state = stage_table(state, "climb")
+        ended = state.where("parent_id is null").select("seed", "opening")
         done = ended if done is None else done.unionByName(ended)
-        on = step.where("goes")
-        if on.isEmpty():
+        state = state.where("parent_id is not null")
+        if state.isEmpty():
             return done
-        open_ = on.select(
-            "seed", "author", F.when(F.col("own"), F.col("parent_id")).otherwise(F.col("opening")).alias("opening"), F.col("next").alias("parent_id"), F.concat("path", F.array("parent_id")).alias("path")
-        )
 
 
 def grow(tweets: DataFrame, openings: DataFrame, brand: str) -> DataFrame:
-    """``opening, tweet_id``: rows reachable downwards from an opening by its author or the brand."""
+    """``opening, tweet_id``: rows reachable downwards from an opening by its author or the brand, ``HOPS`` levels at a time."""
     nodes = tweets.select("tweet_id", "author_id")
     down = stage_table(tweets.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("at"), F.col("tweet_id").alias("child"), F.col("author_id").alias("child_author")), "edges")
     first = openings.select("opening").distinct().join(nodes.withColumnRenamed("tweet_id", "opening"), "opening")
     frontier = stage_table(first.select("opening", F.col("author_id").alias("customer"), F.col("opening").alias("tweet_id")), "dyads")
     reached = frontier
     while True:
-        step = frontier.withColumnRenamed("tweet_id", "at").join(down, "at").where((F.col("child_author") == F.col("customer")) | (F.col("child_author") == brand))
-        step = step.select("opening", "customer", F.col("child").alias("tweet_id")).distinct()
-        frontier = stage_table(step.join(reached, ["opening", "tweet_id"], "left_anti").select("opening", "customer", "tweet_id"), "dyads")
+        level, levels = frontier, None
+        for hop in range(1, HOPS + 1):
+            level = level.withColumnRenamed("tweet_id", "at").join(down, "at").where((F.col("child_author") == F.col("customer")) | (F.col("child_author") == brand))
+            level = level.select("opening", "customer", F.col("child").alias("tweet_id"))
+            found = level.withColumn("hop", F.lit(hop))
+            levels = found if levels is None else levels.unionByName(found)
+        new = levels.groupBy("opening", "customer", "tweet_id").agg(F.min("hop").alias("hop")).join(reached, ["opening", "tweet_id"], "left_anti")
+        new = stage_table(new.select("opening", "customer", "tweet_id", "hop"), "dyads")
+        reached = reached.unionByName(new.drop("hop"))
+        frontier = new.where(F.col("hop") == HOPS).drop("hop")  # rows met earlier have been gone on from already
         if frontier.isEmpty():
             return reached.select("opening", "tweet_id")
-        reached = reached.unionByName(frontier)
 
 
 def absorbed(dyads: DataFrame) -> DataFrame:

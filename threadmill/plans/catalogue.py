@@ -462,8 +462,24 @@ def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of all vectors; the best of three seeded runs."""
-    return vectors.kmeans(_vectors(spark, sf).select("interaction_id", "vector"), 8, restarts=3)
+    """Clusters of all vectors; the best of ten seeded runs."""
+    return vectors.kmeans(_vectors(spark, sf).select("interaction_id", "vector"), V.CLUSTERS)
+
+
+@query(f"""WITH {_UNIT}, q AS (SELECT vec_id AS query_id, v FROM u WHERE vec_id % 50 = 0),
+    s AS (SELECT query_id, vec_id AS doc_id, {_DOT.format(a="u.v", b="q.v")} AS d, abs(vec_id - query_id) % 7 = 0 AS same_intent, 1.0 / (1 + abs(vec_id - query_id)) AS l FROM u, q),
+    b AS (SELECT *, l / max(l) OVER w AS ls, d / max(d) OVER w AS ds FROM s WINDOW w AS (PARTITION BY query_id)),
+    r AS (SELECT query_id, doc_id, round(0.5 * ls + 0.5 * ds + CASE WHEN same_intent THEN 0.1 ELSE 0 END, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY 0.5 * ls + 0.5 * ds + CASE WHEN same_intent THEN 0.1 ELSE 0 END DESC, doc_id) AS rank FROM b)
+    SELECT * FROM r WHERE rank <= 5""")
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexical stand-in (nearness of ids) and the vectors' similarity, for all rows whose id is divisible by 50."""
+    index = _vectors(spark, sf)
+    asked = index.where("interaction_id % 50 = 0").select(F.col("interaction_id").alias("query_id"), "vector")
+    every = vectors.topk_batch(index, asked, index.count()).select("query_id", F.col("interaction_id").alias("doc_id"), "score")
+    apart = F.abs(F.col("doc_id") - F.col("query_id"))
+    lexical = every.select("query_id", "doc_id", (1 / (1 + apart)).alias("score"))
+    out = metrics.hybrid(lexical, every.withColumn("same_intent", apart % 7 == 0))
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # ---- taxonomies and reconciliation
@@ -609,9 +625,9 @@ def _overlaid(spark: SparkSession, sf: str) -> DataFrame:
     return labels.overlay(own, fix, ["q00", "q01", "q10", "q11"])
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'de')")
 def pool_membership(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.outside_pool(table(spark, sf, "labels"), table(spark, sf, "documents"), "doc_id")
+    return labels.outside_pool(table(spark, sf, "labels"), table(spark, sf, "documents").where("lang <> 'de'"), "doc_id")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size % 4 = 0 OR p_brand IS NULL")
@@ -637,6 +653,57 @@ def review_top_n(spark: SparkSession, sf: str) -> DataFrame:
     return labels.review_rows(_overlaid(spark, sf)).select("intent", "interaction_id", "source", F.col("rank").cast("long").alias("rank"), "total")
 
 
+# ---- inference with a model that answers by rule
+
+_STUB = "SELECT doc_id AS interaction_id, CASE WHEN quality = 1 THEN 'resolved' WHEN toxic = 1 THEN 'unresolved' ELSE 'uncertain' END AS label FROM labels"
+
+
+def _rule_model():
+    """A model that finds its answer in the prompt, at first without JSON for every third row."""
+
+    def model(prompt: str, system: str, temperature: float) -> tuple[str, str]:
+        row = prompt.split("\n")[0]
+        label = "resolved" if "quality 1" in row else "unresolved" if "toxic 1" in row else "uncertain"
+        sound = "is not valid" in prompt or int(row.split()[0]) % 3
+        return (f'{{"label": "{label}", "justification": "by rule"}}' if sound else "let me think"), "rule"
+
+    return model
+
+
+@query(f"SELECT interaction_id, label, 'by rule' AS justification, 'rule' AS model FROM ({_STUB})")
+def stub_inference(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts, repair of invalid replies, the verdict log and reading it back, over all labels."""
+    import json
+    import uuid
+
+    from ..operators import inference
+    from ..plans.staging import stage_root
+
+    def valid(reply: str) -> str | None:
+        try:
+            return None if json.loads(reply)["label"] in V.CLOSURE_LABELS else "unknown label"
+        except ValueError:
+            return "no JSON object"
+
+    rows = table(spark, sf, "labels")
+    prompt = F.format_string("%d quality %d toxic %d", F.col("doc_id"), F.col("quality").cast("long"), F.col("toxic").cast("long"))
+    work = rows.select(F.col("doc_id").alias("interaction_id"), prompt.alias("prompt"))
+    log = f"{stage_root(spark)}/threadmill/verdicts-{uuid.uuid4().hex[:12]}"
+    said = inference.cached(work, log, _rule_model, "Judge.", valid, wave=max(200, work.count() // 2))
+    r = inference.reply_fields(F.col("reply"), "label", V.CLOSURE_LABELS)
+    return said.select("interaction_id", r["value"].alias("label"), r["text"].alias("justification"), "model")
+
+
+@query(f"""WITH {MESSAGES}, m AS (SELECT conv_id, list(struct_pack(turn := turn, side := side, text := text) ORDER BY turn, side, text) AS t FROM messages GROUP BY 1),
+    lab AS ({_STUB}) SELECT conv_id AS conversation_id, t[1].text AS customer_message, list_filter(t, lambda x: x.side = 'brand')[1].text AS brand_reply, concat('i', conv_id % 4) AS intent, label AS resolution
+    FROM m JOIN lab ON interaction_id = conv_id WHERE t[1].side = 'customer'""")
+def case_rows(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("quality") == 1, "resolved").when(F.col("toxic") == 1, "unresolved").otherwise("uncertain")
+    rows = interactions(spark, sf).join(table(spark, sf, "labels").select(F.col("doc_id").alias("interaction_id"), label.alias("label")), "interaction_id")
+    intents = rows.select("interaction_id", F.concat(F.lit("i"), (F.col("interaction_id") % 4).cast("string")).alias("intent"))
+    return metrics.case_format(rows, intents)
+
+
 # ---- second tier
 
 _PAIRS = "pairs AS (SELECT CASE quality WHEN 1 THEN 'auto' ELSE 'escalate' END AS gold, CASE WHEN toxic = 1 OR doc_id % 9 = 0 THEN 'escalate' ELSE 'auto' END AS predicted FROM labels)"

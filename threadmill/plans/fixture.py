@@ -40,7 +40,8 @@ MESSAGES = f"""
         JOIN brand_said b ON b.k = (c.conv_id * 7 + c.turn) % {len(REPLIES)}
         WHERE c.role IN ('user', 'assistant'))"""
 
-#: The reply graph of all conversations: system rows are a third party.
+#: The reply graph of all conversations: system rows are a third party. In every sixth one the third message answers the first, unseen by
+#: the brand, and the fifth answers that: an opening inside another's dyad.
 TWEETS = f"""
     {_pick("customer_said", CUSTOMER)}, {_pick("brand_said", REPLIES)},
     tweets AS (
@@ -48,9 +49,10 @@ TWEETS = f"""
                CASE c.role WHEN 'assistant' THEN 'brand' WHEN 'user' THEN concat('cust_', CAST(c.conv_id AS VARCHAR(20))) ELSE concat('sys_', CAST(c.conv_id AS VARCHAR(20))) END AS author_id,
                c.role <> 'assistant' AS inbound,
                CAST(1509494400 + c.conv_id * 1000 + c.turn * 60 AS BIGINT) AS created_at,
-               CASE WHEN c.role = 'assistant' THEN b.phrase WHEN c.conv_id % 3 = 0 THEN concat('@Brand ', u.phrase)
+               CASE WHEN c.role = 'assistant' THEN b.phrase WHEN c.conv_id % 6 = 0 AND c.turn = 2 THEN u.phrase WHEN c.conv_id % 3 = 0 THEN concat('@Brand ', u.phrase)
                     WHEN c.conv_id % 3 = 1 THEN concat('@BrandHelp ', u.phrase) ELSE u.phrase END AS text,
-               CASE WHEN c.turn > 0 THEN c.conv_id * 100 + c.turn - 1 END AS parent_id
+               CASE WHEN c.conv_id % 6 = 0 AND c.turn IN (2, 3) THEN c.conv_id * 100 WHEN c.conv_id % 6 = 0 AND c.turn = 4 THEN c.conv_id * 100 + 2
+                    WHEN c.turn > 0 THEN c.conv_id * 100 + c.turn - 1 END AS parent_id
         FROM conversations c
         JOIN customer_said u ON u.k = (c.conv_id * 7 + c.turn) % {len(CUSTOMER)}
         JOIN brand_said b ON b.k = (c.conv_id * 7 + c.turn) % {len(REPLIES)})"""

@@ -11,16 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: list[tempfile.TemporaryDirectory] = []
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a table, cutting its lineage, and read it back. A temporary folder serves only where none is configured."""
-    spark = df.sparkSession
+def stage_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one where none is configured, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.TemporaryDirectory(prefix="threadmill-stage-"))
             atexit.register(_OWN[0].cleanup)
         root = f"file://{_OWN[0].name}"
-    path = f"{root.rstrip('/')}/threadmill/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a table, cutting its lineage, and read it back."""
+    spark = df.sparkSession
+    path = f"{stage_root(spark)}/threadmill/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
