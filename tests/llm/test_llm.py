@@ -375,6 +375,23 @@ def test_repeated_bytes(spark, rows, docs, nothing, hot):
     assert suffix_dedup.dedup(nothing).count() == 0
 
 
+def test_contexts_of_a_frequent_anchor_are_spread():
+    from threadmill.llm.runs import Documents
+
+    rng = np.random.default_rng(8)
+    passage = bytes(rng.integers(97, 123, 60).astype(np.uint8))
+    texts = [bytes(rng.integers(97, 123, 90).astype(np.uint8)) + passage + bytes(rng.integers(97, 123, 90).astype(np.uint8)) for _ in range(300)]
+    blob = lattice_lm.pack(np.arange(300), np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8))
+    own = suffix_dedup.Anchors(Documents(blob), 100)
+    asked = suffix_dedup._Contexts(own, 16)
+    hot = int(np.argmax(asked.count))
+    assert asked.count[hot] > 100 and len(set(asked.kmer.tolist())) == len(asked.kmer)
+    kmer, context = own.kmer[own.first], own.context[own.first]
+    mine = set(np.flatnonzero(kmer == asked.kmer[hot]).tolist())
+    shares = [len(mine & set(asked.pair_order[s:e].tolist())) for _, s, e, _, _ in asked.parts]
+    assert sum(shares) == len(mine) == len(set(context[sorted(mine)].tolist())) and max(shares) < len(mine) / 4
+
+
 # ---- 8
 
 

@@ -6,10 +6,11 @@ anchors at equal places; the windows of one anchor occurrence are one context. T
 
 1. Contexts are named by hash under their anchor. Where all contexts of an anchor are equal, every one but the first
    repeats it; later copies of any context repeat its first. Only first contexts of anchors with several different
-   contexts (the edges of repeats) remain.
+   contexts (the edges of repeats) remain. Copies of a context meet in a bucket of the (anchor, context), so a frequent
+   anchor is spread by its contexts; of an anchor itself each run sends its smallest and largest context and their number.
 2. Those are sent to the buckets of their anchors, which sort the suffixes of the contexts (ranks of 8, 16, 32, 64, ...
    bytes, each from two of the half) and find for each window whether its rank was met earlier. Anchors with more than
-   ``HOT`` contexts are not gathered: their windows are asked for one by one (93 bits of hash).
+   ``HOT`` contexts (counted by run) are not gathered: their windows are asked for one by one (93 bits of hash).
 
 A context's name is 61 bits of hash over all its bytes; k-mers only bring together what may be equal.
 
@@ -92,21 +93,61 @@ class Anchors:
         return s1 + base, s2 + base, hashed[at], context, doc + a
 
 
+class _Contexts:
+    """What a run asks in the first round: each (k-mer, context) of the bucket of the pair, whether it was met earlier, and each
+    k-mer of its own bucket, whether it has one context everywhere. A k-mer is one entry of a run, however many contexts it has."""
+
+    def __init__(self, own: Anchors, n: int):
+        self.own = own
+        kmer, self.context = own.kmer[own.first], own.context[own.first]
+        # The pairs are in the order of k-mers, then contexts.
+        head = np.flatnonzero(np.concatenate([[True], kmer[1:] != kmer[:-1]])) if len(kmer) else np.zeros(0, np.int64)
+        self.count = np.diff(np.append(head, len(kmer)))
+        self.kmer, self.least, self.most = kmer[head], self.context[head], self.context[head + self.count - 1]
+        self.pair_order, pairs = by_bucket(mix64(kmer ^ self.context), n)
+        self.kmer_order, kmers = by_bucket(self.kmer, n)
+        of_pairs, of_kmers = {b: (s, e) for b, s, e in pairs}, {b: (s, e) for b, s, e in kmers}
+        #: bucket, pairs from and to, k-mers from and to
+        self.parts = [(b, *of_pairs.get(b, (0, 0)), *of_kmers.get(b, (0, 0))) for b in sorted({*of_pairs, *of_kmers})]
+
+    def messages(self, run: int) -> Iterator[pa.RecordBatch]:
+        own, at = self.own, self.own.first[self.pair_order]
+        kmer, context, doc = own.kmer[at], own.context[at], own.docs.ids[own.doc[at]]
+        for b, s, e, ks, ke in self.parts:
+            k = self.kmer_order[ks:ke]
+            count = np.minimum(self.count[k], 1 << 31).astype(np.uint32)
+            yield message(run, [(b, 0, max(e - s, ke - ks))], kmer[s:e], context[s:e], doc[s:e], self.kmer[k], self.least[k], self.most[k][count > 1], count)
+
+    def state(self, answers: list[bytes]) -> np.ndarray:
+        """Of each (k-mer, context): first, later, first at an edge, or first of a crowded anchor."""
+        later, kind = np.zeros(len(self.context), bool), np.zeros(len(self.kmer), np.uint8)
+        for (_, s, e, ks, ke), blob in zip(self.parts, answers, strict=True):
+            got = unpack(blob)[0]
+            later[self.pair_order[s:e]] = got[: e - s]
+            kind[self.kmer_order[ks:ke]] = got[e - s :]
+        return np.where(later, LATER, np.repeat(kind, self.count)).astype(np.uint8)
+
+
 def _judge(hot: int, run_of: list[int], questions: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """For each asked (k-mer, context, document): first, later, first at an edge, or first of a crowded anchor."""
-    size = [len(q[0]) for q in questions]
-    kmer, low, high, doc = (np.concatenate([q[i] for q in questions]) for i in range(4))
-    context = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-    run = np.repeat(np.array(run_of), size)
-    order = np.lexsort((run, doc, context, kmer))
+    """For each asked (k-mer, context, document) whether it is a later one; then for each k-mer, what its first contexts are."""
+    n_pairs, n_kmers = [len(q[0]) for q in questions], [len(q[3]) for q in questions]
+    kmer, context, doc, own, least, most, count = (np.concatenate([q[i] for q in questions]) for i in range(7))
+    order = np.lexsort((np.repeat(np.array(run_of), n_pairs), doc, context, kmer))
     k, c = kmer[order], context[order]
-    new_k = np.concatenate([[True], k[1:] != k[:-1]])
-    new_c = new_k | np.concatenate([[True], c[1:] != c[:-1]])
-    contexts = np.bincount(np.cumsum(new_k) - 1, new_c)[np.cumsum(new_k) - 1]
-    state = np.where(~new_c, LATER, np.where(contexts == 1, FIRST, np.where(contexts > hot, CROWD, EDGE)))
-    out = np.empty(len(order), np.uint8)
-    out[order] = state
-    return np.split(out, np.cumsum(size)[:-1])
+    later = np.zeros(len(order), np.uint8)
+    later[order[1:]] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+    kind = np.zeros(len(own), np.uint8)
+    if len(own):
+        high = least.copy()
+        high[count > 1] = most
+        order = np.argsort(own, kind="stable")
+        head = np.concatenate([[True], own[order][1:] != own[order][:-1]])
+        at = np.flatnonzero(head)
+        single = np.minimum.reduceat(least[order], at) == np.maximum.reduceat(high[order], at)
+        contexts = np.add.reduceat(count[order].astype(np.int64), at)
+        kind[order] = np.where(single, FIRST, np.where(contexts > hot, CROWD, EDGE))[np.cumsum(head) - 1]
+    cut = lambda x, n: np.split(x, np.cumsum(n)[:-1])
+    return [np.concatenate(x) for x in zip(cut(later, n_pairs), cut(kind, n_kmers), strict=True)]
 
 
 def suffix_ranks(text: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,26 +269,14 @@ def dedup(docs: DataFrame, length: int = 100, hot: int = HOT, id_col: str = "doc
     ex = Exchange(docs, "suffix", id_col, text_col)
     n = ex.buckets
 
-    def pairs(own: Anchors) -> tuple[np.ndarray, np.ndarray, list]:
-        first = own.first
-        order, parts = by_bucket(own.kmer[first], n)
-        return first, order, parts
-
     def ask_contexts(run: int, d: Documents, _: list) -> Iterator[pa.RecordBatch]:
-        own = Anchors(d, length)
-        first, order, parts = pairs(own)
-        if parts:
-            a = first[order]
-            yield message(run, parts, own.kmer[a], (own.context[a] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (own.context[a] >> np.uint64(32)).astype(np.uint32), d.ids[own.doc[a]])
+        yield from _Contexts(Anchors(d, length), n).messages(run)
 
     states = ex.answered(ex.passed(ask_contexts, MESSAGE, []), lambda runs, asked: _judge(hot, runs, asked), "states", runs=True)
 
     def edge(d: Documents, got: list[bytes]) -> _Edge:
         own = Anchors(d, length)
-        first, order, _ = pairs(own)
-        state = np.empty(len(first), np.uint8)
-        state[order] = np.concatenate([np.zeros(0, np.uint8), *[unpack(b)[0] for b in got]])
-        return _Edge(own, state, n)
+        return _Edge(own, _Contexts(own, n).state(got), n)
 
     def ask_edges(run: int, d: Documents, got: list) -> Iterator[pa.RecordBatch]:
         yield from edge(d, got[0]).messages(run)
