@@ -145,7 +145,7 @@ def sample_golden(spark, a):
     found = inference.json_object(F.col("reply"))
     hints = said.select("interaction_id", F.get_json_object(found, "$.intent").alias("intent"), F.get_json_object(found, "$.decision").alias("decision"))
     queue = golden.plan_queue(hints, final["intents"].select("ord", F.col("intent_id").alias("intent")), a.target, a.floor, a.auto_share, a.seed)
-    _write((queue.drop("queue_pos").withColumn("_p", queue.queue_pos).orderBy("_p").drop("_p"), a.output, []))
+    sinks.commit([(sinks.stage_json_lines(queue, a.output, ["queue_pos"], hide=["queue_pos"]), a.output)])
     return _one(queue.agg(F.count("*").alias("queued"), F.count_if(F.col("hint_decision") == "auto").alias("auto")))
 
 

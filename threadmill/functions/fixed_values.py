@@ -49,6 +49,34 @@ KEYWORD_RULES = (
 )
 KEYWORD_FALLBACK = ("app_technical", 0.62, ("case_1516306", "case_2395935"), "escalate")
 
+#: Reply and reason that go with each intent of the keyword rules.
+KEYWORD_REPLIES = {
+    "account": (
+        "Thanks for flagging this — I can see this looks like an account access issue. For your safety, please reset your password from the login page and sign out of all devices. A human specialist will follow up here to confirm your account is secure.",
+        "High-risk category (security/credentials) — always escalates regardless of confidence.",
+    ),
+    "billing_payment": (
+        "Sorry about the billing trouble. Similar past cases were resolved by checking the receipt on the account page and retrying the payment method. A human specialist will review the charge details with you here.",
+        "Payment dispute — requires account-specific investigation before auto-handling.",
+    ),
+    "playback": (
+        "Sorry your music is not playing. Try a quick restart of the app, then check for updates — that resolved similar playback cases. If the error persists, let us know what device you are on.",
+        "High intent confidence with strong historical evidence; no high-risk signals.",
+    ),
+    "presale_codes": (
+        "Presale codes are sent to the email on your account before the sale window. Check spam/promotions and the concert page — that is where similar cases found the code.",
+        "High intent confidence with strong historical evidence; no high-risk signals.",
+    ),
+    "family_plan": (
+        "Sorry the Family invite is failing. Ask the plan owner to resend the invite link and make sure everyone uses the same country on their accounts — that fixed similar cases.",
+        "High intent confidence with strong historical evidence; no high-risk signals.",
+    ),
+    "app_technical": (
+        "Thanks for reaching out — this looks like it may be an app issue. Try updating to the latest version and restarting your device. A human specialist will take a look to confirm the next step.",
+        "Intent confidence is below the auto-handle threshold, so this needs human review.",
+    ),
+}
+
 SAMPLE_SIZE, HOLDOUT_SIZE, SEED = 4000, 1000, 42
 CLUSTERS, EXAMPLES, CANDIDATES, DECIMALS, TOP_K = 30, 8, 5, 6, 5
 GOLDEN_TARGET, GOLDEN_FLOOR, AUTO_SHARE = 200, 10, 0.6

@@ -86,10 +86,13 @@ def transcript(turns: Column) -> Column:
 
 
 def keyword_answer(message: Column) -> Column:
-    """The first keyword rule that matches, else the fallback."""
-    row = lambda intent, confidence, evidence, decision: F.struct(
-        F.lit(intent).alias("intent"), F.lit(confidence).alias("confidence"), F.array(*map(F.lit, evidence)).alias("evidence"), F.lit(decision).alias("decision")
-    )
+    """The first keyword rule that matches, else the fallback: ``intent, confidence, evidence, decision, reply, reason``."""
+
+    def row(intent: str, confidence: float, evidence: tuple[str, ...], decision: str) -> Column:
+        reply, reason = V.KEYWORD_REPLIES[intent]
+        told = [F.lit(decision).alias("decision"), F.lit(reply).alias("reply"), F.lit(reason).alias("reason")]
+        return F.struct(F.lit(intent).alias("intent"), F.lit(confidence).alias("confidence"), F.array(*map(F.lit, evidence)).alias("evidence"), *told)
+
     out = None
     for pattern, *result in V.KEYWORD_RULES:
         hit = strip(message).rlike("(?i)" + pattern)

@@ -32,12 +32,12 @@ def both_or_neither(a: object, b: object, what: str) -> None:
         raise SinkError(f"{what} need both outputs or none")
 
 
-def stage_json_lines(df: DataFrame, path: str | Path, order: Sequence[str] = ()) -> Path:
-    """Write a result as JSON lines to a file beside ``path``: in order if one is given, nulls included."""
+def stage_json_lines(df: DataFrame, path: str | Path, order: Sequence[str] = (), hide: Sequence[str] = ()) -> Path:
+    """Write a result as JSON lines to a file beside ``path``: in order if one is given, nulls included, without the hidden columns."""
     path = Path(path)
     folder = path.with_name(f".{path.name}.{uuid.uuid4().hex[:8]}")
     lines = df.orderBy(*order) if order else df
-    lines.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(str(folder))
+    lines.select(F.to_json(F.struct(*[c for c in df.columns if c not in hide]), {"ignoreNullFields": "false"}).alias("value")).write.text(str(folder))
     out = path.with_name(f".{path.name}.{uuid.uuid4().hex[:8]}.staged")
     with out.open("wb") as f:
         for part in sorted(folder.glob("part-*")):
