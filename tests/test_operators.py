@@ -244,9 +244,13 @@ def test_baselines(spark):
 
 def test_stream_keeps_latest(spark, tmp_path):
     schema = "k long, v string, seq long"
-    for n, rows in enumerate([[(1, "a", 1), (2, "b", 2)], [(1, "c", 3)]]):
+    for rows in [[(1, "a", 1), (2, "b", 2)], [(1, "c", 3)], [(2, "old", 0), (3, "d", 4)]]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q = verdicts.keep_latest(verdicts.read_stream(spark, str(tmp_path / "in"), schema, 1), "k", "seq", str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    last = max((tmp_path / "out").glob("v*"), key=lambda p: int(p.name[1:]))
-    assert sorted(tuple(r) for r in spark.read.parquet(str(last)).select("k", "v").collect()) == [(1, "c"), (2, "b")]
+    for every in (50, 2):
+        out = str(tmp_path / f"out{every}")
+        q = verdicts.keep_latest(verdicts.read_stream(spark, str(tmp_path / "in"), schema, 1), "k", "seq", out, str(tmp_path / f"cp{every}"), every)
+        q.awaitTermination(60)
+        assert q.exception() is None
+        assert sorted(tuple(r)[:2] for r in verdicts.current(spark, out, schema, "k", "seq").collect()) == [(1, "c"), (2, "b"), (3, "d")]
+        assert sorted(p.name for p in (tmp_path / f"out{every}").iterdir()) == (["part-0", "part-1", "part-2"] if every == 50 else ["all-1", "part-2"])
+    assert verdicts.current(spark, str(tmp_path / "none"), schema, "k", "seq").count() == 0

@@ -80,6 +80,16 @@ def test_log_tail(spark, tmp_path):
     p.write_text('broken\n{"k": 1, "v": "a"}\n')
     with pytest.raises(ContractError):
         records.read_log(spark, str(p), "k long, v string", "k")
+    p.write_text('{"k": 1, "v": "a"}\n\n{"k": 1, "v": "b"}')  # complete, but without a line end
+    assert [tuple(r) for r in records.read_log(spark, str(p), "k long, v string", "k").collect()] == [(1, "b")]
+    sinks.append_record(p, {"k": 2, "v": "x" * 200_000})
+    with p.open("a") as f:
+        f.write('{"k": 9, "v": "' + "y" * 200_000)  # longer than a block of the tail
+    sinks.append_record(p, {"k": 3, "v": "c"})
+    assert [json.loads(x)["k"] for x in p.read_text().splitlines() if x] == [1, 1, 2, 3]
+    p.write_text('{"k": 1, "v": "a"}\nbroken\n')  # a last line that ends is not partial
+    with pytest.raises(ContractError, match="line 2"):
+        records.read_log(spark, str(p), "k long, v string", "k")
 
 
 def test_commit_rolls_back(tmp_path):
@@ -93,7 +103,9 @@ def test_commit_rolls_back(tmp_path):
 
     with pytest.raises(OSError):
         sinks.commit([(sinks.stage_text("new", a), a), (sinks.stage_text("new", b), b)], fail_second)
-    assert a.read_text() == "old" and not b.exists()
+    assert a.read_text() == "old" and sorted(x.name for x in tmp_path.iterdir()) == ["a"]
+    sinks.commit([(sinks.stage_text("new", a), a), (sinks.stage_text("new", b), b)])
+    assert a.read_text() == b.read_text() == "new" and sorted(x.name for x in tmp_path.iterdir()) == ["a", "b"]
     with pytest.raises(sinks.SinkError):
         sinks.distinct_paths(a, tmp_path / "x/../a")
 
@@ -139,3 +151,11 @@ def test_config(tmp_path):
     p.write_text("roles:\n  embedder: e\n")
     with pytest.raises(config.ConfigError):
         config.load(env=env)
+    p.write_text('roles:\n  embedder: "e # 1"\n  labeler: l\n  generator: g\nprovider: {base_url: "http://x"}\n')
+    assert config.load(str(p), env={})["roles"]["embedder"] == "e # 1"
+    p.write_text(json.dumps({"roles": dict.fromkeys(config.ROLES, "m"), "provider": {"base_url": "u"}}))
+    assert config.load(str(p), env={})["base_url"] == "u"
+    for bad in ("- a\n", "a: [\n", ""):
+        p.write_text(bad)
+        with pytest.raises(config.ConfigError):
+            config.load(str(p), env={})

@@ -109,8 +109,11 @@ def cached(
         missing = asked.join(known.where(holds), keys, "left_anti")
     missing = stage_table(missing, "asked")
     waves = -(-missing.count() // wave)
+    if waves > 1:  # each wave reads its own folder, not all rows again
+        own = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(waves)).cast("int")
+        missing = stage_table(missing.withColumn("_wave", own).repartition("_wave"), "waves", by=("_wave",))
     for k in range(waves):
-        part = missing.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(waves)) == k)
+        part = missing.where(F.col("_wave") == k).drop("_wave") if waves > 1 else missing
         infer(part, make, system, valid, key=key, **options).withColumn("recorded", F.lit(time.time_ns())).write.mode("append").parquet(log_path)
     if not waves and not _exists(spark, log_path):
         return spark.createDataFrame([], f"{key} long, prompt_sha256 string, reply string, model string")

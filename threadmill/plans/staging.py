@@ -24,11 +24,11 @@ def stage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a table, cutting its lineage, and read it back."""
+def stage_table(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table, cutting its lineage, and read it back; a filter on the columns ``by`` then reads their folders only."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/threadmill/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

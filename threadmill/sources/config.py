@@ -1,10 +1,16 @@
-"""Model configuration: a small YAML mapping with environment overrides, read on the driver."""
+"""Model configuration: a YAML or JSON mapping with environment overrides, read on the driver."""
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 
+try:
+    import yaml
+except ImportError:  # not everywhere installed
+    yaml = None
+
 ROLES = ("embedder", "labeler", "generator")
 
 
@@ -13,23 +19,13 @@ class ConfigError(ValueError):
 
 
 def parse_mapping(text: str) -> dict:
-    """The part of YAML that a configuration needs: nested mappings of scalars, comments, quotes."""
-    top: dict = {}
-    stack = [(-1, top)]
-    for raw in text.splitlines():
-        line = raw.split(" #")[0].rstrip() if not raw.lstrip().startswith("#") else ""
-        if not line.strip():
-            continue
-        indent = len(line) - len(line.lstrip())
-        key, colon, value = line.strip().partition(":")
-        if not colon:
-            raise ConfigError(f"not a mapping: {raw!r}")
-        while stack[-1][0] >= indent:
-            stack.pop()
-        value = value.strip().strip("'\"")
-        stack[-1][1][key] = value if value else {}
-        if not value:
-            stack.append((indent, stack[-1][1][key]))
+    """The mapping that a configuration holds, in YAML where its library is installed, else in JSON (which is YAML too)."""
+    try:
+        top = yaml.safe_load(text) if yaml else json.loads(text)
+    except (ValueError, *((yaml.YAMLError,) if yaml else ())) as e:
+        raise ConfigError(f"malformed configuration: {e}") from e
+    if not isinstance(top, dict):
+        raise ConfigError("the configuration is not a mapping")
     return top
 
 

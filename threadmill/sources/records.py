@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,27 +88,33 @@ def read_records(spark: SparkSession, path: str, kind: str, contract: Column | N
 
 def read_log(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """The last record per key of an append-only log of JSON lines. A missing file is empty; a malformed last line that
-    has no line end is dropped, any other is an error."""
-    if not Path(path).exists():
+    has no line end is dropped, any other is an error. The lines are read and checked by the executors."""
+    ended = _ends_line(spark, path)
+    if ended is None:
         return spark.createDataFrame([], schema)
-    text = Path(path).read_bytes().decode()
-    lines = text.split("\n")
-    tail = lines.pop()
-    if tail.strip():
-        try:
-            json.loads(tail)
-            lines.append(tail)
-        except ValueError:
-            pass
-    for i, line in enumerate(lines, 1):
-        if line.strip():
-            try:
-                json.loads(line)
-            except ValueError as e:
-                raise ContractError(f"{path}, line {i}: malformed record") from e
-    rows = [(i, line) for i, line in enumerate(lines) if line.strip()]
-    frame = spark.createDataFrame(rows, "seq long, value string").select("seq", F.from_json("value", schema).alias("r")).select("seq", "r.*")
-    return latest(frame, key, "seq").drop("seq")
+    lines = spark.read.text(path, lineSep="\n").withColumn("seq", F.monotonically_increasing_id())
+    full = lines.where(~F.col("value").rlike(r"(?U)^\s*$"))
+    bad = full.where(F.try_parse_json("value").isNull()).orderBy("seq").limit(1).collect()
+    if bad:
+        if ended or bad[0]["seq"] != lines.agg(F.max("seq")).first()[0]:
+            raise ContractError(f"{path}, line {lines.where(F.col('seq') <= bad[0]['seq']).count()}: malformed record")
+        full = full.where(F.col("seq") < bad[0]["seq"])
+    return latest(full.select("seq", F.from_json("value", schema).alias("r")).select("seq", "r.*"), key, "seq").drop("seq")
+
+
+def _ends_line(spark: SparkSession, path: str) -> bool | None:
+    """Whether a file's last byte ends a line; None for a missing or empty file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(p).getLen() if fs.exists(p) else 0
+    if not size:
+        return None
+    opened = fs.open(p)
+    try:
+        opened.seek(size - 1)
+        return opened.read() == 10
+    finally:
+        opened.close()
 
 
 def latest(log: DataFrame, key: str, seq: str) -> DataFrame:

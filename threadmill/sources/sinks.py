@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import shutil
@@ -55,35 +56,52 @@ def stage_text(text: str, path: str | Path) -> Path:
 
 
 def commit(staged: Sequence[tuple[Path, str | Path]], swap: Callable[[Path, Path], None] = os.replace) -> None:
-    """Swap all staged files in; if one fails, those before get back what they held (or are removed)."""
-    before: list[tuple[Path, bytes | None]] = []
+    """Swap all staged files in; if one fails, those before get back what they held (or are removed).
+
+    What a target held stays beside it under a second name until all are swapped, so nothing is copied.
+    """
+    before: list[tuple[Path, Path | None]] = []
     try:
         for temp, target in staged:
             target = Path(target)
-            before.append((target, target.read_bytes() if target.exists() else None))
+            old = target.with_name(f".{target.name}.{uuid.uuid4().hex[:8]}.before") if target.exists() else None
+            if old is not None:
+                os.link(target, old)
+            before.append((target, old))
             swap(temp, target)
-    except OSError:
-        for target, held in before:
-            if held is None:
+    except BaseException:
+        for target, old in before:
+            if old is None:
                 target.unlink(missing_ok=True)
             else:
-                target.write_bytes(held)
+                os.replace(old, target)
         raise
     finally:
+        for _, old in before:
+            if old is not None:
+                old.unlink(missing_ok=True)
         for temp, _ in staged:
             Path(temp).unlink(missing_ok=True)
 
 
 def append_record(path: str | Path, record: dict) -> None:
-    """Append one line. A complete last record without a line end is kept, a partial one is cut off."""
-    path = Path(path)
-    with _LOCK:
-        if path.exists() and (raw := path.read_bytes()) and not raw.endswith(b"\n"):
-            head, _, tail = raw.rpartition(b"\n")
+    """Append one line. A complete last record without a line end is kept, a partial one is cut off.
+
+    Only the last line is read again. Threads take a lock, processes one on the file.
+    """
+    with _LOCK, Path(path).open("a+b") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        at = end = f.seek(0, os.SEEK_END)
+        tail = b""
+        while at and b"\n" not in tail:
+            step = min(at, 1 << 16)
+            at = f.seek(at - step)
+            tail = f.read(step) + tail
+        tail = tail.rpartition(b"\n")[2]
+        if tail:
             try:
                 json.loads(tail)
-                path.write_bytes(raw + b"\n")
+                f.write(b"\n")
             except ValueError:
-                path.write_bytes(head + b"\n" if head else b"")
-        with path.open("ab") as f:
-            f.write(json.dumps(record, ensure_ascii=False).encode() + b"\n")
+                f.truncate(end - len(tail))
+        f.write(json.dumps(record, ensure_ascii=False).encode() + b"\n")
