@@ -1,9 +1,12 @@
+import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadmill.functions import contracts
 from threadmill.operators import labels, language, metrics, reconcile
+from threadmill.plans import catalogue
 from threadmill.streaming import verdicts
 
 
@@ -48,6 +51,23 @@ def test_detector(spark):
     assert sorted(r.interaction_id for r in kept.collect()) == [1, 2]
 
 
+def test_profiles(spark):
+    rows = spark.createDataFrame([("A", "Abc abc"), ("A", "a1é"), ("B", None), (None, "zzz"), ("C", "")], "language string, text string")
+    got = {(r.language, r.gram): (r.n, round(r.share, 6)) for r in language.profiles(rows, size=3).collect()}
+    assert got == {("A", " ab"): (2, 0.333333), ("A", "abc"): (2, 0.333333), ("A", "bc "): (2, 0.333333)}
+    assert language.learned(rows.limit(0))()("abc") is None
+
+
+def test_learned_detector_on_held_out_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    docs = catalogue._labelled(spark, sf)
+    found = catalogue.lang_detect(spark, sf).withColumnRenamed("language", "said").withColumnRenamed("interaction_id", "doc_id")
+    r = docs.where("held_out and language is not null").join(found, "doc_id").agg(F.count("*").alias("n"), F.count_if("said is not null").alias("sure"), F.count_if("said = language").alias("right")).first()
+    assert r.n > 100 and r.sure >= 0.8 * r.n and r.right >= 0.95 * r.sure
+
+
 def test_windows_on_a_stream(spark, tmp_path):
     rows = [(datetime(2024, 1, 1, h, 5), "click", 1.0) for h in (0, 0, 1)]
     schema = "ts timestamp, event_type string, value double"

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -43,21 +44,52 @@ def report(rows: DataFrame, language: str = "ENGLISH", column: str = "language")
     return out.withColumn("filtered_rate", F.coalesce(F.try_divide("filtered", "total"), F.lit(0.0)))
 
 
-def profile_trainer(samples: dict[str, list[str]], n: int = 3, size: int = 400, least: float = V.MIN_LANGUAGE_DISTANCE) -> Callable[[], Detector]:
-    """A detector from character n-gram profiles: the best language, if its lead over the next is large enough."""
-    from collections import Counter
+def _grams(text: str, n: int) -> Iterator[str]:
+    """The n-grams of each word between blanks."""
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        padded = f" {word} "
+        yield from (padded[i : i + n] for i in range(len(padded) - n + 1))
+
+
+def profiles(rows: DataFrame, n: int = 3, size: int = 400, text: str = "text", column: str = "language") -> DataFrame:
+    """``language, gram, n, share``: the ``size`` most frequent n-grams of each language's texts and their share among those.
+
+    Counted over all rows of a known language; as many rows come out as languages times ``size`` at most.
+    """
+    padded = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    padded = F.filter(padded, lambda w: F.length(w) >= n)
+    grams = F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: w.substr(i, F.lit(n)))))
+    counted = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("language"), F.explode(grams).alias("gram")).groupBy("language", "gram").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("language")
+    top = counted.withColumn("rn", F.row_number().over(own.orderBy(F.desc("n"), "gram"))).where(F.col("rn") <= size).drop("rn")
+    return top.withColumn("share", F.col("n") / F.sum("n").over(own))
+
 
-    grams = lambda t: (p[i : i + n] for w in re.findall(r"[^\W\d_]+", t.lower()) for p in [f" {w} "] for i in range(len(p) - n + 1))
-    profiles = {}
+def learned(rows: DataFrame, n: int = 3, size: int = 400, least: float = V.MIN_LANGUAGE_DISTANCE, text: str = "text", column: str = "language") -> Callable[[], Detector]:
+    """A detector from the profiles of labelled texts."""
+    shares: dict[str, dict[str, float]] = {}
+    for r in profiles(rows, n, size, text, column).collect():
+        shares.setdefault(r["language"], {})[r["gram"]] = r["share"]
+    return detector(shares, n, least)
+
+
+def profile_trainer(samples: dict[str, list[str]], n: int = 3, size: int = 400, least: float = V.MIN_LANGUAGE_DISTANCE) -> Callable[[], Detector]:
+    """A detector from the profiles of a few given texts."""
+    shares = {}
     for name, texts in samples.items():
-        counted = Counter(g for t in texts for g in grams(t)).most_common(size)
+        counted = Counter(g for t in texts for g in _grams(t, n)).most_common(size)
         total = sum(c for _, c in counted) or 1
-        profiles[name] = {g: c / total for g, c in counted}
+        shares[name] = {g: c / total for g, c in counted}
+    return detector(shares, n, least)
+
+
+def detector(shares: dict[str, dict[str, float]], n: int = 3, least: float = V.MIN_LANGUAGE_DISTANCE) -> Callable[[], Detector]:
+    """The best language of a text, if its lead over the next is large enough."""
 
     def make() -> Detector:
         def one(text: str) -> str | None:
-            own = list(grams(text))
-            score = sorted(((sum(p.get(g, 0.0) for g in own), name) for name, p in profiles.items()), reverse=True)
+            own = Counter(_grams(text, n))
+            score = sorted(((sum(k * p.get(g, 0.0) for g, k in own.items()), name) for name, p in shares.items()), reverse=True)
             if not own or not score or score[0][0] == 0:
                 return None
             second = score[1][0] if len(score) > 1 else 0.0

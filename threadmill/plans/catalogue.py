@@ -180,17 +180,27 @@ def lang_report(spark: SparkSession, sf: str) -> DataFrame:
     return language.report(_languages(spark, sf))
 
 
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the name of their language; by the checksum of the id a fifth of them is held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return table(spark, sf, "documents").select("doc_id", "text", F.expr(_LANG).alias("language"), held_out.alias("held_out"))
+
+
+@query(f"""WITH words AS (SELECT {_LANG} AS language, concat(' ', unnest(regexp_extract_all(lower(text), '\\p{{L}}+')), ' ') AS w FROM documents WHERE ({_LANG}) IS NOT NULL),
+    grams AS (SELECT language, substr(w, i, 3) AS gram, count(*) AS n FROM (SELECT language, w, unnest(range(1, length(w) - 1)) AS i FROM words) GROUP BY ALL),
+    best AS (SELECT * FROM grams QUALIFY row_number() OVER (PARTITION BY language ORDER BY n DESC, encode(gram)) <= 400)
+    SELECT language, gram, n, n / sum(n) OVER (PARTITION BY language) AS share FROM best""")
+def lang_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The most frequent letter trigrams of each language."""
+    return language.profiles(_labelled(spark, sf))
+
+
 @query()
 def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
-    """A profile detector of short samples of each language, over all documents."""
-    samples = {
-        "ENGLISH": ["the and of to in is that it was for on are with as his they at be this from have or by one had not but what all were when"],
-        "FRENCH": ["le la les de des et un une du en que est pour qui dans ce il sur au par plus ne se pas avec sont cette mais ou elle"],
-        "GERMAN": ["der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach"],
-        "SPANISH": ["el la de que y en un ser se no haber por con su para como estar tener le lo todo pero más hacer o poder decir este ir otro"],
-    }
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("interaction_id"), F.col("text").alias("message"))
-    return language.detect(docs, language.profile_trainer(samples))
+    """Each document's language, by the trigrams of the documents that are not held out."""
+    docs = _labelled(spark, sf)
+    found = docs.select(F.col("doc_id").alias("interaction_id"), F.col("text").alias("message"))
+    return language.detect(found, language.learned(docs.where("not held_out")))
 
 
 # ---- samples
