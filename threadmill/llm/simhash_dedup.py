@@ -131,13 +131,14 @@ def _keys(fp: Column, radius: int, blocks: int, salt: int = 0) -> list[Column]:
     return [F.xxhash64(F.lit(i + salt), fp.bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(block_masks(radius, blocks))]
 
 
-def _in_units(buckets: DataFrame, rest: list[str], scratch: Scratch) -> DataFrame:
+def _in_units(buckets: DataFrame, rest: list[str], scratch: Scratch | None = None) -> DataFrame:
     """Rows ``unit, *rest`` from rows ``bucket, *rest``, sorted by unit. A large bucket is cut into chunks; every pair of chunks is a unit.
 
-    The counts are written before they are joined: few of them are broadcast by their size, and with many both sides of the join are
-    plain shuffles, in which a crowded bucket can be split over tasks.
+    With ``scratch`` the counts are written before they are joined: few of them are broadcast by their size, and with many both sides
+    of the join are plain shuffles, in which a crowded bucket can be split over tasks.
     """
-    many = scratch.put(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    many = many if scratch is None else scratch.put(many, "shared-buckets")
     rows = buckets.join(many, "bucket")
     chunks = F.ceil(F.col("n") / CHUNK)
     own = F.pmod(F.xxhash64(rest[-1], F.lit(1)), chunks)
@@ -152,14 +153,14 @@ def near_links(fps: DataFrame, scratch: Scratch, radius: int = 3, blocks: int =
     return _in_units(buckets, ["fp"], scratch).mapInArrow(_linked(radius), "a long, b long")
 
 
-def candidate_links(nodes: DataFrame, scratch: Scratch, prints: list[str], radius: int, blocks: int, other: str, loose: int) -> DataFrame:
+def candidate_links(nodes: DataFrame, prints: list[str], radius: int, blocks: int, other: str, loose: int) -> DataFrame:
     """Links ``a, b`` that connect all nodes (column ``node``) that are within the radius in one of the fingerprints ``prints`` and
     within ``loose`` bits in the fingerprint ``other``."""
     each = []
     for i, name in enumerate(prints):
         each += [F.struct(k.alias("bucket"), F.col(name).alias("fp")) for k in _keys(F.col(name), radius, blocks, 1000 * i)]
     buckets = nodes.select(F.col(other).alias("other"), "node", F.explode(F.array(*each)).alias("k")).select("k.bucket", "k.fp", "other", "node")
-    return _in_units(buckets, ["fp", "other", "node"], scratch).mapInArrow(_linked(radius, loose), "a long, b long").distinct()
+    return _in_units(buckets, ["fp", "other", "node"]).mapInArrow(_linked(radius, loose), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
