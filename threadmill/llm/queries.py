@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, recompress_dedup, simhash_dedup, suffix_dedup
+from . import chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, recompress_dedup, simhash_dedup, structure_repair, suffix_dedup
 from .scratch import Scratch
 
 
@@ -99,6 +101,47 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text`` with the contract's damage, by crc32(conv_id:turn) % 20: rows dropped, emptied, cut off, repeated, given to the user."""
+    part: Callable[[str], Column] = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn"))) % 20
+    rows = rows.select("conv_id", "turn", part("role").alias("role"), part("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def _hashed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 over the lines of consecutive runs of one conversation, a run at a time."""
+    schema = pa.schema([("conv_id", pa.int64()), ("repaired_sha256", pa.string())])
+    digest, begun = hashlib.sha256(), False
+    for batch in batches:
+        for at in range(batch.num_rows):
+            conv, run, runs, lines = (c[at].as_py() for c in batch.columns)
+            if run == 0:
+                digest, begun = hashlib.sha256(), False
+            if lines is not None:
+                digest.update((b"\n" if begun else b"") + lines.encode())
+                begun = True
+            if run == runs - 1:
+                yield pa.RecordBatch.from_pylist([{"conv_id": conv, "repaired_sha256": digest.hexdigest()}], schema)
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    made = structure_repair.repair(damaged(rows))
+    line = F.array_join(F.transform("kept", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    whole = made.turns.where("runs = 1").select("conv_id", F.sha2(line, 256).alias("repaired_sha256"))
+    runs = made.turns.where("runs > 1").select("conv_id", "run", "runs", F.when(F.size("kept") > 0, line).alias("lines"))
+    runs = runs.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "run").mapInArrow(_hashed_runs, "conv_id long, repaired_sha256 string")
+    digests = whole.unionByName(runs).withColumnRenamed("conv_id", "id")
+    asked = rows.select("conv_id").distinct()
+    reports = made.reports.withColumnRenamed("conv_id", "own")
+    found = asked.join(reports, F.col("conv_id").eqNullSafe(F.col("own")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = str(Path(__file__).resolve().parents[2])
     if top not in sys.path:
@@ -119,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op12_structure_repair": op12_structure_repair,
     "pipeline": pipeline,
 }
 
