@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, recompress_dedup, simhash_dedup, structure_repair, suffix_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, recompress_dedup, simhash_dedup, structure_repair, suffix_dedup
 from .scratch import Scratch
 
 
@@ -101,6 +101,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """``conv_id, turn, role, text`` with the contract's damage, by crc32(conv_id:turn) % 20: rows dropped, emptied, cut off, repeated, given to the user."""
     part: Callable[[str], Column] = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -162,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_bpe": op11_bpe,
     "op12_structure_repair": op12_structure_repair,
     "pipeline": pipeline,
 }
