@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, lattice_lm, mix_sources, quality_fm, rans_tokens, recompress_dedup, simhash_dedup, structure_repair, suffix_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, hard_negatives, lattice_lm, mix_sources, quality_fm, rans_tokens, recompress_dedup, simhash_dedup, structure_repair, suffix_dedup
 from .scratch import Scratch
 
 
@@ -150,6 +150,12 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(vectors, F.col("id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = str(Path(__file__).resolve().parents[2])
     if top not in sys.path:
@@ -172,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_bpe": op11_bpe,
     "op12_structure_repair": op12_structure_repair,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -240,4 +247,15 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length(head) + length(body) + 14)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op13_hard_negatives": """
+        WITH r AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.k AS a, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+              FROM r a JOIN r b ON a.k <> b.k WHERE a.vec_id % 50 = 0),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+        n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.place ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+                     s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+              FROM p JOIN s ON p.a = s.a AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score)
+        SELECT * FROM n WHERE rank <= 3""",
 }
