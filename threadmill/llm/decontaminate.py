@@ -9,7 +9,9 @@ weighted similarity: the sum of the lesser weights over the sum of the greater o
 Windows are laid where one could pass the exact test: a window that shares no shingle with an item has similarity zero to it,
 and one with the least similarity shares that part of the item's weight; so they are laid around shingles that a document shares
 with some item, at every offset that insertions and deletions within the similarity can cause, and only where the document
-has that much. A window is laid once for a length, not for an item: which items it is like, the index finds, over all
+has that much. Which items a document may have so much of, a prefix of each item decides: of its shingles, rarest first, those
+without which the rest weighs less than the similarity asks for; a document that has none of them is not compared with
+the item, so a template that many items share brings no pairs. A window is laid once for a length, not for an item: which items it is like, the index finds, over all
 items of that length. A pair is found if its fingerprints are within ``radius`` (at a similarity of 0.8 they differ in some 10 of 64 bits,
 so 24 leaves out next to none; the tests find every pair).
 
@@ -23,13 +25,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 SHINGLE, BLOCKS, BITS = 5, 8, 8
-#: Shingles of all items up to which they are broadcast (about 64 MB); beyond, the join is a shuffle.
+#: Shingles of all items, or documents with windows, up to which they are broadcast (about 64 MB); beyond, the join is a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -93,34 +95,47 @@ def contaminated(
         places = places.unionByName(p)
     df = places.groupBy("sh").agg(F.count_distinct("item").alias("items"))
     weight = F.when(F.col("items") <= 1, 4).when(F.col("items") <= 3, 2).otherwise(1).cast("long")
-    places = scratch.put(places.join(df.select("sh", weight.alias("weight")), "sh"), "places")
-    counted = places.groupBy("item", "sh", "weight").agg(F.count("*").alias("item_n"))
-    counted = scratch.put(counted, "counted")
+    places = scratch.put(places.join(df.select("sh", "items", weight.alias("weight")), "sh"), "places")
+    counted = places.groupBy("item", "sh", "weight", "items").agg(F.count("*").alias("item_n"))
+    rare_first = Window.partitionBy("item").orderBy("items", "sh")
+    mass = F.col("weight") * F.col("item_n")
+    earlier = F.coalesce(F.sum(mass).over(rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum(mass).over(Window.partitionBy("item"))
+    counted = counted.withColumn("prefix", total - earlier >= F.lit(similarity) * total - 1e-6)
+    counted = scratch.put(counted.select("item", "sh", "weight", "item_n", "prefix"), "counted")
     totals = places.groupBy("item", "size", "words").agg(F.sum("weight").alias("item_total"), *_bit_sums(F.col("weight"), F.col("sh")))
     totals = scratch.put(totals.select("item", "size", "words", "item_total", _fingerprint(F.col("item_total")).alias("item_fp")), "totals")
 
-    # Anchors: places of documents whose shingle an item has too.
+    # Anchors: places of documents whose shingle some item has too; once, however many items have it.
     key = ["doc", "digest"]
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("doc"), F.xxhash64(F.lit(1), text_col).alias("digest"), F.col(text_col).alias("text"))
     small = places.count() <= BROADCAST_ROWS
     fit = F.broadcast if small else (lambda x: x)
-    index = places.select("sh", "item", "q", "weight")
+    known = counted.groupBy("sh", "weight").agg(F.bool_or("prefix").alias("prefix"))
     # Shingles of all sizes in one pass; the words are bound by an outer function, so that they are formed once.
     each = lambda h: [F.transform(shingles(h, n), lambda sh, p: F.struct(p.alias("p"), sh.alias("sh"))) for n in sizes]
     runs = F.transform(F.array(word_hashes(F.col("text"))), lambda h: F.concat(*each(h)))[0]
     found = hashed.select(*key, F.inline(runs))
-    anchors = scratch.put(found.join(fit(index), "sh"), "anchors")
+    anchors = scratch.put(found.join(fit(known), "sh"), "anchors")
     # Enough of the item's weight must be there, counting a shingle no more often than the item has it.
-    have = anchors.select(*key, "item", "sh", "weight", "p").distinct().groupBy(*key, "item", "sh", "weight").agg(F.count("*").alias("doc_n"))
-    have = have.join(fit(counted), ["item", "sh", "weight"]).groupBy(*key, "item").agg(F.sum(F.col("weight") * F.least("doc_n", "item_n")).alias("shared"))
+    in_prefix = counted.where("prefix").select("sh", "item")
+    met = anchors.where("prefix").select(*key, "sh").distinct().join(fit(in_prefix), "sh").select(*key, "item").distinct()
+    met = scratch.put(met, "candidates")
+    have = anchors.select(*key, "sh", "p").distinct().groupBy(*key, "sh").agg(F.count("*").alias("doc_n"))
+    have = scratch.put(have.join(met.select(*key).distinct(), key, "left_semi"), "have")
+    have = met.join(fit(counted), "item").join(have, [*key, "sh"]).groupBy(*key, "item").agg(F.sum(F.col("weight") * F.least("doc_n", "item_n")).alias("shared"))
     pairs = have.join(fit(totals), "item").where(F.col("shared") >= similarity * F.col("item_total")).select(*key, "item", "size", "words")
+    pairs = scratch.put(pairs, "pairs")
+    starts = pairs.join(fit(places.select("item", "sh", "q")), "item").join(anchors.select(*key, "sh", "p"), [*key, "sh"])
+    starts = starts.select(*key, "size", "words", (F.col("p") - F.col("q")).alias("at")).distinct()
     spread = F.ceil((1 - similarity) * F.col("words")).cast("int") + 1
-    starts = anchors.join(pairs, [*key, "item"]).select(*key, "size", "words", (F.col("p") - F.col("q")).alias("at")).distinct()
     starts = starts.select(*key, "size", "words", F.explode(F.sequence(F.col("at") - spread, F.col("at") + spread)).alias("start"))
     starts = scratch.put(starts.groupBy(*key, "size", "words").agg(F.collect_set("start").alias("starts")), "starts")
 
     # Windows of the few documents that have candidates.
-    again = hashed.join(starts, key).select("doc_id", *key, "size", "words", "starts", word_hashes(F.col("text")).alias("h"))
+    held = scratch.put(pairs.select(*key).distinct(), "held")
+    again = hashed.join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, key, "left_semi")
+    again = again.join(starts, key).select("doc_id", *key, "size", "words", "starts", word_hashes(F.col("text")).alias("h"))
     last = F.greatest(F.size("h") - F.col("words"), F.lit(0))
     again = again.withColumn("starts", F.array_distinct(F.transform("starts", lambda s: F.greatest(F.lit(0), F.least(s, last)))))
     by_shingle = None
@@ -133,8 +148,7 @@ def contaminated(
     # Rows with the same id and text are one window; how often they occur comes back at the end.
     window = [*key, "words", "start"]
     windows = by_shingle.dropDuplicates(window).select(*window, F.explode("run").alias("sh"))
-    known = places.select("sh", "weight").distinct()
-    windows = windows.join(fit(known), "sh", "left").withColumn("weight", F.coalesce("weight", F.lit(4).cast("long")))
+    windows = windows.join(fit(known.select("sh", "weight")), "sh", "left").withColumn("weight", F.coalesce("weight", F.lit(4).cast("long")))
     windows = windows.groupBy(*window, "sh", "weight").agg(F.count("*").alias("n"))
     windows = scratch.put(windows, "windows")
     prints = windows.groupBy(*window).agg(F.sum(F.col("weight") * F.col("n")).alias("total"), *_bit_sums(F.col("weight") * F.col("n"), F.col("sh")))
@@ -148,7 +162,7 @@ def contaminated(
     met = prints.select(*window, "total", "fp", probes.alias("b")).select(*window, "total", "fp", "b.k", "b.block").join(blocks, ["words", "k", "block"])
     met = met.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= radius)
     met = scratch.put(met.select(*window, "item", "total", "item_total", "hamming").distinct(), "met")
-    shared = met.select(*window, "item").join(windows, window).join(fit(counted), ["item", "sh", "weight"])
+    shared = met.select(*window, "item").join(windows, window).join(fit(counted.drop("prefix")), ["item", "sh", "weight"])
     shared = shared.groupBy(*window, "item").agg(F.sum(F.col("weight") * F.least("n", "item_n")).alias("shared"))
     alike = F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))
     sure = met.join(shared, [*window, "item"]).withColumn("similarity", alike).where(F.col("similarity") >= similarity)

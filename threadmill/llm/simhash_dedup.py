@@ -77,7 +77,7 @@ def forest(fp: np.ndarray, radius: int, other: np.ndarray | None = None, loose:
     return (np.concatenate(child), np.concatenate(parent)) if child else (none, none)
 
 
-def _linked(radius: int, loose: int = 64):
+def linked(radius: int, loose: int = 64):
     """Links of the units of one partition, which is sorted by unit; a unit may span batches.
 
     Rows are ``unit, fp`` or ``unit, fp, other, node``; links are of nodes (of fingerprints, where there are none).
@@ -131,7 +131,7 @@ def _keys(fp: Column, radius: int, blocks: int, salt: int = 0) -> list[Column]:
     return [F.xxhash64(F.lit(i + salt), fp.bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(block_masks(radius, blocks))]
 
 
-def _in_units(buckets: DataFrame, rest: list[str], scratch: Scratch | None = None) -> DataFrame:
+def in_units(buckets: DataFrame, rest: list[str], scratch: Scratch | None = None) -> DataFrame:
     """Rows ``unit, *rest`` from rows ``bucket, *rest``, sorted by unit. A large bucket is cut into chunks; every pair of chunks is a unit.
 
     With ``scratch`` the counts are written before they are joined: few of them are broadcast by their size, and with many both sides
@@ -150,17 +150,7 @@ def _in_units(buckets: DataFrame, rest: list[str], scratch: Scratch | None = Non
 def near_links(fps: DataFrame, scratch: Scratch, radius: int = 3, blocks: int = 6) -> DataFrame:
     """Links ``a, b`` that connect all distinct fingerprints (column ``fp``) within the radius."""
     buckets = fps.select("fp", F.explode(F.array(*_keys(F.col("fp"), radius, blocks))).alias("bucket"))
-    return _in_units(buckets, ["fp"], scratch).mapInArrow(_linked(radius), "a long, b long")
-
-
-def candidate_links(nodes: DataFrame, prints: list[str], radius: int, blocks: int, other: str, loose: int) -> DataFrame:
-    """Links ``a, b`` that connect all nodes (column ``node``) that are within the radius in one of the fingerprints ``prints`` and
-    within ``loose`` bits in the fingerprint ``other``."""
-    each = []
-    for i, name in enumerate(prints):
-        each += [F.struct(k.alias("bucket"), F.col(name).alias("fp")) for k in _keys(F.col(name), radius, blocks, 1000 * i)]
-    buckets = nodes.select(F.col(other).alias("other"), "node", F.explode(F.array(*each)).alias("k")).select("k.bucket", "k.fp", "other", "node")
-    return _in_units(buckets, ["fp", "other", "node"]).mapInArrow(_linked(radius, loose), "a long, b long").distinct()
+    return in_units(buckets, ["fp"], scratch).mapInArrow(linked(radius), "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
