@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``row, score`` for every document ``doc_id, text, n_chars``; ``row`` is a struct of all its columns."""
-    used = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs.text.cast("string").alias("text"), docs.n_chars.cast("double").alias("n_chars"))
+    used = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
