@@ -11,8 +11,8 @@ from threadmill.streaming import verdicts
 
 
 def test_hybrid_prefers_the_same_intent(spark):
-    lexical = spark.createDataFrame([(1, 10, 2.0), (1, 11, 1.0)], "query_id long, doc_id long, score double")
-    dense = spark.createDataFrame([(1, 10, 0.5, False), (1, 12, 1.0, True)], "query_id long, doc_id long, score double, same_intent boolean")
+    lexical = spark.createDataFrame([(1, 10, 2.0), (1, 11, 1.0)], "asked_id long, doc_id long, score double")
+    dense = spark.createDataFrame([(1, 10, 0.5, False), (1, 12, 1.0, True)], "asked_id long, doc_id long, score double, same_intent boolean")
     got = [(r.doc_id, round(r.score, 6)) for r in metrics.hybrid(lexical, dense, 0.5, 0.3).orderBy("rank").collect()]
     assert got == [(12, 0.8), (10, 0.75), (11, 0.25)]
 
@@ -43,9 +43,10 @@ def test_reports(spark):
 
 
 def test_detector(spark):
-    make = language.profile_trainer({"ENGLISH": ["the cat and the dog were in the house with all of them"], "SPANISH": ["el perro y el gato estaban en la casa con todos ellos"]})
+    taught = [("ENGLISH", "the cat and the dog were in the house with all of them"), ("SPANISH", "el perro y el gato estaban en la casa con todos ellos")]
+    model = language.train(spark.createDataFrame(taught, "language string, text string"))
     rows = spark.createDataFrame([(1, "the dog and the cat"), (2, "el gato en la casa"), (3, "How?"), (4, "https://t.co/x @b"), (5, None), (6, "😀")], "interaction_id long, message string")
-    got = {r.interaction_id: r.language for r in language.detect(rows, make).collect()}
+    got = {r.interaction_id: r.language for r in language.detect(rows, model).collect()}
     assert got[1] == "ENGLISH" and got[2] == "SPANISH" and got[4] is got[5] is got[6] is None
     kept = language.keep(spark.createDataFrame([(1, "ENGLISH"), (2, None), (3, "FRENCH")], "interaction_id long, language string"))
     assert sorted(r.interaction_id for r in kept.collect()) == [1, 2]
@@ -55,7 +56,9 @@ def test_profiles(spark):
     rows = spark.createDataFrame([("A", "Abc abc"), ("A", "a1é"), ("B", None), (None, "zzz"), ("C", "")], "language string, text string")
     got = {(r.language, r.gram): (r.n, round(r.share, 6)) for r in language.profiles(rows, size=3).collect()}
     assert got == {("A", " ab"): (2, 0.333333), ("A", "abc"): (2, 0.333333), ("A", "bc "): (2, 0.333333)}
-    assert language.learned(rows.limit(0))()("abc") is None
+    none = language.train(rows.limit(0))
+    asked = rows.selectExpr("1L AS interaction_id", "'abc' AS message")
+    assert {r.language for r in language.detect(asked, none).collect()} == {None} and language.scores(asked.limit(0), language.train(rows)).count() == 0
 
 
 def test_learned_detector_on_held_out_texts(spark):
@@ -65,7 +68,16 @@ def test_learned_detector_on_held_out_texts(spark):
     docs = catalogue._labelled(spark, sf)
     found = catalogue.lang_detect(spark, sf).withColumnRenamed("language", "said").withColumnRenamed("interaction_id", "doc_id")
     r = docs.where("held_out and language is not null").join(found, "doc_id").agg(F.count("*").alias("n"), F.count_if(F.expr("said is not null")).alias("sure"), F.count_if(F.expr("said = language")).alias("right")).first()
-    assert r.n > 100 and r.sure >= 0.8 * r.n and r.right >= 0.95 * r.sure
+    assert r.n > 100 and r.sure >= 0.98 * r.n and r.right >= 0.98 * r.n
+
+
+def test_short_texts_have_no_signal(spark):
+    """By what the documents teach: links, handles, signs and a word that two languages have say nothing."""
+    taught = [("ENGLISH", "how are you all today was it"), ("GERMAN", "wie geht es dir heute how so"), ("FRENCH", "comment allez vous tous aujourd hui how")] * 20
+    model = language.train(spark.createDataFrame(taught, "language string, text string"))
+    rows = spark.createDataFrame(list(enumerate(["How?", "😭😭", "https://t.co/YxliFtc8p8", "@115888 @handle", None, "@115888 comment allez https://t.co/abc", "客服"])), "interaction_id long, message string")
+    got = {r.interaction_id: r.language for r in language.detect(rows, model).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: None, 4: None, 5: "FRENCH", 6: None}
 
 
 def test_windows_on_a_stream(spark, tmp_path):

@@ -58,7 +58,8 @@ def filter_english(spark, a):
     sinks.distinct_paths(a.input, a.output)
     rows = _records(spark, a.input, "interactions")
     samples = json.loads(Path(a.samples).read_text())
-    found = rows.join(language.detect(stitch.opening_text(rows), language.profile_trainer(samples)), "interaction_id")
+    taught = spark.createDataFrame([(name, t) for name, texts in samples.items() for t in texts], "language string, text string")
+    found = rows.join(language.detect(stitch.opening_text(rows), language.train(taught)), "interaction_id")
     _write((language.keep(found).drop("language"), a.output, ["interaction_id"]))
     return _one(language.report(found))
 

@@ -1,19 +1,24 @@
-"""Keeping one language: a pluggable detector on opening texts, the keep rule, and the breakdown."""
+"""Keeping one language: a detector by n-grams on opening texts, the keep rule, and the breakdown.
+
+The detector is a likelihood: Spark counts the 1- to 5-grams of the words of labelled texts, the most frequent of each language and order become a
+table of smoothed log-probabilities, and a text's score in a language is the sum over the n-grams of its words, averaged over the orders. Words
+are scored once each; texts then add up the scores of their words. A language is named if its posterior probability leads that of
+the next one by ``MIN_LANGUAGE_DISTANCE``, so texts of few letters, or none, have no signal. Any number of languages; all of it are expressions.
+"""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import clean
+from ..plans.staging import stage_table
 
-Detector = Callable[[str], str | None]
+#: Longest n-grams, how many of each language and order are kept, and what is added to each count.
+ORDERS, SIZE, ADDED = 5, 5000, 0.5
 
 
 def keep(rows: DataFrame, language: str = "ENGLISH", column: str = "language") -> DataFrame:
@@ -21,17 +26,6 @@ def keep(rows: DataFrame, language: str = "ENGLISH", column: str = "language") -
     return rows.where(F.coalesce(column, F.lit(language)) == language)
 
 
-def detect(rows: DataFrame, make: Callable[[], Detector], text: str = "message", key: str = "interaction_id") -> DataFrame:
-    """``key, language`` (null: no confident signal), detected on the text without links and handles."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = make()
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "language": [detector(t) if t.strip() else None for t in b["text"]]})
-
-    return rows.select(key, F.coalesce(clean(F.col(text)), F.lit("")).alias("text")).mapInPandas(run, f"{key} long, language string")
-
-
 def breakdown(rows: DataFrame, language: str = "ENGLISH", column: str = "language") -> DataFrame:
     """Dropped languages by count, then name."""
     return rows.where(F.col(column).isNotNull() & (F.col(column) != language)).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
@@ -44,13 +38,6 @@ def report(rows: DataFrame, language: str = "ENGLISH", column: str = "language")
     return out.withColumn("filtered_rate", F.coalesce(F.try_divide("filtered", "total"), F.lit(0.0)))
 
 
-def _grams(text: str, n: int) -> Iterator[str]:
-    """The n-grams of each word between blanks."""
-    for word in re.findall(r"[^\W\d_]+", text.lower()):
-        padded = f" {word} "
-        yield from (padded[i : i + n] for i in range(len(padded) - n + 1))
-
-
 def profiles(rows: DataFrame, n: int = 3, size: int = 400, text: str = "text", column: str = "language") -> DataFrame:
     """``language, gram, n, share``: the ``size`` most frequent n-grams of each language's texts and their share among those.
 
@@ -65,36 +52,74 @@ def profiles(rows: DataFrame, n: int = 3, size: int = 400, text: str = "text", c
     return top.withColumn("share", F.col("n") / F.sum("n").over(own))
 
 
-def learned(rows: DataFrame, n: int = 3, size: int = 400, least: float = V.MIN_LANGUAGE_DISTANCE, text: str = "text", column: str = "language") -> Callable[[], Detector]:
-    """A detector from the profiles of labelled texts."""
-    shares: dict[str, dict[str, float]] = {}
-    for r in profiles(rows, n, size, text, column).collect():
-        shares.setdefault(r["language"], {})[r["gram"]] = r["share"]
-    return detector(shares, n, least)
+class Model(NamedTuple):
+    """``grams``: ``language, n, gram, gain``, how much likelier an n-gram is than an unknown one; ``floors``: ``language, n, floor``, the log-probability of that."""
+
+    grams: DataFrame
+    floors: DataFrame
+    languages: list[str]
+
+
+def words_of(text: Column) -> Column:
+    """The runs of letters of a text without links and handles, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(clean(text), F.lit(""))), F.lit(r"(\p{L}+)"), 1)
+
+
+def _grams(word: Column) -> Column:
+    """``n, gram`` of a word: its letters, and the longer n-grams of the word between two spaces."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+
+    def of(n: int) -> Column:
+        text = word if n == 1 else padded
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), text.substr(i, F.lit(n)).alias("gram")))).otherwise(F.array())
+
+    return F.flatten(F.array(*[of(n) for n in range(1, ORDERS + 1)]))
+
+
+def train(rows: DataFrame, text: str = "text", column: str = "language", size: int = SIZE) -> Model:
+    """A model of all rows of a known language: counts of their words, then of the words' n-grams."""
+    counted = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("language"), F.explode(words_of(F.col(text))).alias("word")).groupBy("language", "word").agg(F.count("*").alias("c"))
+    counted = counted.select("language", "c", F.inline(_grams(F.col("word")))).groupBy("language", "n", "gram").agg(F.sum("c").alias("c"))
+    counted = stage_table(counted, "gram-counts")
+    distinct = counted.groupBy("n").agg(F.count_distinct("gram").alias("distinct"))
+    totals = counted.groupBy("language", "n").agg(F.sum("c").alias("total")).join(distinct, "n")
+    floors = stage_table(totals.select("language", "n", F.log(ADDED / (F.col("total") + ADDED * (F.col("distinct") + 1))).alias("floor")), "gram-floors")
+    own = Window.partitionBy("language", "n").orderBy(F.desc("c"), "gram")
+    top = counted.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= size)
+    top = stage_table(top.select("language", "n", "gram", F.log((F.col("c") + ADDED) / ADDED).alias("gain")), "grams")
+    return Model(top, floors, sorted(r[0] for r in floors.select("language").distinct().collect()))
+
 
+def word_scores(words: DataFrame, model: Model) -> DataFrame:
+    """``word`` and a column ``s0, s1, ...`` for each language: the word's log-likelihood, averaged over the orders."""
+    grams = stage_table(words.select("word").distinct().select("word", F.inline(_grams(F.col("word")))), "word-grams")
+    sized = grams.groupBy("word", "n").agg(F.count("*").alias("c")).join(model.floors, "n").select("word", "language", (F.col("c") * F.col("floor")).alias("x"))
+    gained = grams.join(model.grams, ["n", "gram"]).select("word", "language", F.col("gain").alias("x"))
+    each = [F.sum(F.when(F.col("language") == name, F.col("x") / ORDERS).otherwise(0.0)).alias(f"s{i}") for i, name in enumerate(model.languages)]
+    return stage_table(sized.unionByName(gained).groupBy("word").agg(*each), "word-scores")
 
-def profile_trainer(samples: dict[str, list[str]], n: int = 3, size: int = 400, least: float = V.MIN_LANGUAGE_DISTANCE) -> Callable[[], Detector]:
-    """A detector from the profiles of a few given texts."""
-    shares = {}
-    for name, texts in samples.items():
-        counted = Counter(g for t in texts for g in _grams(t, n)).most_common(size)
-        total = sum(c for _, c in counted) or 1
-        shares[name] = {g: c / total for g, c in counted}
-    return detector(shares, n, least)
 
+def _summed(rows: DataFrame, model: Model, text: str, key: str) -> DataFrame:
+    """``key, words, s0, s1, ...``; of a text without letters the sums are null."""
+    words = rows.select(key, F.explode_outer(words_of(F.col(text))).alias("word"))
+    scored = words.join(word_scores(words.where("word is not null"), model), "word", "left")
+    return scored.groupBy(key).agg(F.count("word").alias("words"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(model.languages))])
 
-def detector(shares: dict[str, dict[str, float]], n: int = 3, least: float = V.MIN_LANGUAGE_DISTANCE) -> Callable[[], Detector]:
-    """The best language of a text, if its lead over the next is large enough."""
 
-    def make() -> Detector:
-        def one(text: str) -> str | None:
-            own = Counter(_grams(text, n))
-            score = sorted(((sum(k * p.get(g, 0.0) for g, k in own.items()), name) for name, p in shares.items()), reverse=True)
-            if not own or not score or score[0][0] == 0:
-                return None
-            second = score[1][0] if len(score) > 1 else 0.0
-            return score[0][1] if (score[0][0] - second) / score[0][0] >= least else None
+def scores(rows: DataFrame, model: Model, text: str = "message", key: str = "interaction_id") -> DataFrame:
+    """``key, language, score`` of every text with letters, for each language of the model."""
+    each = F.array(*[F.struct(F.lit(name).alias("language"), F.col(f"s{i}").alias("score")) for i, name in enumerate(model.languages)])
+    return _summed(rows, model, text, key).where("words > 0").select(key, F.inline(each))
 
-        return one
 
-    return make
+def detect(rows: DataFrame, model: Model, least: float = V.MIN_LANGUAGE_DISTANCE, text: str = "message", key: str = "interaction_id") -> DataFrame:
+    """``key, language`` of every row; null where there is no confident signal."""
+    if not model.languages:
+        return rows.select(key, F.lit(None).cast("string").alias("language"))
+    each = F.array(*[F.struct(F.col(f"s{i}").alias("score"), F.lit(name).alias("language")) for i, name in enumerate(model.languages)])
+    best = F.sort_array(each, asc=False)
+    sums = _summed(rows, model, text, key).withColumn("best", best)
+    whole = F.aggregate("best", F.lit(0.0), lambda s, x: s + F.exp(x["score"] - F.col("best")[0]["score"]))
+    second = F.coalesce(F.exp(F.try_element_at("best", F.lit(2))["score"] - F.col("best")[0]["score"]), F.lit(0.0))
+    sure = (F.col("words") > 0) & ((1 - second) / whole >= least)
+    return sums.select(key, F.when(sure, F.col("best")[0]["language"]).alias("language"))

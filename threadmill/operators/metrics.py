@@ -8,42 +8,14 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage_table
-
-
-def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, doc_key: str = "doc_id", query_key: str = "query_id") -> DataFrame:
-    """``query_id, doc_id, score, rank`` from ``doc_id, text`` and ``query_id, text``.
-
-    Texts are cut once, into a written table of a row per document and term that a query has (and one for all other terms, so that
-    every document's length is there); the counts are formed before the shuffle. Documents are scored from that table.
-    """
-    wanted = stage_table(queries.select(query_key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "terms")
-    cut = docs.select(doc_key, tokens(F.col("text")).alias("ws")).select(doc_key, F.size("ws").alias("len"), F.explode_outer("ws").alias("term"))
-    cut = cut.join(wanted.select("term", F.lit(True).alias("asked")).distinct(), "term", "left")
-    tf = cut.groupBy(doc_key, "len", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
-    tf = stage_table(tf, "counts")
-    stats = tf.select(doc_key, "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    known = tf.where("term is not null")
-    df = known.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = stage_table(wanted.join(df, "term").select(query_key, "term", idf.alias("idf"), "avg_len"), "asked")
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = known.join(asked, "term").groupBy(query_key, doc_key).agg(F.sum(weight).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.round("score", 9).desc(), doc_key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
 
 def hybrid(lexical: DataFrame, dense: DataFrame, weight: float = 0.5, boost: float = 0.1, k: int = 5) -> DataFrame:
-    """``query_id, doc_id, score`` from two score tables (scaled by each query's best) and ``same_intent`` of the dense one."""
-    best = lambda d: d.withColumn("score", F.coalesce(F.try_divide(F.col("score"), F.max("score").over(Window.partitionBy("query_id"))), F.lit(0.0)))
-    both = best(lexical).select("query_id", "doc_id", F.col("score").alias("l")).join(best(dense).select("query_id", "doc_id", F.col("score").alias("d"), "same_intent"), ["query_id", "doc_id"], "full")
+    """``asked_id, doc_id, score`` from two score tables (scaled by each query's best) and ``same_intent`` of the dense one."""
+    best = lambda d: d.withColumn("score", F.coalesce(F.try_divide(F.col("score"), F.max("score").over(Window.partitionBy("asked_id"))), F.lit(0.0)))
+    both = best(lexical).select("asked_id", "doc_id", F.col("score").alias("l")).join(best(dense).select("asked_id", "doc_id", F.col("score").alias("d"), "same_intent"), ["asked_id", "doc_id"], "full")
     score = weight * F.coalesce("l", F.lit(0.0)) + (1 - weight) * F.coalesce("d", F.lit(0.0)) + F.when(F.col("same_intent"), boost).otherwise(0.0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return both.select("query_id", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    w = Window.partitionBy("asked_id").orderBy(F.desc("score"), "doc_id")
+    return both.select("asked_id", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def grounded_prompt(message: Column, evidence: Column) -> Column:

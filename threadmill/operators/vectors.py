@@ -6,14 +6,13 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contracts
 from ..functions import fixed_values as V
 from ..plans.staging import stage_table
+from . import kmeans as clusters
 
 #: Bytes of queries and anchors up to which a side is broadcast; beyond, queries are taken in blocks.
 BROADCAST_ROWS = 20_000
@@ -52,23 +51,23 @@ def topk(index: DataFrame, query: list[float], k: int = V.TOP_K, key: str = "int
 
 
 def topk_batch(index: DataFrame, queries: DataFrame, k: int = V.TOP_K, key: str = "interaction_id") -> DataFrame:
-    """``query_id, key, score, rank`` for all queries, against the whole index, in blocks of ``BROADCAST_ROWS`` queries.
+    """``asked_id, key, score, rank`` for all queries, against the whole index, in blocks of ``BROADCAST_ROWS`` queries.
 
     Each block keeps its best ``k`` per part of the index before anything is shuffled.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    numbered = stage_table(queries.select("query_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("_h")), "queries")
+    numbered = stage_table(queries.select("asked_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("asked_id"), F.lit(1 << 20)).alias("_h")), "queries")
     blocks = max(1, -(-numbered.count() // BROADCAST_ROWS))
-    best = Window.partitionBy("query_id", "_part").orderBy(F.desc("score"), key)
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    best = Window.partitionBy("asked_id", "_part").orderBy(F.desc("score"), key)
+    final = Window.partitionBy("asked_id").orderBy(F.desc("score"), key)
     parts = index.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64)))
     out = None
     for b in range(blocks):
         block = numbered.where(F.col("_h") % blocks == b)
-        scored = parts.crossJoin(F.broadcast(block)).select("query_id", key, "_part", dot(F.col("vector"), F.col("_q")).alias("score"))
+        scored = parts.crossJoin(F.broadcast(block)).select("asked_id", key, "_part", dot(F.col("vector"), F.col("_q")).alias("score"))
         own = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        own = own.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
+        own = own.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("asked_id", key, "score", "rank")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -100,16 +99,16 @@ def candidates(centers: DataFrame, anchors: DataFrame, n: int = V.CANDIDATES, cl
 
 
 def kmeans(members: DataFrame, k: int = V.CLUSTERS, seed: int = V.SEED, restarts: int = 10, key: str = "interaction_id") -> DataFrame:
-    """``key, cluster_id`` of the best of some seeded runs; an empty cluster is an error."""
+    """``key, cluster_id`` of the best of some seeded runs; an empty cluster is an error.
+
+    Every run starts from centres spread over a bounded sample (``kmeans.SAMPLE`` rows); then all runs are fitted in the same scans of all rows.
+    """
     n = members.count()
     if not 1 <= k <= n:
         raise ValueError(f"k must be between 1 and {n}")
-    data = stage_table(members.select(key, array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features")), "kmeans")
-    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(restarts if k > 1 else 1)] if k > 1 else []
-    if not models:
-        return data.select(key, F.lit(0).alias("cluster_id"))
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(data).select(key, F.col("prediction").alias("cluster_id"))
+    data = stage_table(members.select(key, F.transform("vector", lambda x: x.cast("double")).alias("vector")), "kmeans")
+    fitted = clusters.fit(data, k, seed, restarts if k > 1 else 1, key)
+    out = stage_table(clusters.assigned(data, fitted.centres[int(fitted.cost.argmin())], key), "clustered")
     if out.select("cluster_id").distinct().count() < k:
         raise ValueError("a cluster is empty")
     return out

@@ -1,7 +1,8 @@
-"""Each operator as a query over the driver's tables, and the same in SQL for DuckDB."""
+"""Each operator over the driver's tables, and the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts, text
 from ..functions import fixed_values as V
-from ..operators import closure, golden, labels, language, metrics, reconcile, resolution, sampling, stitch, vectors
+from ..operators import closure, golden, hybrid, labels, language, lexical, metrics, reconcile, resolution, sampling, stitch, vector_index, vectors
 from ..sources import records
 from .fixture import BRAND, MESSAGES, TWEETS, quoted
+from .staging import stage_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def entry(sql: str | None = None):
     def put(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql is not None:
@@ -31,6 +33,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what an entry writes and opens again."""
+    return f"{stage_root(spark)}/threadmill/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def projected(spark: SparkSession, sf: str, cte: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {cte} SELECT * FROM {name}".replace("FROM conversations c", "FROM {conversations} c"), conversations=table(spark, sf, "conversations"))
 
@@ -91,50 +98,50 @@ _STITCH = f"""{_GROW},
         FROM kept GROUP BY ALL HAVING count(*) FILTER (author_id = 'brand') > 0)"""
 
 
-@query(f"{_PARENT} SELECT t.tweet_id, t.parent_id, p.author_id AS parent_author, p.tweet_id IS NOT NULL AS parent_exists FROM tweets t LEFT JOIN tweets p ON p.tweet_id = t.parent_id")
+@entry(f"{_PARENT} SELECT t.tweet_id, t.parent_id, p.author_id AS parent_author, p.tweet_id IS NOT NULL AS parent_exists FROM tweets t LEFT JOIN tweets p ON p.tweet_id = t.parent_id")
 def parent_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return stitch.parents(tweets(spark, sf))
 
 
-@query(f"WITH {TWEETS} SELECT DISTINCT p.tweet_id FROM tweets t JOIN tweets p ON p.tweet_id = t.parent_id WHERE t.author_id = 'brand'")
+@entry(f"WITH {TWEETS} SELECT DISTINCT p.tweet_id FROM tweets t JOIN tweets p ON p.tweet_id = t.parent_id WHERE t.author_id = 'brand'")
 def brand_replied_to(spark: SparkSession, sf: str) -> DataFrame:
     return stitch.replied_to(tweets(spark, sf), BRAND)
 
 
-@query(f"WITH {TWEETS} SELECT tweet_id, regexp_matches(lower(text), '@brand([^a-z0-9_]|$)') AS mentioned FROM tweets")
+@entry(f"WITH {TWEETS} SELECT tweet_id, regexp_matches(lower(text), '@brand([^a-z0-9_]|$)') AS mentioned FROM tweets")
 def mention_predicate(spark: SparkSession, sf: str) -> DataFrame:
     return tweets(spark, sf).select("tweet_id", text.mentions(F.col("text"), BRAND).alias("mentioned"))
 
 
-@query(f"WITH {_SEEDS} SELECT tweet_id, author_id FROM seeds")
+@entry(f"WITH {_SEEDS} SELECT tweet_id, author_id FROM seeds")
 def seed_predicate(spark: SparkSession, sf: str) -> DataFrame:
     return stitch.seeds(tweets(spark, sf), BRAND)
 
 
-@query(f"WITH RECURSIVE {_CLIMB} SELECT seed, opening FROM openings")
+@entry(f"WITH RECURSIVE {_CLIMB} SELECT seed, opening FROM openings")
 def climb_openings(spark: SparkSession, sf: str) -> DataFrame:
     return stitch.climb(tweets(spark, sf), BRAND)
 
 
-@query(f"WITH RECURSIVE {_GROW} SELECT opening, tweet_id FROM dyads")
+@entry(f"WITH RECURSIVE {_GROW} SELECT opening, tweet_id FROM dyads")
 def grow_dyads(spark: SparkSession, sf: str) -> DataFrame:
     t = tweets(spark, sf)
     return stitch.grow(t, stitch.climb(t, BRAND).select("opening").distinct(), BRAND)
 
 
-@query(f"WITH RECURSIVE {_STITCH} SELECT opening FROM inner_openings")
+@entry(f"WITH RECURSIVE {_STITCH} SELECT opening FROM inner_openings")
 def absorbed_openings(spark: SparkSession, sf: str) -> DataFrame:
     return stitch.absorbed(grow_dyads(spark, sf))
 
 
-@query(f"WITH RECURSIVE {_STITCH} SELECT interaction_id, customer_id, n_turns, turn_ids, sha256(texts) AS texts_sha256 FROM made")
+@entry(f"WITH RECURSIVE {_STITCH} SELECT interaction_id, customer_id, n_turns, turn_ids, sha256(texts) AS texts_sha256 FROM made")
 def stitch_interactions(spark: SparkSession, sf: str) -> DataFrame:
     made = stitch.stitch(tweets(spark, sf), BRAND)
     each = lambda f: F.transform("turns", lambda t: t[f].cast("string"))
     return made.select("interaction_id", "customer_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(each("tweet_id"), ",").alias("turn_ids"), F.sha2(F.array_join(each("text"), "|"), 256).alias("texts_sha256"))
 
 
-@query(f"""WITH RECURSIVE {_STITCH}, o AS (SELECT DISTINCT opening FROM openings)
+@entry(f"""WITH RECURSIVE {_STITCH}, o AS (SELECT DISTINCT opening FROM openings)
     SELECT total_rows, inbound_rows, brand_rows, seed_count, opening_count, absorbed_openings, interactions,
            opening_count - absorbed_openings - interactions AS unanswered_openings, turns_total, turns_total - turns_brand AS turns_customer, turns_brand
     FROM (SELECT count(*) AS total_rows, count(*) FILTER (inbound) AS inbound_rows, count(*) FILTER (author_id = 'brand') AS brand_rows FROM tweets),
@@ -147,12 +154,12 @@ def stitch_report(spark: SparkSession, sf: str) -> DataFrame:
 # ---- texts and language
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(concat(url, ' @someone ', html), 'https?://\S+|t\.co/\S+', ' ', 'g'), '@\w+', ' ', 'g') AS cleaned FROM pages""")
+@entry(r"""SELECT page_id, regexp_replace(regexp_replace(concat(url, ' @someone ', html), 'https?://\S+|t\.co/\S+', ' ', 'g'), '@\w+', ' ', 'g') AS cleaned FROM pages""")
 def text_clean(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", text.clean(F.concat("url", F.lit(" @someone "), "html")).alias("cleaned"))
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id, turn FROM messages WHERE NOT regexp_full_match(text, '\\s*')")
+@entry(f"WITH {MESSAGES} SELECT conv_id, turn FROM messages WHERE NOT regexp_full_match(text, '\\s*')")
 def blank_filter(spark: SparkSession, sf: str) -> DataFrame:
     return projected(spark, sf, MESSAGES, "messages").where(~text.is_blank(F.col("text"))).select("conv_id", "turn")
 
@@ -164,29 +171,29 @@ def _languages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.expr(_LANG).alias("language"))
 
 
-@query(f"SELECT doc_id, {_LANG} AS language FROM documents WHERE coalesce({_LANG}, 'ENGLISH') = 'ENGLISH'")
+@entry(f"SELECT doc_id, {_LANG} AS language FROM documents WHERE coalesce({_LANG}, 'ENGLISH') = 'ENGLISH'")
 def lang_filter(spark: SparkSession, sf: str) -> DataFrame:
     return language.keep(_languages(spark, sf))
 
 
-@query(f"SELECT {_LANG} AS language, count(*) AS n FROM documents WHERE {_LANG} <> 'ENGLISH' GROUP BY 1")
+@entry(f"SELECT {_LANG} AS language, count(*) AS n FROM documents WHERE {_LANG} <> 'ENGLISH' GROUP BY 1")
 def lang_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return language.breakdown(_languages(spark, sf))
 
 
-@query(f"""SELECT count(*) AS total, count(*) FILTER (coalesce({_LANG}, 'ENGLISH') = 'ENGLISH') AS retained, count(*) FILTER (({_LANG}) IS NULL) AS no_signal,
+@entry(f"""SELECT count(*) AS total, count(*) FILTER (coalesce({_LANG}, 'ENGLISH') = 'ENGLISH') AS retained, count(*) FILTER (({_LANG}) IS NULL) AS no_signal,
     count(*) FILTER (coalesce({_LANG}, 'ENGLISH') <> 'ENGLISH') AS filtered, count(*) FILTER (coalesce({_LANG}, 'ENGLISH') <> 'ENGLISH') / count(*) AS filtered_rate FROM documents""")
 def lang_report(spark: SparkSession, sf: str) -> DataFrame:
     return language.report(_languages(spark, sf))
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with the name of their language; by the checksum of the id a fifth of them is held out."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    """Documents with the name of their language; a fifth of them is held out from learning."""
+    held_out = F.col("doc_id") % 5 == 0
     return table(spark, sf, "documents").select("doc_id", "text", F.expr(_LANG).alias("language"), held_out.alias("held_out"))
 
 
-@query(f"""WITH words AS (SELECT {_LANG} AS language, concat(' ', unnest(regexp_extract_all(lower(text), '\\p{{L}}+')), ' ') AS w FROM documents WHERE ({_LANG}) IS NOT NULL),
+@entry(f"""WITH words AS (SELECT {_LANG} AS language, concat(' ', unnest(regexp_extract_all(lower(text), '\\p{{L}}+')), ' ') AS w FROM documents WHERE ({_LANG}) IS NOT NULL),
     grams AS (SELECT language, substr(w, i, 3) AS gram, count(*) AS n FROM (SELECT language, w, unnest(range(1, length(w) - 1)) AS i FROM words) GROUP BY ALL),
     best AS (SELECT * FROM grams QUALIFY row_number() OVER (PARTITION BY language ORDER BY n DESC, encode(gram)) <= 400)
     SELECT language, gram, n, n / sum(n) OVER (PARTITION BY language) AS share FROM best""")
@@ -195,12 +202,35 @@ def lang_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return language.profiles(_labelled(spark, sf))
 
 
-@query()
-def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's language, by the trigrams of the documents that are not held out."""
+_CLEANED = r"regexp_replace(regexp_replace(text, 'https?://\S+|t\.co/\S+', ' ', 'g'), '@\w+', ' ', 'g')"
+_GRAMS = "SELECT {c}, n, substr(CASE WHEN n = 1 THEN word ELSE ' ' || word || ' ' END, i, n) AS gram FROM (SELECT *, unnest(range(1, length(word) + CASE WHEN n = 1 THEN 1 ELSE 4 - n END)) AS i FROM {t}, range(1, 6) o(n))"
+_SCORED = f"""docs AS (SELECT doc_id, doc_id % 5 = 0 AS held_out, {_LANG} AS language, regexp_extract_all(lower(coalesce({_CLEANED}, '')), '\\p{{L}}+') AS ws FROM documents),
+    said AS (SELECT doc_id, held_out, language, unnest(ws) AS word FROM docs), taught AS (SELECT language, word, count(*) AS c FROM said WHERE NOT held_out AND language IS NOT NULL GROUP BY 1, 2),
+    counts AS (SELECT language, n, gram, sum(c) AS c FROM ({_GRAMS.format(c="language, c", t="taught")}) GROUP BY 1, 2, 3),
+    floors AS (SELECT language, n, ln(0.5 / (sum(c) + 0.5 * (any_value(v) + 1))) AS floor FROM counts JOIN (SELECT n, count(DISTINCT gram) AS v FROM counts GROUP BY 1) USING (n) GROUP BY 1, 2),
+    kept AS (SELECT language, n, gram, ln((c + 0.5) / 0.5) AS gain FROM counts QUALIFY row_number() OVER (PARTITION BY language, n ORDER BY c DESC, encode(gram)) <= 5000),
+    known AS (SELECT DISTINCT word FROM said), grams AS ({_GRAMS.format(c="word", t="known")}),
+    parts AS (SELECT word, language, count(*) * any_value(floor) AS x FROM grams JOIN floors USING (n) GROUP BY word, n, language UNION ALL SELECT word, language, gain FROM grams JOIN kept USING (n, gram)),
+    words AS (SELECT word, language, sum(x) / 5 AS x FROM parts GROUP BY 1, 2), scored AS (SELECT doc_id, w.language, sum(x) AS score FROM said JOIN words w USING (word) GROUP BY 1, 2)"""
+
+
+def _messages(spark: SparkSession, sf: str) -> tuple[DataFrame, language.Model]:
     docs = _labelled(spark, sf)
-    found = docs.select(F.col("doc_id").alias("interaction_id"), F.col("text").alias("message"))
-    return language.detect(found, language.learned(docs.where("not held_out")))
+    return docs.select(F.col("doc_id").alias("interaction_id"), F.col("text").alias("message")), language.train(docs.where("not held_out"))
+
+
+@entry(f"WITH {_SCORED} SELECT doc_id AS interaction_id, language, round(score, 4) AS score FROM scored")
+def lang_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's log-likelihood in every language, by the n-grams of the documents that are not held out."""
+    return language.scores(*_messages(spark, sf)).select("interaction_id", "language", F.round("score", 4).alias("score"))
+
+
+@entry(f"""WITH {_SCORED}, tops AS (SELECT doc_id, max(score) AS top, list(score ORDER BY score DESC) AS s, arg_max(language, (score, language)) AS best FROM scored GROUP BY 1),
+    sure AS (SELECT doc_id, best FROM tops WHERE (1 - exp(s[2] - top)) / list_sum(list_transform(s, lambda x: exp(x - top))) >= 0.25)
+    SELECT docs.doc_id AS interaction_id, best AS language FROM docs LEFT JOIN sure USING (doc_id)""")
+def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's language, where one leads."""
+    return language.detect(*_messages(spark, sf))
 
 
 # ---- samples
@@ -208,24 +238,24 @@ def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
 _RANK = "sha256(concat('42:', o_orderkey::VARCHAR))"
 
 
-@query(f"SELECT o_orderkey FROM orders ORDER BY {_RANK}, o_orderkey LIMIT 4000")
+@entry(f"SELECT o_orderkey FROM orders ORDER BY {_RANK}, o_orderkey LIMIT 4000")
 def hash_rank_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.hash_sample(table(spark, sf, "orders").select("o_orderkey"), V.SAMPLE_SIZE, key="o_orderkey")
 
 
-@query(f"""WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_RANK}, o_orderkey) AS r, count(*) OVER () AS n FROM orders)
+@entry(f"""WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_RANK}, o_orderkey) AS r, count(*) OVER () AS n FROM orders)
     SELECT o_orderkey, CASE WHEN r <= CASE WHEN n < 4000 THEN n * 1000 // 4000 ELSE 1000 END THEN 'holdout' ELSE 'pool' END AS split FROM s WHERE r <= 4000""")
 def sample_split(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_split(table(spark, sf, "orders").select("o_orderkey"), key="o_orderkey")
 
 
-@query("""WITH s AS (SELECT n_nationkey, row_number() OVER (ORDER BY sha256(concat('42:', n_nationkey::VARCHAR)), n_nationkey) AS r, count(*) OVER () AS n FROM nation)
+@entry("""WITH s AS (SELECT n_nationkey, row_number() OVER (ORDER BY sha256(concat('42:', n_nationkey::VARCHAR)), n_nationkey) AS r, count(*) OVER () AS n FROM nation)
     SELECT n_nationkey, CASE WHEN r <= n * 15 // 40 THEN 'holdout' ELSE 'pool' END AS split FROM s""")
 def small_input_split(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_split(table(spark, sf, "nation").select("n_nationkey"), 40, 15, key="n_nationkey")
 
 
-@query(f"""WITH {MESSAGES}, f AS (SELECT conv_id AS interaction_id, arg_min(text, turn) AS message, arg_min(side, turn) AS side FROM messages GROUP BY 1)
+@entry(f"""WITH {MESSAGES}, f AS (SELECT conv_id AS interaction_id, arg_min(text, turn) AS message, arg_min(side, turn) AS side FROM messages GROUP BY 1)
     SELECT interaction_id, message FROM f WHERE side = 'customer' AND NOT regexp_full_match(message, '\\s*') ORDER BY sha256(concat('42:', interaction_id::VARCHAR)), interaction_id LIMIT 500""")
 def dev_slice(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.dev_slice(stitch.opening_text(interactions(spark, sf))).select("interaction_id", "message")
@@ -269,53 +299,53 @@ _FINAL = f"""{_CLOSURE},
         UNION ALL SELECT interaction_id, ['resolved', 'uncertain', 'unresolved'][interaction_id % 3 + 1], 'labeler', 'read again', reason, concat('m', interaction_id % 2) FROM closure WHERE needs_adjudication)"""
 
 
-@query(f"{_CLOSURE} SELECT * FROM closings")
+@entry(f"{_CLOSURE} SELECT * FROM closings")
 def closing_turns(spark: SparkSession, sf: str) -> DataFrame:
     return closure.closing_turns(interactions(spark, sf))
 
 
-@query(f"{_CLOSURE} SELECT * FROM closure")
+@entry(f"{_CLOSURE} SELECT * FROM closure")
 def closure_labels(spark: SparkSession, sf: str) -> DataFrame:
     return closure_rows(spark, sf)
 
 
-@query(f"""{_CLOSURE} SELECT count(*) AS total, count(*) FILTER (label = 'resolved') AS resolved, count(*) FILTER (label = 'uncertain') AS uncertain, count(*) FILTER (label = 'unresolved') AS unresolved,
+@entry(f"""{_CLOSURE} SELECT count(*) AS total, count(*) FILTER (label = 'resolved') AS resolved, count(*) FILTER (label = 'uncertain') AS uncertain, count(*) FILTER (label = 'unresolved') AS unresolved,
     count(*) FILTER (needs_adjudication) AS flagged, count(label) / count(*) AS label_rate, count(*) FILTER (needs_adjudication) / count(*) AS adjudication_rate FROM closure""")
 def closure_report(spark: SparkSession, sf: str) -> DataFrame:
     return closure.closure_report(closure_rows(spark, sf))
 
 
-@query(f"{_CLOSURE} SELECT reason, count(*) AS n FROM closure WHERE needs_adjudication GROUP BY 1")
+@entry(f"{_CLOSURE} SELECT reason, count(*) AS n FROM closure WHERE needs_adjudication GROUP BY 1")
 def flagged_by_reason(spark: SparkSession, sf: str) -> DataFrame:
     return closure.flagged_by_reason(closure_rows(spark, sf))
 
 
-@query(f"{_CLOSURE} SELECT reason, label, count(*) AS n FROM closure GROUP BY 1, 2")
+@entry(f"{_CLOSURE} SELECT reason, label, count(*) AS n FROM closure GROUP BY 1, 2")
 def closure_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return closure_rows(spark, sf).groupBy("reason", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id AS interaction_id, count(*) FILTER (side = 'customer') AS customer_turns, count(*) FILTER (side = 'brand') AS brand_turns FROM messages GROUP BY 1 HAVING arg_min(side, turn) = 'customer'")
+@entry(f"WITH {MESSAGES} SELECT conv_id AS interaction_id, count(*) FILTER (side = 'customer') AS customer_turns, count(*) FILTER (side = 'brand') AS brand_turns FROM messages GROUP BY 1 HAVING arg_min(side, turn) = 'customer'")
 def turn_counts(spark: SparkSession, sf: str) -> DataFrame:
     return stitch.turn_counts(interactions(spark, sf))
 
 
-@query(f"{_FINAL} SELECT * FROM final")
+@entry(f"{_FINAL} SELECT * FROM final")
 def adjudicated_merge(spark: SparkSession, sf: str) -> DataFrame:
     return final_rows(spark, sf)
 
 
-@query(f"{_FINAL} SELECT source, label, count(*) AS n FROM final GROUP BY GROUPING SETS ((label), (source, label))")
+@entry(f"{_FINAL} SELECT source, label, count(*) AS n FROM final GROUP BY GROUPING SETS ((label), (source, label))")
 def adjudication_report(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.adjudication_report(final_rows(spark, sf))
 
 
-@query(f"{_FINAL} SELECT model, min(interaction_id) AS first FROM final WHERE model IS NOT NULL GROUP BY 1")
+@entry(f"{_FINAL} SELECT model, min(interaction_id) AS first FROM final WHERE model IS NOT NULL GROUP BY 1")
 def models_in_order(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.models_in_order(final_rows(spark, sf), "interaction_id")
 
 
-@query(f"{_FINAL} SELECT interaction_id, label, source, retrieval_eligible, 1 AS dataset_version, n_turns FROM (SELECT *, label = 'resolved' AS retrieval_eligible FROM final) JOIN (SELECT conv_id AS interaction_id, count(*) AS n_turns FROM messages GROUP BY 1) USING (interaction_id)")
+@entry(f"{_FINAL} SELECT interaction_id, label, source, retrieval_eligible, 1 AS dataset_version, n_turns FROM (SELECT *, label = 'resolved' AS retrieval_eligible FROM final) JOIN (SELECT conv_id AS interaction_id, count(*) AS n_turns FROM messages GROUP BY 1) USING (interaction_id)")
 def resolution_dataset(spark: SparkSession, sf: str) -> DataFrame:
     made = resolution.build_dataset(final_rows(spark, sf), interactions_as_records(spark, sf))
     return made.select("interaction_id", "label", "source", "retrieval_eligible", "dataset_version", F.size("turns").cast("long").alias("n_turns"))
@@ -326,23 +356,23 @@ def interactions_as_records(spark: SparkSession, sf: str) -> DataFrame:
     return interactions(spark, sf).select("interaction_id", F.concat(F.lit("cust_"), F.col("interaction_id").cast("string")).alias("customer_id"), F.lit(BRAND).alias("brand_id"), F.transform("turns", turn).alias("turns"))
 
 
-@query(f"""{_FINAL} SELECT s.source, count(f.label) AS total, count(*) FILTER (label = 'resolved') AS resolved, count(*) FILTER (label = 'uncertain') AS uncertain, count(*) FILTER (label = 'unresolved') AS unresolved,
+@entry(f"""{_FINAL} SELECT s.source, count(f.label) AS total, count(*) FILTER (label = 'resolved') AS resolved, count(*) FILTER (label = 'uncertain') AS uncertain, count(*) FILTER (label = 'unresolved') AS unresolved,
     count(*) FILTER (label = 'resolved') AS eligible, coalesce(count(*) FILTER (label = 'resolved') / nullif(count(f.label), 0), 0) AS eligible_share FROM (VALUES ('heuristic'), ('labeler')) s(source) LEFT JOIN final f USING (source) GROUP BY 1""")
 def resolution_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.by_source(resolution.with_eligibility(final_rows(spark, sf)))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@entry("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def coverage_missing(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.missing_labels(table(spark, sf, "orders"), table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)")
+@entry("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)")
 def coverage_unknown(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.unknown_labels(table(spark, sf, "pages").withColumnRenamed("page_id", "doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 1")
+@entry("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n")).where("n > 1")
 
@@ -350,13 +380,13 @@ def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
 # ---- logs and model replies
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
+@entry("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
 def verdict_log_latest(spark: SparkSession, sf: str) -> DataFrame:
     log = table(spark, sf, "events").select("user_id", "event_type", "value", "event_id", F.col("event_id").alias("seq"))
     return records.latest(log, "user_id", "seq").drop("seq")
 
 
-@query("""WITH log AS (SELECT user_id, arg_max(sha256(concat('system', chr(10), chr(10), event_type)), event_id) AS logged, arg_max(event_type, event_id) AS verdict FROM events GROUP BY 1),
+@entry("""WITH log AS (SELECT user_id, arg_max(sha256(concat('system', chr(10), chr(10), event_type)), event_id) AS logged, arg_max(event_type, event_id) AS verdict FROM events GROUP BY 1),
     work AS (SELECT c_custkey AS user_id, sha256(concat('system', chr(10), chr(10), 'click')) AS prompt_sha256 FROM customer)
     SELECT user_id, coalesce(logged = prompt_sha256, false) AS hit, CASE WHEN logged = prompt_sha256 THEN verdict END AS verdict FROM work LEFT JOIN log USING (user_id)""")
 def cache_hit_miss(spark: SparkSession, sf: str) -> DataFrame:
@@ -366,7 +396,7 @@ def cache_hit_miss(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", "hit", F.col("verdict.event_type").alias("verdict"))
 
 
-@query("SELECT doc_id, sha256(concat('You label texts.', chr(10), chr(10), text)) AS prompt_sha256 FROM documents")
+@entry("SELECT doc_id, sha256(concat('You label texts.', chr(10), chr(10), text)) AS prompt_sha256 FROM documents")
 def prompt_hash(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.prompt_hash(F.lit("You label texts."), F.col("text")).alias("prompt_sha256"))
 
@@ -374,13 +404,13 @@ def prompt_hash(spark: SparkSession, sf: str) -> DataFrame:
 _REPLY = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('```json', chr(10), props, chr(10), '```') WHEN 2 THEN concat('Here you are: ', props, ' Bye.') ELSE 'no object' END"
 
 
-@query(f"SELECT event_id, CASE WHEN event_id % 4 < 3 THEN trim(props) END AS object FROM events")
+@entry(f"SELECT event_id, CASE WHEN event_id % 4 < 3 THEN trim(props) END AS object FROM events")
 def json_object_extract(spark: SparkSession, sf: str) -> DataFrame:
     reply = F.expr(_REPLY.replace("chr(10)", "char(10)"))
     return table(spark, sf, "events").select("event_id", text.json_object(reply).alias("object"))
 
 
-@query(f"""WITH {MESSAGES} SELECT conv_id AS interaction_id, sha256(string_agg(concat(lpad(side, 8, ' '), ' ', strftime(make_timestamp(turn * 60000000), '%Y-%m-%d %H:%M'), '  ', text), chr(10) ORDER BY turn)) AS transcript
+@entry(f"""WITH {MESSAGES} SELECT conv_id AS interaction_id, sha256(string_agg(concat(lpad(side, 8, ' '), ' ', strftime(make_timestamp(turn * 60000000), '%Y-%m-%d %H:%M'), '  ', text), chr(10) ORDER BY turn)) AS transcript
     FROM messages GROUP BY 1 HAVING arg_min(side, turn) = 'customer'""")
 def transcript_render(spark: SparkSession, sf: str) -> DataFrame:
     return interactions_as_records(spark, sf).select("interaction_id", F.sha2(text.transcript(F.col("turns")), 256).alias("transcript"))
@@ -390,19 +420,19 @@ _RULES = " ".join(f"WHEN regexp_matches(trim(text), {quoted('(?i)' + p)}) THEN {
 _DECIDE = " ".join(f"WHEN {quoted(i)} THEN {quoted(d)}" for _, i, _, _, d in V.KEYWORD_RULES)
 
 
-@query(f"WITH {MESSAGES}, k AS (SELECT conv_id, turn, CASE {_RULES} ELSE {quoted(V.KEYWORD_FALLBACK[0])} END AS intent FROM messages) SELECT *, CASE intent {_DECIDE} ELSE {quoted(V.KEYWORD_FALLBACK[3])} END AS decision FROM k")
+@entry(f"WITH {MESSAGES}, k AS (SELECT conv_id, turn, CASE {_RULES} ELSE {quoted(V.KEYWORD_FALLBACK[0])} END AS intent FROM messages) SELECT *, CASE intent {_DECIDE} ELSE {quoted(V.KEYWORD_FALLBACK[3])} END AS decision FROM k")
 def keyword_rules(spark: SparkSession, sf: str) -> DataFrame:
     m = projected(spark, sf, MESSAGES, "messages").withColumn("r", text.keyword_answer(F.col("text")))
     return m.select("conv_id", "turn", "r.intent", "r.decision")
 
 
-@query("""SELECT doc_id, CASE WHEN quality NOT IN (0, 1) THEN 'unknown label' WHEN (quality = 0) <> (toxic = 0) THEN 'quality and toxic must agree' END AS error FROM labels""")
+@entry("""SELECT doc_id, CASE WHEN quality NOT IN (0, 1) THEN 'unknown label' WHEN (quality = 0) <> (toxic = 0) THEN 'quality and toxic must agree' END AS error FROM labels""")
 def contract_errors(spark: SparkSession, sf: str) -> DataFrame:
     rule = contracts.rules((F.col("quality").isin(0, 1), "unknown label"), ((F.col("quality") == 0) == (F.col("toxic") == 0), "quality and toxic must agree"))
     return table(spark, sf, "labels").select("doc_id", rule.alias("error"))
 
 
-@query("""SELECT event_id, event_type IN ('click', 'view', 'purchase') AND coalesce(user_id % 3 = 0 OR sha256(concat('p', user_id::VARCHAR)) = sha256('p1'), false) AS current FROM events""")
+@entry("""SELECT event_id, event_type IN ('click', 'view', 'purchase') AND coalesce(user_id % 3 = 0 OR sha256(concat('p', user_id::VARCHAR)) = sha256('p1'), false) AS current FROM events""")
 def hint_currency(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.inference import hint_is_current
 
@@ -420,13 +450,13 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.normalized(table(spark, sf, "embeddings").select(F.col("vec_id").alias("interaction_id"), F.col("label").alias("cluster_id"), F.col("embedding").alias("vector")))
 
 
-@query(f"WITH {_UNIT} SELECT vec_id AS interaction_id, round(v[1], 6) AS first, round(v[64], 6) AS last, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM u")
+@entry(f"WITH {_UNIT} SELECT vec_id AS interaction_id, round(v[1], 6) AS first, round(v[64], 6) AS last, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM u")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("vector")
     return _vectors(spark, sf).select("interaction_id", F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"), F.round(F.sqrt(vectors.dot(v, v)), 6).alias("norm"))
 
 
-@query(f"""WITH {_UNIT}, q AS (SELECT v AS w FROM u WHERE vec_id = (SELECT min(vec_id) FROM u)), s AS (SELECT vec_id AS interaction_id, {_DOT.format(a="v", b="w")} AS score FROM u, q)
+@entry(f"""WITH {_UNIT}, q AS (SELECT v AS w FROM u WHERE vec_id = (SELECT min(vec_id) FROM u)), s AS (SELECT vec_id AS interaction_id, {_DOT.format(a="v", b="w")} AS score FROM u, q)
     SELECT interaction_id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY s.score DESC, interaction_id LIMIT 5)""")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     index = _vectors(spark, sf)
@@ -434,31 +464,31 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.topk(index, q).select("interaction_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_UNIT}, s AS (SELECT q.vec_id AS query_id, u.vec_id AS interaction_id, {_DOT.format(a="u.v", b="q.v")} AS score FROM u, u q WHERE q.vec_id % 50 = 0),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, interaction_id) AS rank FROM s) SELECT query_id, interaction_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+@entry(f"""WITH {_UNIT}, s AS (SELECT q.vec_id AS asked_id, u.vec_id AS interaction_id, {_DOT.format(a="u.v", b="q.v")} AS score FROM u, u q WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY asked_id ORDER BY score DESC, interaction_id) AS rank FROM s) SELECT asked_id, interaction_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Queries are all rows whose id is divisible by 50."""
     index = _vectors(spark, sf)
-    queries = index.where("interaction_id % 50 = 0").select(F.col("interaction_id").alias("query_id"), "vector")
-    return vectors.topk_batch(index, queries).select("query_id", "interaction_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    queries = index.where("interaction_id % 50 = 0").select(F.col("interaction_id").alias("asked_id"), "vector")
+    return vectors.topk_batch(index, queries).select("asked_id", "interaction_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _CENTER = f"""{_UNIT}, x AS (SELECT label, i, avg(v[i]) AS x FROM u, range(1, 65) t(i) GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY i) AS c FROM x GROUP BY 1),
     c AS (SELECT label, list_transform(c, lambda y: y / sqrt(list_sum(list_transform(c, lambda z: z * z)))) AS c FROM m)"""
 
 
-@query(f"WITH {_CENTER} SELECT label AS cluster_id, round(c[1], 6) AS first, round(c[64], 6) AS last FROM c")
+@entry(f"WITH {_CENTER} SELECT label AS cluster_id, round(c[1], 6) AS first, round(c[64], 6) AS last FROM c")
 def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.centroids(_vectors(spark, sf)).select("cluster_id", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
 
 
-@query(f"""WITH {_CENTER}, s AS (SELECT u.label AS cluster_id, vec_id AS interaction_id, {_DOT.format(a="v", b="c")} AS s FROM u JOIN c USING (label)),
+@entry(f"""WITH {_CENTER}, s AS (SELECT u.label AS cluster_id, vec_id AS interaction_id, {_DOT.format(a="v", b="c")} AS s FROM u JOIN c USING (label)),
     r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY s DESC, interaction_id) AS rank FROM s) SELECT cluster_id, interaction_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 8""")
 def centroid_examples(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.cluster_examples(_vectors(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {_CENTER}, a AS (SELECT concat('intent_', label) AS intent_id, v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM u) WHERE n <= 2),
+@entry(f"""WITH {_CENTER}, a AS (SELECT concat('intent_', label) AS intent_id, v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM u) WHERE n <= 2),
     s AS (SELECT label AS cluster_id, intent_id, round(max({_DOT.format(a="c", b="v")}), 6) AS similarity FROM c, a GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, intent_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -470,28 +500,12 @@ def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.candidates(vectors.centroids(v), anchors).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@entry()
 def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of all vectors; the best of ten seeded runs."""
     return vectors.kmeans(_vectors(spark, sf).select("interaction_id", "vector"), V.CLUSTERS)
 
 
-@query(f"""WITH {_UNIT}, q AS (SELECT vec_id AS query_id, v FROM u WHERE vec_id % 50 = 0),
-    s AS (SELECT query_id, vec_id AS doc_id, {_DOT.format(a="u.v", b="q.v")} AS d, abs(vec_id - query_id) % 7 = 0 AS same_intent, 1.0 / (1 + abs(vec_id - query_id)) AS l FROM u, q),
-    b AS (SELECT *, l / max(l) OVER w AS ls, d / max(d) OVER w AS ds FROM s WINDOW w AS (PARTITION BY query_id)),
-    r AS (SELECT query_id, doc_id, round(0.5 * ls + 0.5 * ds + CASE WHEN same_intent THEN 0.1 ELSE 0 END, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY 0.5 * ls + 0.5 * ds + CASE WHEN same_intent THEN 0.1 ELSE 0 END DESC, doc_id) AS rank FROM b)
-    SELECT * FROM r WHERE rank <= 5""")
-def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """A lexical stand-in (nearness of ids) and the vectors' similarity, for all rows whose id is divisible by 50."""
-    index = _vectors(spark, sf)
-    asked = index.where("interaction_id % 50 = 0").select(F.col("interaction_id").alias("query_id"), "vector")
-    every = vectors.topk_batch(index, asked, index.count()).select("query_id", F.col("interaction_id").alias("doc_id"), "score")
-    apart = F.abs(F.col("doc_id") - F.col("query_id"))
-    lexical = every.select("query_id", "doc_id", (1 / (1 + apart)).alias("score"))
-    out = metrics.hybrid(lexical, every.withColumn("same_intent", apart % 7 == 0))
-    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
 # ---- taxonomies and reconciliation
 
 _SEED = "('a_seed', 'kept', 'a_seed'), ('b_seed', 'merged', 'a_seed'), ('c_seed', 'dropped', NULL)"
@@ -514,23 +528,23 @@ def _decisions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
     return n.select(k.alias("cluster_id"), size.alias("size"), mapping.alias("mapping")), seeds, themes, intents
 
 
-@query(f"WITH {_ROUTE} SELECT * FROM routed")
+@entry(f"WITH {_ROUTE} SELECT * FROM routed")
 def reconcile_route(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.route(*_decisions(spark, sf)[:3])
 
 
-@query(f"WITH {_ROUTE} SELECT ord, intent_id, count(final_intent) AS clusters, coalesce(sum(size), 0)::BIGINT AS messages FROM i LEFT JOIN routed ON final_intent = intent_id GROUP BY 1, 2")
+@entry(f"WITH {_ROUTE} SELECT ord, intent_id, count(final_intent) AS clusters, coalesce(sum(size), 0)::BIGINT AS messages FROM i LEFT JOIN routed ON final_intent = intent_id GROUP BY 1, 2")
 def reconcile_coverage(spark: SparkSession, sf: str) -> DataFrame:
     *parts, intents = _decisions(spark, sf)
     return reconcile.coverage(reconcile.route(*parts), intents)
 
 
-@query(f"WITH {_ROUTE} SELECT sum(size)::BIGINT AS messages, sum(size) FILTER (final_intent <> 'other')::BIGINT AS covered, sum(size) FILTER (final_intent <> 'other') / sum(size) AS covered_share FROM routed")
+@entry(f"WITH {_ROUTE} SELECT sum(size)::BIGINT AS messages, sum(size) FILTER (final_intent <> 'other')::BIGINT AS covered, sum(size) FILTER (final_intent <> 'other') / sum(size) AS covered_share FROM routed")
 def reconcile_share(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.covered_share(reconcile_coverage(spark, sf))
 
 
-@query(f"""WITH {_ROUTE}, m(ord, mapping) AS (VALUES (0, 'a_seed'), (1, 'b_seed'), (2, 'c_seed'), (1048576, 'new'), (1048577, 'junk'))
+@entry(f"""WITH {_ROUTE}, m(ord, mapping) AS (VALUES (0, 'a_seed'), (1, 'b_seed'), (2, 'c_seed'), (1048576, 'new'), (1048577, 'junk'))
     SELECT ord, mapping, count(size) AS clusters, coalesce(sum(size), 0)::BIGINT AS messages FROM m LEFT JOIN k USING (mapping) GROUP BY 1, 2""")
 def discovery_report(spark: SparkSession, sf: str) -> DataFrame:
     clusters = _decisions(spark, sf)[0]
@@ -538,7 +552,7 @@ def discovery_report(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.discovery_report(clusters, seeds)
 
 
-@query("SELECT 'c_seed' AS subject, 'decision on an unknown seed' AS problem UNION ALL SELECT 'd_seed', 'seed without a decision'")
+@entry("SELECT 'c_seed' AS subject, 'decision on an unknown seed' AS problem UNION ALL SELECT 'd_seed', 'seed without a decision'")
 def decision_gaps(spark: SparkSession, sf: str) -> DataFrame:
     clusters, seeds, themes, _ = _decisions(spark, sf)
     own = spark.createDataFrame([("a_seed",), ("b_seed",), ("d_seed",), ("other",)], "intent_id string")
@@ -580,18 +594,18 @@ def _quotas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return strata, golden.apportion(strata.select("ord", "intent", "available"))
 
 
-@query(f"WITH {_STRATA} SELECT ord::INT AS ord, intent, available, quota FROM q")
+@entry(f"WITH {_STRATA} SELECT ord::INT AS ord, intent, available, quota FROM q")
 def quota_apportion(spark: SparkSession, sf: str) -> DataFrame:
     return _quotas(spark, sf)[1]
 
 
-@query(f"WITH {_STRATA} SELECT ord::INT AS ord, intent, quota, auto_picks, quota - auto_picks AS escalate_picks FROM d")
+@entry(f"WITH {_STRATA} SELECT ord::INT AS ord, intent, quota, auto_picks, quota - auto_picks AS escalate_picks FROM d")
 def decision_split(spark: SparkSession, sf: str) -> DataFrame:
     strata, quotas = _quotas(spark, sf)
     return golden.split_decisions(quotas.join(strata.select("ord", "auto", "escalate"), "ord"))
 
 
-@query(f"WITH {_QUEUE} SELECT * FROM queue")
+@entry(f"WITH {_QUEUE} SELECT * FROM queue")
 def golden_queue(spark: SparkSession, sf: str) -> DataFrame:
     hints, intents = _hints(spark, sf)
     return golden.plan_queue(hints, intents).withColumn("queue_pos", F.col("queue_pos").cast("long"))
@@ -605,20 +619,20 @@ def _gold(queue: DataFrame) -> DataFrame:
     return q.withColumns({"gold_intent": F.when(F.col("interaction_id") % 5 == 0, "AUTOMOBILE").otherwise(F.col("hint_intent")), "gold_decision": F.when(F.col("interaction_id") % 7 == 0, "auto").otherwise(F.col("hint_decision")), "notes": F.when(F.col("interaction_id") % 2 == 0, "note").otherwise("")})
 
 
-@query(f"""WITH {_GOLD} SELECT i.intent, i.ord::INT AS ord, count(g.gold_intent) AS total, count(*) FILTER (gold_decision = 'auto') AS auto, count(*) FILTER (gold_decision = 'escalate') AS escalate, count(*) FILTER (notes <> '') AS notes_filled,
+@entry(f"""WITH {_GOLD} SELECT i.intent, i.ord::INT AS ord, count(g.gold_intent) AS total, count(*) FILTER (gold_decision = 'auto') AS auto, count(*) FILTER (gold_decision = 'escalate') AS escalate, count(*) FILTER (notes <> '') AS notes_filled,
     count(*) FILTER (gold_intent = hint_intent) AS intent_agreed, count(*) FILTER (gold_decision = hint_decision) AS decision_agreed FROM i LEFT JOIN gold g ON g.gold_intent = i.intent GROUP BY 1, 2""")
 def golden_report(spark: SparkSession, sf: str) -> DataFrame:
     queue = golden_queue(spark, sf)
     return golden.golden_report(queue, _gold(queue), _hints(spark, sf)[1])
 
 
-@query(f"WITH {_GOLD} SELECT interaction_id, queue_pos FROM queue WHERE interaction_id NOT IN (SELECT interaction_id FROM gold)")
+@entry(f"WITH {_GOLD} SELECT interaction_id, queue_pos FROM queue WHERE interaction_id NOT IN (SELECT interaction_id FROM gold)")
 def golden_remaining(spark: SparkSession, sf: str) -> DataFrame:
     queue = golden_queue(spark, sf)
     return golden.remaining(queue, _gold(queue)).select("interaction_id", "queue_pos")
 
 
-@query(f"WITH {_QUEUE} SELECT queue_pos, interaction_id, o_orderpriority FROM queue JOIN orders ON o_orderkey = interaction_id")
+@entry(f"WITH {_QUEUE} SELECT queue_pos, interaction_id, o_orderpriority FROM queue JOIN orders ON o_orderkey = interaction_id")
 def queue_join(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("interaction_id"), "o_orderpriority")
     return golden.queue_join(golden_queue(spark, sf), rows).select("queue_pos", "interaction_id", "o_orderpriority")
@@ -635,30 +649,30 @@ def _overlaid(spark: SparkSession, sf: str) -> DataFrame:
     return labels.overlay(own, fix, ["q00", "q01", "q10", "q11"])
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'de')")
+@entry("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'de')")
 def pool_membership(spark: SparkSession, sf: str) -> DataFrame:
     return labels.outside_pool(table(spark, sf, "labels"), table(spark, sf, "documents").where("lang <> 'de'"), "doc_id")
 
 
-@query("SELECT p_partkey FROM part WHERE p_size % 4 = 0 OR p_brand IS NULL")
+@entry("SELECT p_partkey FROM part WHERE p_size % 4 = 0 OR p_brand IS NULL")
 def record_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
     changed = p.withColumn("p_brand", F.when(F.col("p_size") % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("p_brand")))
     return labels.mismatched(changed, p, "p_partkey")
 
 
-@query(f"WITH {_LABELS} SELECT * FROM over")
+@entry(f"WITH {_LABELS} SELECT * FROM over")
 def corrections_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return _overlaid(spark, sf)
 
 
-@query(f"WITH {_LABELS}, i(ord, intent) AS (VALUES (0, 'q00'), (1, 'q01'), (2, 'q10'), (3, 'q11'), (4, 'none')) SELECT ord, i.intent, count(o.intent) AS total, count(*) FILTER (source = 'labeler') AS labeler, count(*) FILTER (source = 'human') AS human FROM i LEFT JOIN over o ON o.intent = i.intent GROUP BY 1, 2")
+@entry(f"WITH {_LABELS}, i(ord, intent) AS (VALUES (0, 'q00'), (1, 'q01'), (2, 'q10'), (3, 'q11'), (4, 'none')) SELECT ord, i.intent, count(o.intent) AS total, count(*) FILTER (source = 'labeler') AS labeler, count(*) FILTER (source = 'human') AS human FROM i LEFT JOIN over o ON o.intent = i.intent GROUP BY 1, 2")
 def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
     intents = spark.createDataFrame(list(enumerate(["q00", "q01", "q10", "q11", "none"])), "ord int, intent string")
     return labels.distribution(_overlaid(spark, sf), intents)
 
 
-@query(f"WITH {_LABELS}, r AS (SELECT intent, interaction_id, source, row_number() OVER (PARTITION BY intent ORDER BY CASE source WHEN 'human' THEN 0 ELSE 1 END, interaction_id) AS rank, count(*) OVER (PARTITION BY intent) AS total FROM over) SELECT * FROM r WHERE rank <= 5")
+@entry(f"WITH {_LABELS}, r AS (SELECT intent, interaction_id, source, row_number() OVER (PARTITION BY intent ORDER BY CASE source WHEN 'human' THEN 0 ELSE 1 END, interaction_id) AS rank, count(*) OVER (PARTITION BY intent) AS total FROM over) SELECT * FROM r WHERE rank <= 5")
 def review_top_n(spark: SparkSession, sf: str) -> DataFrame:
     return labels.review_rows(_overlaid(spark, sf)).select("intent", "interaction_id", "source", F.col("rank").cast("long").alias("rank"), "total")
 
@@ -680,7 +694,7 @@ def _rule_model():
     return model
 
 
-@query(f"SELECT interaction_id, label, 'by rule' AS justification, 'rule' AS model FROM ({_STUB})")
+@entry(f"SELECT interaction_id, label, 'by rule' AS justification, 'rule' AS model FROM ({_STUB})")
 def stub_inference(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts, repair of invalid replies, the verdict log and reading it back, over all labels."""
     import json
@@ -704,7 +718,7 @@ def stub_inference(spark: SparkSession, sf: str) -> DataFrame:
     return said.select("interaction_id", r["value"].alias("label"), r["text"].alias("justification"), "model")
 
 
-@query(f"""WITH {MESSAGES}, m AS (SELECT conv_id, list(struct_pack(turn := turn, side := side, text := text) ORDER BY turn, side, text) AS t FROM messages GROUP BY 1),
+@entry(f"""WITH {MESSAGES}, m AS (SELECT conv_id, list(struct_pack(turn := turn, side := side, text := text) ORDER BY turn, side, text) AS t FROM messages GROUP BY 1),
     lab AS ({_STUB}) SELECT conv_id AS conversation_id, t[1].text AS customer_message, list_filter(t, lambda x: x.side = 'brand')[1].text AS brand_reply, concat('i', conv_id % 4) AS intent, label AS resolution
     FROM m JOIN lab ON interaction_id = conv_id WHERE t[1].side = 'customer'""")
 def case_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -723,7 +737,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").select(F.when(F.col("quality") == 1, "auto").otherwise("escalate").alias("gold"), F.when((F.col("toxic") == 1) | (F.col("doc_id") % 9 == 0), "escalate").otherwise("auto").alias("predicted"))
 
 
-@query(f"WITH {_PAIRS} SELECT gold, predicted, count(*) AS n FROM pairs GROUP BY 1, 2")
+@entry(f"WITH {_PAIRS} SELECT gold, predicted, count(*) AS n FROM pairs GROUP BY 1, 2")
 def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion(_pairs(spark, sf))
 
@@ -732,24 +746,24 @@ _CLASSES = f"""{_PAIRS}, c AS (SELECT l AS label, count(*) FILTER (gold = l) AS
     f AS (SELECT label, support, coalesce(hits / nullif(guessed, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall, coalesce(2 * hits / nullif(guessed + support, 0), 0) AS f1 FROM c)"""
 
 
-@query(f"WITH {_CLASSES} SELECT label, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM f")
+@entry(f"WITH {_CLASSES} SELECT label, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM f")
 def per_class_f1(spark: SparkSession, sf: str) -> DataFrame:
     r = lambda c: F.round(c, 9).alias(c)
     return metrics.per_class(_pairs(spark, sf)).select("label", "support", r("precision"), r("recall"), r("f1"))
 
 
-@query(f"WITH {_CLASSES} SELECT (SELECT count(*) FROM pairs) AS n, (SELECT round(count(*) FILTER (gold = predicted) / count(*), 9) FROM pairs) AS accuracy, round(avg(f1) FILTER (support > 0), 9) AS macro_f1 FROM f")
+@entry(f"WITH {_CLASSES} SELECT (SELECT count(*) FROM pairs) AS n, (SELECT round(count(*) FILTER (gold = predicted) / count(*), 9) FROM pairs) AS accuracy, round(avg(f1) FILTER (support > 0), 9) AS macro_f1 FROM f")
 def macro_f1(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.summary(_pairs(spark, sf)).select("n", F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
-@query(f"""WITH {_PAIRS} SELECT count(*) AS n, count(*) FILTER (predicted = 'auto') AS auto, count(*) FILTER (predicted = 'auto' AND gold = 'escalate') AS false_auto,
+@entry(f"""WITH {_PAIRS} SELECT count(*) AS n, count(*) FILTER (predicted = 'auto') AS auto, count(*) FILTER (predicted = 'auto' AND gold = 'escalate') AS false_auto,
     round(count(*) FILTER (predicted = 'auto') / count(*), 9) AS auto_rate, round(count(*) FILTER (predicted = 'auto' AND gold = 'escalate') / count(*) FILTER (predicted = 'auto'), 9) AS false_auto_rate FROM pairs""")
 def false_auto_rate(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.auto_rates(_pairs(spark, sf)).withColumns({"auto_rate": F.round("auto_rate", 9), "false_auto_rate": F.round("false_auto_rate", 9)})
 
 
-@query(f"""WITH {_PAIRS}, a AS (SELECT gold, predicted, count(*) AS n FROM pairs GROUP BY 1, 2), t AS (SELECT sum(n) AS t, sum(n) FILTER (gold = predicted) / sum(n) AS po FROM a),
+@entry(f"""WITH {_PAIRS}, a AS (SELECT gold, predicted, count(*) AS n FROM pairs GROUP BY 1, 2), t AS (SELECT sum(n) AS t, sum(n) FILTER (gold = predicted) / sum(n) AS po FROM a),
     e AS (SELECT sum(x.na * y.nb) AS c FROM (SELECT gold AS k, sum(n) AS na FROM a GROUP BY 1) x JOIN (SELECT predicted AS k, sum(n) AS nb FROM a GROUP BY 1) y USING (k))
     SELECT t::BIGINT AS n, round(po, 9) AS agreement, round((po - c / (t * t)) / (1 - c / (t * t)), 9) AS kappa FROM t, e""")
 def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
@@ -757,7 +771,7 @@ def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("n", F.round("agreement", 9).alias("agreement"), F.round("kappa", 9).alias("kappa"))
 
 
-@query("SELECT c_mktsegment AS intent, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, intent LIMIT 1")
+@entry("SELECT c_mktsegment AS intent, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, intent LIMIT 1")
 def majority_class(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.majority(table(spark, sf, "customer").withColumnRenamed("c_mktsegment", "intent"))
 
@@ -765,25 +779,59 @@ def majority_class(spark: SparkSession, sf: str) -> DataFrame:
 _TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents), size AS (SELECT doc_id, len({_TOKENS.format("text")}) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM size),
-    w AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark)),
+_BM25 = f"""t AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents), size AS (SELECT doc_id, len({_TOKENS.format("text")}) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM size),
+    w AS (SELECT DISTINCT item_id AS asked_id, term FROM (SELECT item_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark)),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM w) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-    s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))) AS score FROM w JOIN tf USING (term) JOIN df USING (term) JOIN size USING (doc_id), st GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5""")
+    s AS (SELECT asked_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))) AS score FROM w JOIN tf USING (term) JOIN df USING (term) JOIN size USING (doc_id), st GROUP BY 1, 2)"""
+
+
+@entry(f"""WITH {_BM25},
+    r AS (SELECT *, row_number() OVER (PARTITION BY asked_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT asked_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return metrics.bm25(table(spark, sf, "documents"), queries).select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """The index is written, opened again and asked for all benchmark items."""
+    folder = scratch_folder(spark, "lexical")
+    lexical.build(table(spark, sf, "documents"), folder)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("asked_id"), "text")
+    return lexical.topk(lexical.opened(spark, folder), asked).select("asked_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'escalate' WHEN o_orderpriority = '2-HIGH' THEN 'escalate' WHEN o_totalprice / 500000 < 0.3 THEN 'escalate' WHEN o_orderkey % 10 / 10 < 0.2 THEN 'escalate' ELSE 'auto' END AS decision,
+@entry("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'escalate' WHEN o_orderpriority = '2-HIGH' THEN 'escalate' WHEN o_totalprice / 500000 < 0.3 THEN 'escalate' WHEN o_orderkey % 10 / 10 < 0.2 THEN 'escalate' ELSE 'auto' END AS decision,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'high-risk intent' WHEN o_orderpriority = '2-HIGH' THEN 'account-specific intent' WHEN o_totalprice / 500000 < 0.3 THEN 'low confidence' WHEN o_orderkey % 10 / 10 < 0.2 THEN 'weak evidence' ELSE 'confident and grounded' END AS reason FROM orders""")
 def policy_decision(spark: SparkSession, sf: str) -> DataFrame:
     d = metrics.decide(F.col("o_orderpriority"), F.col("o_totalprice") / 500000, F.col("o_orderkey") % 10 / 10, ["1-URGENT"], ["2-HIGH"], 0.3, 0.2)
     return table(spark, sf, "orders").select("o_orderkey", d.alias("d")).select("o_orderkey", "d.decision", "d.reason")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@entry("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The windowed aggregation of the event stream, as a batch over the whole table."""
     e = table(spark, sf, "events")
     return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@entry(f"""WITH {_UNIT}, {_BM25}, q AS (SELECT item_id AS asked_id, v, label FROM benchmark JOIN u ON vec_id = item_id),
+    d AS (SELECT asked_id, vec_id AS doc_id, {_DOT.format(a="u.v", b="q.v")} AS d FROM u, q),
+    b AS (SELECT asked_id, doc_id, coalesce(score, 0) AS l, coalesce(d, 0) AS d FROM (SELECT * FROM s WHERE asked_id IN (SELECT asked_id FROM q)) FULL JOIN d USING (asked_id, doc_id)),
+    both_scores AS (SELECT asked_id, doc_id, CASE WHEN max(l) OVER w > 0 THEN l / max(l) OVER w ELSE 0 END * 0.5 + CASE WHEN max(d) OVER w > 0 THEN d / max(d) OVER w ELSE 0 END * 0.5
+                 + CASE WHEN q.label = e.label THEN 0.1 ELSE 0 END AS score
+          FROM b JOIN q USING (asked_id) LEFT JOIN embeddings e ON e.vec_id = doc_id WINDOW w AS (PARTITION BY asked_id)),
+    r AS (SELECT asked_id, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION BY asked_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM both_scores) SELECT * FROM r WHERE rank <= 5""")
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 over the documents and cosines of their vectors, for all benchmark items; labels are the intents."""
+    words = lexical.build(table(spark, sf, "documents"), scratch_folder(spark, "lexical"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.col("label").alias("intent"))
+    index = vector_index.build(e.withColumnRenamed("vec_id", "interaction_id"), scratch_folder(spark, "vectors"), "given")
+    asked = table(spark, sf, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("asked_id"), "text", "vector", "intent")
+    out = hybrid.topk(words, index, asked, e.select(F.col("vec_id").alias("doc_id"), "intent"))[0]
+    return out.select("asked_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@entry(ORACLE_SQL["vector_topk_batch"])
+def vector_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by an index in parts that is written, opened again and read where its bounds ask for it."""
+    folder = scratch_folder(spark, "vectors")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("interaction_id"), F.col("embedding").alias("vector"))
+    vector_index.build(rows, folder, "given")
+    asked = rows.where("interaction_id % 50 = 0").withColumnRenamed("interaction_id", "asked_id")
+    found = vector_index.topk(vector_index.opened(spark, folder, "given"), asked)
+    return found.select("asked_id", "interaction_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -12,7 +12,7 @@ from ..functions import fixed_values as V
 from ..operators import discovery, metrics, resolution, vectors
 from ..sources import records, taxonomy
 from . import catalogue as C
-from .catalogue import query, table
+from .catalogue import entry, table
 from .fixture import MESSAGES, TWEETS, quoted
 from .staging import stage_root
 
@@ -32,7 +32,7 @@ def _by(rest, column: str, **spoilt):
 # ---- sources
 
 
-@query(f"WITH {TWEETS} SELECT tweet_id, author_id, inbound, created_at AS seconds, text, parent_id FROM tweets")
+@entry(f"WITH {TWEETS} SELECT tweet_id, author_id, inbound, created_at AS seconds, text, parent_id FROM tweets")
 def message_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Messages written as CSV in the source's own form and read strictly."""
     path = f"{stage_root(spark)}/threadmill/messages-{uuid.uuid4().hex[:12]}"
@@ -55,12 +55,12 @@ _SEEDS = """| # | Intent | Definition | Messages |
 """
 
 
-@query("SELECT * FROM (VALUES (0, 'a_seed', 'What a is about.', 'Hello a'), (2, 'b_seed', 'What b is about.', 'Hello b')) t(ord, intent_id, definition, representative_message)")
+@entry("SELECT * FROM (VALUES (0, 'a_seed', 'What a is about.', 'Hello a'), (2, 'b_seed', 'What b is about.', 'Hello b')) t(ord, intent_id, definition, representative_message)")
 def support_intents(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.support_intents(taxonomy.seed_taxonomy(spark, _SEEDS))
 
 
-@query(f"{C._FINAL} SELECT interaction_id, 64 AS dim FROM final WHERE label = 'resolved'")
+@entry(f"{C._FINAL} SELECT interaction_id, 64 AS dim FROM final WHERE label = 'resolved'")
 def index_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The opening texts of eligible rows as checked vectors, one for each."""
     made = resolution.build_dataset(C.final_rows(spark, sf), C.interactions_as_records(spark, sf))
@@ -72,7 +72,7 @@ def index_rows(spark: SparkSession, sf: str) -> DataFrame:
 _INTERACTION = {1: "customer_id and brand_id must be strings", 2: "turns must not be empty", 3: "the first turn must be the customer's", 4: "a turn is malformed", 5: "a turn is malformed"}
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id AS interaction_id, {_cases('conv_id % 7', _INTERACTION)} FROM messages GROUP BY conv_id HAVING arg_min(side, turn) = 'customer'")
+@entry(f"WITH {MESSAGES} SELECT conv_id AS interaction_id, {_cases('conv_id % 7', _INTERACTION)} FROM messages GROUP BY conv_id HAVING arg_min(side, turn) = 'customer'")
 def contract_interactions(spark: SparkSession, sf: str) -> DataFrame:
     k, turns = F.col("interaction_id") % 7, F.col("turns")
     put = lambda field, value: F.transform(turns, lambda t: t.withField(field, F.lit(value).cast("string")))
@@ -81,7 +81,7 @@ def contract_interactions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("interaction_id", contracts.interaction().alias("error"))
 
 
-@query(f"""{C._CLOSURE}, m AS (SELECT interaction_id, CASE WHEN interaction_id % 5 = 1 THEN 'maybe' ELSE label END AS label, CASE WHEN interaction_id % 5 = 2 THEN ' ' ELSE reason END AS reason, needs_adjudication <> (interaction_id % 5 = 3) AS needs_adjudication FROM closure)
+@entry(f"""{C._CLOSURE}, m AS (SELECT interaction_id, CASE WHEN interaction_id % 5 = 1 THEN 'maybe' ELSE label END AS label, CASE WHEN interaction_id % 5 = 2 THEN ' ' ELSE reason END AS reason, needs_adjudication <> (interaction_id % 5 = 3) AS needs_adjudication FROM closure)
     SELECT interaction_id, CASE WHEN label NOT IN ('resolved', 'uncertain', 'unresolved') THEN 'unknown label' WHEN trim(reason) = '' THEN 'reason must not be blank'
         WHEN needs_adjudication <> (label IS NULL) THEN 'needs_adjudication must say whether the label is missing' END AS error FROM m""")
 def contract_closure_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +90,7 @@ def contract_closure_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("interaction_id", contracts.closure_label().alias("error"))
 
 
-@query(f"""{C._FINAL}, m AS (SELECT interaction_id, CASE WHEN interaction_id % 7 <> 4 THEN label END AS label, CASE WHEN interaction_id % 7 = 1 THEN 'guess' ELSE source END AS source, CASE WHEN interaction_id % 7 = 2 THEN '' ELSE reason END AS reason,
+@entry(f"""{C._FINAL}, m AS (SELECT interaction_id, CASE WHEN interaction_id % 7 <> 4 THEN label END AS label, CASE WHEN interaction_id % 7 = 1 THEN 'guess' ELSE source END AS source, CASE WHEN interaction_id % 7 = 2 THEN '' ELSE reason END AS reason,
         CASE WHEN interaction_id % 7 <> 3 THEN flag_reason WHEN flag_reason IS NULL THEN 'x' END AS flag_reason, CASE WHEN interaction_id % 7 <> 5 THEN model END AS model FROM final)
     SELECT interaction_id, CASE WHEN label IS NULL THEN 'unknown label' WHEN source = 'guess' THEN 'unknown source' WHEN reason = '' THEN 'reason must not be blank'
         WHEN source = 'heuristic' AND (flag_reason IS NOT NULL OR model IS NOT NULL) THEN 'heuristic labels carry no flag_reason or model'
@@ -104,7 +104,7 @@ def contract_final_labels(spark: SparkSession, sf: str) -> DataFrame:
 _RESOLUTION = {1: "dataset_version must be 1", 2: "retrieval_eligible must say whether the label is resolved", 3: "unknown label", 4: "turns must not be empty"}
 
 
-@query(f"{C._FINAL} SELECT interaction_id, {_cases('interaction_id % 6', _RESOLUTION)} FROM final")
+@entry(f"{C._FINAL} SELECT interaction_id, {_cases('interaction_id % 6', _RESOLUTION)} FROM final")
 def contract_resolutions(spark: SparkSession, sf: str) -> DataFrame:
     k, eligible = F.col("interaction_id") % 6, F.col("retrieval_eligible")
     made = resolution.build_dataset(C.final_rows(spark, sf), C.interactions_as_records(spark, sf))
@@ -112,7 +112,7 @@ def contract_resolutions(spark: SparkSession, sf: str) -> DataFrame:
     return made.withColumns(changed).select("interaction_id", contracts.resolution().alias("error"))
 
 
-@query("""SELECT n_nationkey::BIGINT - 1 AS cluster_id, CASE WHEN n_nationkey = 0 THEN 'cluster_id must not be negative' WHEN n_regionkey = 0 THEN 'size must be positive' WHEN n_nationkey % 8 = 1 THEN 'unknown mapping'
+@entry("""SELECT n_nationkey::BIGINT - 1 AS cluster_id, CASE WHEN n_nationkey = 0 THEN 'cluster_id must not be negative' WHEN n_regionkey = 0 THEN 'size must be positive' WHEN n_nationkey % 8 = 1 THEN 'unknown mapping'
     WHEN n_nationkey % 8 = 2 THEN 'justification must not be blank' WHEN n_nationkey % 8 = 3 THEN 'candidates must not be empty' WHEN n_nationkey % 8 = 4 THEN 'a candidate is malformed' WHEN n_nationkey % 8 = 5 THEN 'examples must not be empty'
     WHEN n_nationkey % 8 = 6 THEN 'an example is malformed' END AS error FROM nation""")
 def contract_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +133,7 @@ def contract_clusters(spark: SparkSession, sf: str) -> DataFrame:
 _GOLDEN = {1: "unknown hint_decision", 2: "taxonomy_version must be positive", 3: "customer_message must not be blank", 4: "unknown gold_intent", 5: "unknown gold_decision", 6: "notes must be a string", 7: "hint_intent must not be blank"}
 
 
-@query(f"WITH {C._GOLD} SELECT interaction_id, {_cases('interaction_id % 9', _GOLDEN)} FROM gold")
+@entry(f"WITH {C._GOLD} SELECT interaction_id, {_cases('interaction_id % 9', _GOLDEN)} FROM gold")
 def contract_golden(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("interaction_id") % 9
     gold = C._gold(C.golden_queue(spark, sf)).withColumns({
@@ -146,7 +146,7 @@ def contract_golden(spark: SparkSession, sf: str) -> DataFrame:
 _INTENT = {1: "customer_message must not be blank", 2: "intent must not be blank", 3: "unknown source", 4: "labelers name their model, humans have none", 5: "taxonomy_version must be positive"}
 
 
-@query(f"WITH {C._LABELS} SELECT interaction_id, {_cases('interaction_id % 7', _INTENT)} FROM over")
+@entry(f"WITH {C._LABELS} SELECT interaction_id, {_cases('interaction_id % 7', _INTENT)} FROM over")
 def contract_intent_labels(spark: SparkSession, sf: str) -> DataFrame:
     k, model = F.col("interaction_id") % 7, F.col("model")
     rows = C._overlaid(spark, sf).withColumns({
@@ -156,7 +156,7 @@ def contract_intent_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("interaction_id", contracts.intent_label().alias("error"))
 
 
-@query("""WITH d AS (SELECT p_partkey, concat('i', p_partkey) AS subject, ['kept', 'merged', 'dropped', 'promoted', 'lost'][p_size % 5 + 1] AS decision, CASE p_partkey % 3 WHEN 0 THEN concat('i', p_partkey) WHEN 1 THEN 'elsewhere' END AS final_intent FROM part)
+@entry("""WITH d AS (SELECT p_partkey, concat('i', p_partkey) AS subject, ['kept', 'merged', 'dropped', 'promoted', 'lost'][p_size % 5 + 1] AS decision, CASE p_partkey % 3 WHEN 0 THEN concat('i', p_partkey) WHEN 1 THEN 'elsewhere' END AS final_intent FROM part)
     SELECT p_partkey, CASE WHEN decision = 'lost' THEN 'unknown decision' WHEN decision = 'kept' AND final_intent IS DISTINCT FROM subject THEN 'a kept intent keeps its id'
         WHEN decision = 'merged' AND coalesce(final_intent = subject, true) THEN 'a merged intent has another target' WHEN decision = 'dropped' AND final_intent IS NOT NULL THEN 'a dropped intent has no target'
         WHEN decision = 'promoted' AND final_intent IS NULL THEN 'a promoted theme needs a target' END AS error FROM d""")
@@ -170,7 +170,7 @@ def contract_decisions(spark: SparkSession, sf: str) -> DataFrame:
 _VECTOR = {1: "a vector must have 64 numbers", 2: "a vector must hold finite numbers", 3: "a vector must hold finite numbers"}
 
 
-@query(f"SELECT vec_id AS interaction_id, {_cases('vec_id % 5', _VECTOR)} FROM embeddings")
+@entry(f"SELECT vec_id AS interaction_id, {_cases('vec_id % 5', _VECTOR)} FROM embeddings")
 def contract_vectors(spark: SparkSession, sf: str) -> DataFrame:
     k, v = F.col("vec_id") % 5, F.transform("embedding", lambda x: x.cast("double"))
     all_of = lambda x: F.transform(v, lambda _: F.lit(x).cast("double"))
@@ -184,14 +184,14 @@ _ANSWERS = [(i, c, e, d, *V.KEYWORD_REPLIES[i]) for _, i, c, e, d in V.KEYWORD_R
 _ANSWER_ROWS = ", ".join(f"({quoted(i)}, {c}, {quoted(','.join(e))}, {quoted(r)}, {quoted(why)})" for i, c, e, _, r, why in _ANSWERS)
 
 
-@query(f"""WITH {MESSAGES}, k AS (SELECT conv_id, turn, CASE {C._RULES} ELSE {quoted(V.KEYWORD_FALLBACK[0])} END AS intent FROM messages), a(intent, confidence, evidence, reply, reason) AS (VALUES {_ANSWER_ROWS})
+@entry(f"""WITH {MESSAGES}, k AS (SELECT conv_id, turn, CASE {C._RULES} ELSE {quoted(V.KEYWORD_FALLBACK[0])} END AS intent FROM messages), a(intent, confidence, evidence, reply, reason) AS (VALUES {_ANSWER_ROWS})
     SELECT conv_id, turn, confidence::DOUBLE AS confidence, evidence, reply, reason FROM k JOIN a USING (intent)""")
 def keyword_answers(spark: SparkSession, sf: str) -> DataFrame:
     m = C.projected(spark, sf, MESSAGES, "messages").withColumn("r", text.keyword_answer(F.col("text")))
     return m.select("conv_id", "turn", "r.confidence", F.array_join("r.evidence", ",").alias("evidence"), "r.reply", "r.reason")
 
 
-@query()
+@entry()
 def tfidf_lr_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """The trained baseline's guess of a document's language, for all documents; fitted on those whose id is not divisible by 5."""
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("message"), F.col("lang").alias("intent"))
