@@ -165,7 +165,7 @@ def test_errors_are_named(spark, tmp_path):
 
 
 def test_hint_replies_need_a_decision():
-    from threadmill.cli import valid_reply
+    valid_reply = inference.valid_reply
 
     check = valid_reply("intent", ["x"], decision=("auto", "escalate"))
     assert check('{"intent": "x", "decision": "maybe", "justification": "y"}') == "unknown decision"
@@ -200,13 +200,28 @@ def test_backoff():
 def test_discovery(spark, tmp_path):
     messages = spark.createDataFrame([(i, "song stops playing" if i % 2 else "card was charged twice") for i in range(20)], "interaction_id long, message string")
     anchors = spark.createDataFrame([("playback", "song stops"), ("playback", "playing a song"), ("billing", "card charged"), ("billing", "charged twice")], "intent_id string, message string")
-    seeds = spark.createDataFrame([(0, "playback"), (1, "billing"), (2, "other")], "ord int, intent_id string")
-    make = lambda: lambda p, s, t: ('{"mapping": "%s", "justification": "as said"}' % ("billing" if "charged" in p.split("Candidates")[0] else "playback"), "m")
+    seeds = spark.createDataFrame([(0, "playback", "Music does not play."), (1, "billing", "A wrong charge."), (2, "other", "Rest.")], "ord int, intent_id string, definition string")
+    make = lambda: lambda p, s, t: ('Here:\n```json\n{"mapping": "%s", "justification": "as said"}\n```' % ("billing" if "charged" in p.split("Candidates")[0].split("nearest")[1] else "playback"), "m")
     got = discovery.discover(messages, anchors, seeds, vectors.hashing_embedder(32), make, f"file://{tmp_path}/log", k=2, restarts=2).collect()
     assert sorted((r.mapping, r["size"]) for r in got) == [("billing", 10), ("playback", 10)]
     assert all(r.candidates[0].intent_id == r.mapping and len(r.examples) == 8 for r in got)
 
 
+def test_cluster_prompt(spark):
+    row = spark.createDataFrame([(7, [(1, "it stopped", 0.5), (2, "no sound", 0.4)], [("playback", 0.25)])], "size long, examples array<struct<interaction_id:long,message:string,similarity:double>>, candidates array<struct<intent_id:string,similarity:double>>")
+    said = row.select(inference.cluster_prompt(F.col("size"), F.col("examples"), F.col("candidates"), "- playback: Music does not play.", "- a fault is no wish")).first()[0]
+    for part in ("- playback: Music does not play.", "- a fault is no wish", "7 messages; the 2 nearest", "- it stopped\n- no sound", "playback 0.250000", "junk", "new"):
+        assert part in said
+
+
+def test_fenced_and_wrapped_replies():
+    check = inference.valid_reply("mapping", ["a", "junk"])
+    good = '{"mapping": "a", "justification": "x"}'
+    for reply in (good, f"```json\n{good}\n```", f"```\n{good}\n```", f"Sure: {good} - done", f"```JSON {good}```"):
+        assert check(reply) is None
+    assert [check(r) for r in ("", "[1]", "{broken", '{"mapping": "b", "justification": "x"}', '{"mapping": "a", "justification": 3}', '{"mapping": "a"}')] == ["no JSON object"] * 3 + ["unknown mapping", "no justification", "no justification"]
+
+
 def test_reply_and_json(spark):
     rows = [('{"a": 1}',), ('```json\n{"a": 1}\n```',), ('so: {"a": 1} ok',), ("[1]",), ("none",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "r string").select(text.json_object(F.col("r"))).collect()]

@@ -207,24 +207,6 @@ COMMANDS = {
 }
 
 
-def valid_reply(choice: str, allowed, **more) -> object:
-    """What is wrong with a reply, for the repair prompt; ``more`` are further choices and what they may be."""
-    choices = {choice: list(allowed), **{k: list(v) for k, v in more.items()}}
-
-    def check(reply: str) -> str | None:
-        bare = reply[reply.find("{") : reply.rfind("}") + 1]
-        try:
-            got = json.loads(bare)
-        except ValueError:
-            return "no JSON object"
-        for name, values in choices.items():
-            if got.get(name) not in values:
-                return f"unknown {name}"
-        return None if str(got.get("justification") or "").strip() else "no justification"
-
-    return check
-
-
 #: Sent with each request for a hint: a label is wanted, no reasoning.
 THINKING_OFF = {"chat_template_kwargs": {"enable_thinking": False}}
 
@@ -272,7 +254,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, make_model=None) -> int:
     a = parser().parse_args(argv)
-    a.valid = valid_reply
+    a.valid = inference.valid_reply
     a.make_model = lambda extra=None: make_model or http_model(a.config, extra=extra)
     try:
         print(COMMANDS[a.command][0](spark or session(), a))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import contracts
 from ..plans.staging import stage_table
 from . import vectors
-from .inference import cached, cluster_prompt, reply_fields
+from .inference import cached, cluster_prompt, definitions_text, reply_fields, valid_reply
 
 SYSTEM = "You map clusters of support messages to intents. Reply with a JSON object with mapping and justification."
 
@@ -23,8 +23,11 @@ def support_intents(seeds: DataFrame) -> DataFrame:
     return own
 
 
-def discover(messages: DataFrame, anchors: DataFrame, seeds: DataFrame, make_embedder: Callable, make_labeler: Callable, log_path: str, k: int = 30, seed: int = 42, restarts: int = 10) -> DataFrame:
-    """Cluster records from messages ``interaction_id, message`` and anchors ``intent_id, message`` (two per seed)."""
+def discover(messages: DataFrame, anchors: DataFrame, seeds: DataFrame, make_embedder: Callable, make_labeler: Callable, log_path: str, k: int = 30, seed: int = 42, restarts: int = 10, rules: str = "") -> DataFrame:
+    """Cluster records from messages ``interaction_id, message``, anchors ``intent_id, message`` (two per seed) and seeds ``ord, intent_id, definition``.
+
+    ``rules`` are further ones for the boundaries between the intents. Replies may be fenced or wrapped in prose.
+    """
     members = stage_table(vectors.embed(messages, make_embedder), "members")
     placed = stage_table(members.join(vectors.kmeans(members, k, seed, restarts), "interaction_id"), "placed")
     numbered = anchors.withColumn("interaction_id", F.xxhash64("intent_id", "message"))
@@ -37,21 +40,10 @@ def discover(messages: DataFrame, anchors: DataFrame, seeds: DataFrame, make_emb
     )
     sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("size"))
     clusters = stage_table(sizes.join(best, "cluster_id").join(shown, "cluster_id").withColumn("cluster_id", F.col("cluster_id").cast("long")), "clusters")
-    names = [r[0] for r in seeds.select("intent_id").collect()] + ["new", "junk"]
-    work = clusters.select("cluster_id", cluster_prompt(F.col("examples"), F.col("candidates")).alias("prompt"))
-
-    def valid(reply: str) -> str | None:
-        import json
-
-        try:
-            got = json.loads(reply)
-        except ValueError:
-            return "no JSON object"
-        if not isinstance(got, dict) or got.get("mapping") not in names:
-            return "unknown mapping"
-        return None if str(got.get("justification") or "").strip() else "no justification"
-
-    said = cached(work, log_path, make_labeler, SYSTEM, valid, key="cluster_id")
+    own = support_intents(seeds)
+    names = [r[0] for r in own.select("intent_id").collect()] + ["new", "junk"]
+    work = clusters.select("cluster_id", cluster_prompt(F.col("size"), F.col("examples"), F.col("candidates"), definitions_text(own), rules).alias("prompt"))
+    said = cached(work, log_path, make_labeler, SYSTEM, valid_reply("mapping", names), key="cluster_id")
     said = said.select("cluster_id", reply_fields(F.col("reply"), "mapping", names).alias("r")).select("cluster_id", F.col("r.value").alias("mapping"), F.col("r.text").alias("justification"))
     out = clusters.join(said, "cluster_id").select("cluster_id", "size", "mapping", "justification", "candidates", "examples")
     contracts.gate(out.where(contracts.cluster(names).isNotNull()), "clusters that break their contract", "cluster_id")

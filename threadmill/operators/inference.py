@@ -6,7 +6,9 @@ has no valid verdict for are sent; verdicts are written wave by wave and stay fo
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -143,6 +145,36 @@ def reply_fields(reply: Column, choice: str, allowed: Sequence[str], text: str =
     return F.struct(value.alias("value"), said.alias("text"), error.alias("error"))
 
 
+def object_in(reply: str) -> dict | None:
+    """The JSON object in a reply, as ``functions.text.json_object`` finds it: without code fences, else from the first ``{`` to the last ``}``."""
+    bare = re.sub(r"(?i)^```(?:json)?\s*|\s*```$", "", reply.strip()).strip()
+    for text in (bare, bare[bare.find("{") : bare.rfind("}") + 1]):
+        try:
+            got = json.loads(text)
+        except ValueError:
+            continue
+        if isinstance(got, dict):
+            return got
+    return None
+
+
+def valid_reply(choice: str, allowed: Sequence[str], **more: Sequence[str]) -> Callable[[str], str | None]:
+    """What is wrong with a reply, for the repair prompt; ``more`` are further choices and what they may be. All stages judge replies by this."""
+    choices = {choice: list(allowed), **{k: list(v) for k, v in more.items()}}
+
+    def check(reply: str) -> str | None:
+        got = object_in(reply)
+        if got is None:
+            return "no JSON object"
+        for name, values in choices.items():
+            if got.get(name) not in values:
+                return f"unknown {name}"
+        said = got.get("justification")
+        return None if isinstance(said, str) and said.strip() else "no justification"
+
+    return check
+
+
 #: How a conversation may have ended, for the model that judges it.
 ENDINGS = {
     "resolved": "the customer's problem was solved, or the customer says so",
@@ -164,11 +196,21 @@ def intent_prompt(definitions: str, message: Column, rules: str = "") -> Column:
     return F.concat(F.lit(f"Intents:\n{definitions}\n\n" + (f"{rules}\n\n" if rules else "") + "Message: "), message)
 
 
-def cluster_prompt(examples: Column, candidates: Column) -> Column:
-    """A cluster's examples and its candidate intents."""
+#: What the verdict on a cluster may be, besides one of the intents.
+CLUSTER_RULES = """How to choose:
+- an intent's id, if most of the messages ask for what its definition says;
+- new, if they share one concern that support has to act on and no definition covers it;
+- junk, if none of them holds a problem or a request: thanks, jokes, advertising, a lone name or greeting. A message may be short and still name a problem.
+What the messages say counts; the similarities are a hint, and a weak one where messages are short. The fallback intent is no choice."""
+
+
+def cluster_prompt(size: Column, examples: Column, candidates: Column, definitions: str = "", rules: str = "") -> Column:
+    """The intents with their definitions, how to choose, further rules, and the cluster: its size, its examples and its candidate intents."""
     said = F.array_join(F.transform(examples, lambda e: F.concat(F.lit("- "), e["message"])), "\n")
     names = F.array_join(F.transform(candidates, lambda c: F.concat(c["intent_id"], F.lit(" "), F.format_number(c["similarity"], 6))), "\n")
-    return F.concat(F.lit("Messages:\n"), said, F.lit("\n\nCandidates:\n"), names)
+    head = (f"Intents:\n{definitions}\n\n" if definitions else "") + CLUSTER_RULES + (f"\n{rules}" if rules else "")
+    count = F.concat(F.lit("\n\nThe cluster has "), size.cast("string"), F.lit(" messages; the "), F.size(examples).cast("string"), F.lit(" nearest to its middle:\n"))
+    return F.concat(F.lit(head), count, said, F.lit("\n\nCandidates, most similar first:\n"), names)
 
 
 def definitions_text(intents: DataFrame) -> str:

@@ -43,21 +43,43 @@ def message_csv(spark: SparkSession, sf: str) -> DataFrame:
     return records.read_tweets(spark, path).select("tweet_id", "author_id", "inbound", F.unix_timestamp("created_at").alias("seconds"), "text", "parent_id")
 
 
-_SEEDS = """| # | Intent | Definition | Messages |
-|---|---|---|---|
-| 1 | `a_seed` | What a is about. | 3 |
-| 2 | `other` | The rest. | 4 |
-| 3 | `b_seed` | What b is about. | 1 |
+_SEED_ROWS = "SELECT n_nationkey, CASE n_nationkey WHEN 7 THEN 'other' ELSE lower(n_name) END AS intent_id, concat('What region ', n_regionkey, ' asks.') AS definition, concat('Hello from ', n_name) AS representative_message FROM"
 
-- `a_seed`: "Hello a"
-- `b_seed`: "Hello b"
-- `other`: "Hello"
-"""
 
-
-@entry("SELECT * FROM (VALUES (0, 'a_seed', 'What a is about.', 'Hello a'), (2, 'b_seed', 'What b is about.', 'Hello b')) t(ord, intent_id, definition, representative_message)")
+@entry(f"SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS ord, intent_id, definition, representative_message FROM ({_SEED_ROWS} nation) QUALIFY intent_id <> 'other'")
 def support_intents(spark: SparkSession, sf: str) -> DataFrame:
-    return discovery.support_intents(taxonomy.seed_taxonomy(spark, _SEEDS))
+    """A seed taxonomy in Markdown, made of the nations and read back; its fallback is left out."""
+    rows = spark.sql(f"{_SEED_ROWS} {{nation}} ORDER BY n_nationkey", nation=table(spark, sf, "nation")).collect()
+    head = "| # | Intent | Definition | Messages |\n|---|---|---|---|\n"
+    text = head + "".join(f"| {r[0] + 1} | `{r[1]}` | {r[2]} | 1 |\n" for r in rows) + "\n" + "".join(f'- `{r[1]}`: "{r[3]}"\n' for r in rows)
+    return discovery.support_intents(taxonomy.seed_taxonomy(spark, text))
+
+
+_MAPPED = "CASE WHEN text LIKE '%ank%' OR trim(text) = '' THEN 'junk' WHEN text LIKE '%laylist%' OR text LIKE '%songs%' THEN 'music' WHEN text LIKE '%log in%' THEN 'account' ELSE 'new' END"
+
+
+def _rule_labeler():
+    """A model that maps a cluster by its examples, at first in prose, then in fences."""
+
+    def model(prompt: str, system: str, temperature: float) -> tuple[str, str]:
+        said = prompt.split("nearest to its middle:\n")[1].split("\n\nCandidates")[0]
+        mapping = "junk" if "ank" in said or not said.replace("-", "").strip() else "music" if "laylist" in said or "songs" in said else "account" if "log in" in said else "new"
+        sound = "is not valid" in prompt or "e" not in said
+        return (f'```json\n{{"mapping": "{mapping}", "justification": "by rule"}}\n```' if sound else "I would say it is one of them"), "rule"
+
+    return model
+
+
+@entry(f"WITH {MESSAGES} SELECT text AS message, count(*) AS size, {_MAPPED} AS mapping FROM messages WHERE side = 'customer' GROUP BY text")
+def cluster_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Discovery over all customers' messages: as many clusters as there are different phrases, so each is a phrase; a model maps them by rule."""
+    m = C.projected(spark, sf, MESSAGES, "messages").where("side = 'customer'")
+    rows = m.select((F.col("conv_id") * 1000 + F.col("turn")).alias("interaction_id"), F.col("text").alias("message"))
+    seeds = spark.createDataFrame([(0, "music", "Something with songs or lists."), (1, "account", "Getting into the account."), (2, "other", "The rest.")], "ord int, intent_id string, definition string")
+    anchors = seeds.select("intent_id", F.col("definition").alias("message")).unionByName(seeds.select("intent_id", F.col("intent_id").alias("message")))
+    log = f"{stage_root(spark)}/threadmill/mappings-{uuid.uuid4().hex[:12]}"
+    found = discovery.discover(rows, anchors, seeds, vectors.hashing_embedder(64), _rule_labeler, log, k=rows.select("message").distinct().count(), restarts=3)
+    return found.select(F.col("examples")[0]["message"].alias("message"), "size", "mapping")
 
 
 @entry(f"{C._FINAL} SELECT interaction_id, 64 AS dim FROM final WHERE label = 'resolved'")
