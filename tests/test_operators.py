@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from threadmill.functions import text
 from threadmill.functions.contracts import ContractError
 from threadmill.operators import discovery, golden, inference, labels, metrics, resolution, sampling, stitch, vectors
+from threadmill.plans.staging import stage_table
 from threadmill.streaming import verdicts
 
 
@@ -75,6 +76,30 @@ def test_gates(spark):
             resolution.exact_join(rows, bad)
 
 
+def test_gates_are_observed_where_the_rows_are_written(spark, monkeypatch):
+    def own_job(*args):
+        raise AssertionError("a gate with a job of its own")
+
+    monkeypatch.setattr(resolution.contracts, "gate", own_job)
+    written = []
+    monkeypatch.setattr(resolution, "stage_table", lambda df, name: written.append(name) or stage_table(df, name))
+    rows = spark.createDataFrame([(i, i * 2, "x") for i in range(1, 9)], "interaction_id long, `a.b` int, note string")
+    put = lambda *x: spark.createDataFrame([(i, y) for i, y in x], "interaction_id long, label string")
+    rule = F.when(F.col("label") == "bad", "unknown label")
+    got = resolution.exact_join(rows, put(*[(i, "resolved") for i in range(1, 9)]), rule=rule)
+    assert got.columns == ["interaction_id", "a.b", "note", "label"] and sorted(tuple(r) for r in got.collect())[0] == (1, 2, "x", "resolved") and written == ["covered"]
+    for labels, said in (
+        ([(1, "bad"), (1, "bad")], r"2 labels that break their contract: 1"),
+        ([(3, "resolved"), (3, "resolved"), (2, "resolved")], r"1 duplicate labels: 3"),
+        ([(8, "resolved")], r"7 rows without a label: 1, 2, 3, 4, 5, …"),
+        ([(i, "resolved") for i in range(1, 11)], r"2 labels of unknown rows: 9, 10"),
+    ):
+        with pytest.raises(ContractError, match=said):
+            resolution.exact_join(rows, put(*labels), rule=rule)
+    with pytest.raises(ContractError, match="duplicate rows: 1, 2"):
+        resolution.exact_join(rows.unionByName(rows), put(*[(i, "resolved") for i in range(1, 9)]))
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0])], "interaction_id long, vector array<double>")
     assert [r.interaction_id for r in vectors.topk(v, [2.0, 0.0], 2).collect()] == [1, 2]

@@ -110,6 +110,36 @@ def test_commit_rolls_back(tmp_path):
         sinks.distinct_paths(a, tmp_path / "x/../a")
 
 
+def test_a_failing_task_leaves_the_old_file(spark, tmp_path):
+    out = tmp_path / "out.jsonl"
+    out.write_text("old\n")
+    rows = spark.range(50).selectExpr("id", "IF(id = 40, raise_error('broken row'), 'x') AS `a.b`")
+    with pytest.raises(Exception, match="broken row"):
+        sinks.commit([(sinks.stage_json_lines(rows, out, ["id"]), out)])
+    assert out.read_text() == "old\n" and [x.name for x in tmp_path.iterdir()] == ["out.jsonl"]
+    good = spark.range(50).repartition(7).selectExpr("50 - id AS id", "'x' AS `a.b`", "1 AS hidden")
+    sinks.commit([(sinks.stage_json_lines(good, out, ["id"], ["hidden"]), out)])
+    assert [json.loads(x) for x in out.read_text().splitlines()] == [{"id": i, "a.b": "x"} for i in range(1, 51)]
+    sinks.commit([(sinks.stage_json_lines(good.limit(0), out), out)])
+    assert out.read_text() == "" and [x.name for x in tmp_path.iterdir()] == ["out.jsonl"]
+
+
+def test_outputs_in_a_store_that_only_spark_opens(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.sinks.link./data", f"file://{tmp_path}")
+    a, b = "viewfs://sinks/data/a.jsonl", "viewfs://sinks/data/b.md"
+    sinks.commit([(sinks.stage_json_lines(spark.range(3), a, ["id"]), a), (sinks.stage_text("# é", b), b)])
+    assert (tmp_path / "a.jsonl").read_text() == '{"id":0}\n{"id":1}\n{"id":2}\n' and (tmp_path / "b.md").read_text() == "# é"
+    assert sinks.exists(a) and not sinks.exists(a + "x")
+
+    def fail_second(temp, target):
+        raise OSError("disk")
+
+    with pytest.raises(OSError):
+        sinks.commit([(sinks.stage_text("new", a), a)], fail_second)
+    assert (tmp_path / "a.jsonl").read_text().startswith('{"id":0}')
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.endswith(".crc")) == ["a.jsonl", "b.md"]
+
+
 def test_index(spark, tmp_path):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "interaction_id long, vector array<double>")
     records.write_index(v, str(tmp_path / "i"), "m", 2, 0.1)

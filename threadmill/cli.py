@@ -27,7 +27,7 @@ def _write(*outputs: tuple[DataFrame | str, str, list[str]]) -> None:
 
 
 def _records(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    if not Path(path).is_file():
+    if not sinks.exists(path):
         raise archive.SourceError(f"{path} does not exist")
     return records.read_records(spark, path, kind)
 

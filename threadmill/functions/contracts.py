@@ -144,14 +144,23 @@ class ContractError(ValueError):
 
 def gate(bad: DataFrame, what: str, key: str) -> None:
     """Raise with the number of rows and the five smallest keys, if there are any rows."""
-    first = bad.groupBy().agg(F.count("*").alias("n")).first()["n"]
+    refuse(bad.groupBy().agg(F.count("*").alias("n")).first()["n"], bad, what, key)
+
+
+def refuse(first: int, bad: DataFrame, what: str, key: str) -> None:
+    """Raise if a count of bad rows, observed where they passed, is not zero; only then they are read."""
     if first:
         keys = [r[0] for r in bad.select(key).orderBy(key).limit(5).collect()]
         raise ContractError(f"{first} {what}: {', '.join(map(str, keys))}{', …' if first > 5 else ''}")
 
 
+def duplicates(df: DataFrame, key: str) -> DataFrame:
+    """``key, n`` of keys that more than one row has."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def unique(df: DataFrame, key: str, what: str) -> None:
-    gate(df.groupBy(key).count().where("count > 1"), f"duplicate {what}", key)
+    gate(duplicates(df, key), f"duplicate {what}", key)
 
 
 def covers(labels: DataFrame, rows: DataFrame, key: str = "interaction_id") -> None:

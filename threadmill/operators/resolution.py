@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import contracts
 from ..functions import fixed_values as V
+from ..plans.staging import stage_table
 
 VERSION = 1
 
@@ -19,11 +20,28 @@ def unknown_labels(rows: DataFrame, labels: DataFrame, key: str = "interaction_i
     return labels.join(rows, key, "left_anti").select(key)
 
 
-def exact_join(rows: DataFrame, labels: DataFrame, key: str = "interaction_id") -> DataFrame:
-    """Inner join after the gates: no duplicates on either side, nothing missing, nothing unknown."""
-    contracts.unique(rows, key, "rows")
-    contracts.covers(labels, rows, key)
-    return rows.join(labels, key)
+def exact_join(rows: DataFrame, labels: DataFrame, key: str = "interaction_id", rule: Column | None = None) -> DataFrame:
+    """Inner join of rows and labels: no duplicates on either side, nothing missing, nothing unknown, no label for which ``rule`` names an error.
+
+    What is counted for this is observed in the one pass that writes the joined rows; ids are looked up only where a count is not zero.
+    """
+    others = lambda df: F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c != key])
+    broken = F.lit(0) if rule is None else F.count_if(rule.isNotNull())
+    left = rows.groupBy(key).agg(F.count("*").alias("_rows"), F.any_value(others(rows)).alias("_row"))
+    right = labels.groupBy(key).agg(F.count("*").alias("_labels"), broken.alias("_broken"), F.any_value(others(labels)).alias("_label"))
+    gates = [
+        ("labels that break their contract", F.coalesce("_broken", F.lit(0)), "_broken > 0"),
+        ("duplicate rows", (F.coalesce("_rows", F.lit(0)) > 1).cast("int"), "_rows > 1"),
+        ("duplicate labels", (F.coalesce("_labels", F.lit(0)) > 1).cast("int"), "_labels > 1"),
+        ("rows without a label", F.col("_labels").isNull().cast("int"), "_labels is null"),
+        ("labels of unknown rows", F.col("_rows").isNull().cast("int"), "_rows is null"),
+    ]
+    seen = Observation("coverage")
+    joined = left.join(right, key, "full_outer").observe(seen, *[F.sum(n).alias(f"g{i}") for i, (_, n, _) in enumerate(gates)])
+    joined = stage_table(joined, "covered")
+    for i, (what, _, where) in enumerate(gates):
+        contracts.refuse(seen.get[f"g{i}"] or 0, joined.where(where), what, key)
+    return joined.select(key, "_row.*", "_label.*").drop("_")
 
 
 def cache_join(work: DataFrame, log: DataFrame, key: str = "interaction_id", digest: str = "prompt_sha256") -> DataFrame:
@@ -55,8 +73,7 @@ def models_in_order(final: DataFrame, position: str) -> DataFrame:
 
 
 def build_dataset(final: DataFrame, interactions: DataFrame) -> DataFrame:
-    contracts.gate(final.where(contracts.final_label().isNotNull()), "labels that break their contract", "interaction_id")
-    return with_eligibility(exact_join(interactions, final))
+    return with_eligibility(exact_join(interactions, final, rule=contracts.final_label()))
 
 
 def with_eligibility(joined: DataFrame) -> DataFrame:

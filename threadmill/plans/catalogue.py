@@ -12,6 +12,7 @@ from ..functions import contracts, text
 from ..functions import fixed_values as V
 from ..operators import closure, golden, hybrid, labels, language, lexical, metrics, reconcile, resolution, sampling, stitch, vector_index, vectors
 from ..sources import records
+from ..streaming import verdicts
 from .fixture import BRAND, MESSAGES, TWEETS, quoted
 from .staging import stage_root
 
@@ -374,7 +375,7 @@ def coverage_unknown(spark: SparkSession, sf: str) -> DataFrame:
 
 @entry("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n")).where("n > 1")
+    return contracts.duplicates(table(spark, sf, "supplier"), "s_nationkey")
 
 
 # ---- logs and model replies
@@ -805,8 +806,8 @@ def policy_decision(spark: SparkSession, sf: str) -> DataFrame:
 @entry("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The windowed aggregation of the event stream, as a batch over the whole table."""
-    e = table(spark, sf, "events")
-    return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    made = verdicts.windowed_counts(table(spark, sf, "events"))
+    return made.select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @entry(f"""WITH {_UNIT}, {_BM25}, q AS (SELECT item_id AS asked_id, v, label FROM benchmark JOIN u ON vec_id = item_id),
