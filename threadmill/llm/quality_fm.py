@@ -6,8 +6,8 @@ text and the declared length. With weights w and low-rank factors V the score is
     w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)**2 - sum v_if**2 x_i**2]
 
 which takes time linear in the number of features. The model is fitted on the driver from a bounded sample of
-labelled rows (``SAMPLE`` rows, those with the smallest hash of their id); all documents are scored in place, without a
-shuffle.
+labelled rows (``SAMPLE`` rows, those with the smallest hash of their id, and of these so many that their features take up ``SAMPLE_BYTES``
+at most); all documents are scored in place, without a shuffle.
 
 Null and empty texts have no words and are scored from their statistics; null lengths count as the text's own
 length; repeated rows are scored alike; labels that are null are left out, and of several labels of an id the
@@ -21,12 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textblocks import LOWER, PlaceHash, Words, slices, sums_by
 
-SAMPLE = 12_000
+SAMPLE, SAMPLE_BYTES = 12_000, 256 << 20
 BITS, FACTORS = 15, 8
 _HASH = PlaceHash(11)
 
@@ -134,8 +135,8 @@ def _declared(rows: pa.RecordBatch) -> np.ndarray:
     return rows.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` rows of ``labels`` (``doc_id, label``) for which ``learn`` holds."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Fit on at most ``sample`` rows of ``labels`` (``doc_id, label``) for which ``learn`` holds, with ``sample_bytes`` of features at most."""
     known = labels.where(F.col("label").isNotNull() & learn).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -145,17 +146,22 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
             cut = np.cumsum(per) - per
             parts = [(index[a : a + n].astype(np.int32).tobytes(), value[a : a + n].tobytes()) for a, n in zip(cut, per, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(3), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())],
-                ["label", "words", "shares", "stats"],
+                [rows.column(0), rows.column(3), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())],
+                ["doc_id", "label", "words", "shares", "stats"],
             )
 
     # The sample is bounded by its parameter, so it may be broadcast.
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
     rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", F.col("label").cast("int").alias("label"))
     # One row of each id, that with the smallest digest of its text: an id may have any number of rows.
     one = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "n_chars", "label"), F.struct(F.xxhash64("text"), "text", "n_chars")).alias("r"))
     rows = one.select("doc_id", "r.text", "r.n_chars", "r.label")
-    got = rows.mapInArrow(extract, "label int, words binary, shares binary, stats binary").collect()
+    scratch = Scratch(docs.sparkSession, "quality")
+    made = scratch.put(rows.mapInArrow(extract, "doc_id long, label int, words binary, shares binary, stats binary"), "features")
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # of ``sample`` rows at most
+    small = made.select("doc_id", F.sum(F.length("words") + F.length("shares") + F.length("stats")).over(so_far).alias("size")).where(F.col("size") <= sample_bytes)
+    got = made.join(F.broadcast(small.select("doc_id")), "doc_id").collect()
+    scratch.drop()
     if not got:
         return None
     rows = [(np.frombuffer(r.words, np.int32), np.frombuffer(r.shares, np.float32), np.frombuffer(r.stats, np.float32)) for r in got]
