@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-ANCHORS, ROWS, CHUNK = 1024, 262_144, 4096
+ANCHORS, ROWS, CHUNK = 1024, 262_144, 4096  # a group has a chunk of rows at least
 #: Shares of the components after which a bound is taken.
 LEVELS = (0.25, 0.5)
 NO_ID = (1 << 63) - 1
@@ -244,7 +244,7 @@ def mine(
     turn = rotation(rows, width) if width else np.zeros((0, 0))
     cuts = sorted({max(1, int(width * share)) for share in LEVELS} | {width}) if width else []
     blocks = max(1, -(-asked // anchors_a_block))
-    groups = max(-(-n // rows_a_group), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    groups = max(-(-n // rows_a_group), min(-(-n // CHUNK), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)), 1)
     rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     anchors = rows.where("anchor").select("id", "key", "label", "v")
     none = F.lit(None).cast("array<long>")
