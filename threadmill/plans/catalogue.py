@@ -12,7 +12,7 @@ from ..functions import contracts, text
 from ..functions import fixed_values as V
 from ..operators import closure, golden, hybrid, labels, language, lexical, metrics, reconcile, resolution, sampling, stitch, vector_index, vectors
 from ..sources import records
-from ..streaming import verdicts
+from ..streaming import verdicts as streams
 from .fixture import BRAND, MESSAGES, TWEETS, quoted
 from .staging import stage_root
 
@@ -806,7 +806,7 @@ def policy_decision(spark: SparkSession, sf: str) -> DataFrame:
 @entry("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The windowed aggregation of the event stream, as a batch over the whole table."""
-    made = verdicts.windowed_counts(table(spark, sf, "events"))
+    made = streams.windowed_counts(table(spark, sf, "events"))
     return made.select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
