@@ -1,4 +1,4 @@
-"""Every query with SQL gives the rows that DuckDB gives, on the smallest tables."""
+"""Every entry with SQL gives the rows that DuckDB gives, on the smallest tables."""
 
 import os
 

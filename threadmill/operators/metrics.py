@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def hybrid(lexical: DataFrame, dense: DataFrame, weight: float = 0.5, boost: float = 0.1, k: int = 5) -> DataFrame:
-    """``asked_id, doc_id, score`` from two score tables (scaled by each query's best) and ``same_intent`` of the dense one."""
+    """``asked_id, doc_id, score`` from two score tables (scaled by the best of each asked text) and ``same_intent`` of the dense one."""
     best = lambda d: d.withColumn("score", F.coalesce(F.try_divide(F.col("score"), F.max("score").over(Window.partitionBy("asked_id"))), F.lit(0.0)))
     both = best(lexical).select("asked_id", "doc_id", F.col("score").alias("l")).join(best(dense).select("asked_id", "doc_id", F.col("score").alias("d"), "same_intent"), ["asked_id", "doc_id"], "full")
     score = weight * F.coalesce("l", F.lit(0.0)) + (1 - weight) * F.coalesce("d", F.lit(0.0)) + F.when(F.col("same_intent"), boost).otherwise(0.0)

@@ -14,7 +14,7 @@ from ..functions import fixed_values as V
 from ..plans.staging import stage_table
 from . import kmeans as clusters
 
-#: Bytes of queries and anchors up to which a side is broadcast; beyond, queries are taken in blocks.
+#: Asked vectors up to which they are broadcast; beyond, they are taken in blocks.
 BROADCAST_ROWS = 20_000
 
 
@@ -39,25 +39,25 @@ def check_vectors(rows: DataFrame, dim: int) -> DataFrame:
     return rows
 
 
-def topk(index: DataFrame, query: list[float], k: int = V.TOP_K, key: str = "interaction_id") -> DataFrame:
-    """``key, score`` of the best ``k`` by dot product; ties by key. An empty query has no result."""
+def topk(index: DataFrame, asked: list[float], k: int = V.TOP_K, key: str = "interaction_id") -> DataFrame:
+    """``key, score`` of the best ``k`` by dot product; ties by key. An empty vector has no result."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    if not query:
+    if not asked:
         return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    norm = sum(x * x for x in query) ** 0.5 or 1.0
-    q = F.array(*[F.lit(float(x) / norm) for x in query])
+    norm = sum(x * x for x in asked) ** 0.5 or 1.0
+    q = F.array(*[F.lit(float(x) / norm) for x in asked])
     return index.select(key, dot(F.col("vector"), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def topk_batch(index: DataFrame, queries: DataFrame, k: int = V.TOP_K, key: str = "interaction_id") -> DataFrame:
-    """``asked_id, key, score, rank`` for all queries, against the whole index, in blocks of ``BROADCAST_ROWS`` queries.
+def topk_batch(index: DataFrame, asked: DataFrame, k: int = V.TOP_K, key: str = "interaction_id") -> DataFrame:
+    """``asked_id, key, score, rank`` for all rows of ``asked``, against the whole index, in blocks of ``BROADCAST_ROWS`` of them.
 
     Each block keeps its best ``k`` per part of the index before anything is shuffled.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    numbered = stage_table(queries.select("asked_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("asked_id"), F.lit(1 << 20)).alias("_h")), "queries")
+    numbered = stage_table(asked.select("asked_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("asked_id"), F.lit(1 << 20)).alias("_h")), "asked")
     blocks = max(1, -(-numbered.count() // BROADCAST_ROWS))
     best = Window.partitionBy("asked_id", "_part").orderBy(F.desc("score"), key)
     final = Window.partitionBy("asked_id").orderBy(F.desc("score"), key)

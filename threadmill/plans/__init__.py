@@ -1 +1 @@
-"""Query catalogue and written intermediate tables."""
+"""Catalogue of entries and written intermediate tables."""

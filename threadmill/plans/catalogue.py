@@ -468,10 +468,10 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 @entry(f"""WITH {_UNIT}, s AS (SELECT q.vec_id AS asked_id, u.vec_id AS interaction_id, {_DOT.format(a="u.v", b="q.v")} AS score FROM u, u q WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY asked_id ORDER BY score DESC, interaction_id) AS rank FROM s) SELECT asked_id, interaction_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Queries are all rows whose id is divisible by 50."""
+    """Asked are all rows whose id is divisible by 50."""
     index = _vectors(spark, sf)
-    queries = index.where("interaction_id % 50 = 0").select(F.col("interaction_id").alias("asked_id"), "vector")
-    return vectors.topk_batch(index, queries).select("asked_id", "interaction_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    asked = index.where("interaction_id % 50 = 0").select(F.col("interaction_id").alias("asked_id"), "vector")
+    return vectors.topk_batch(index, asked).select("asked_id", "interaction_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _CENTER = f"""{_UNIT}, x AS (SELECT label, i, avg(v[i]) AS x FROM u, range(1, 65) t(i) GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY i) AS c FROM x GROUP BY 1),
