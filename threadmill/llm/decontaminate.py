@@ -79,10 +79,14 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
-    """``doc_id, item_id, similarity, start_word, words, hamming``: the best window of each document and item."""
+    """``doc_id, item_id, similarity, start_word, words, hamming``: the best window of each document and item.
+
+    The result reads tables of ``scratch``, a folder of its own where none is given.
+    """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
+    scratch = scratch or Scratch(spark, "decontaminate")
     own = items.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("h")).where(F.size("h") > 0)
     own = scratch.put(own.withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"]), "items")
     sizes = [r[0] for r in own.select(F.least(F.size("h"), F.lit(SHINGLE))).distinct().collect()]  # five values at most

@@ -44,10 +44,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
-    def drop(self, table: str) -> None:
-        """Delete a table that no later plan reads."""
+    def drop(self, table: str = "") -> None:
+        """Delete a table that no later plan reads, or without a name all tables."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
+        path = jvm.org.apache.hadoop.fs.Path(self.path(table) if table else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
