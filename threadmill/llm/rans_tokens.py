@@ -144,6 +144,7 @@ def _staged(docs: DataFrame, path: str, end_id: int, bounds: np.ndarray, id_col:
             if size > 1 << 20:
                 yield flush(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()  # a worker shares its executor's memory with others
         if held:
             yield flush(held)
 
