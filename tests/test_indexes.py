@@ -167,3 +167,24 @@ def test_all_restarts_in_one_pass(spark, points):
         by.setdefault(r.cluster_id, set()).add(r.interaction_id % 9)
     assert len(by) == 9 and all(len(v) == 1 for v in by.values())  # the clusters that the points were made in
     assert [r.cluster_id for r in vectors.kmeans(rows.limit(3), 1).collect()] == [0, 0, 0]
+
+
+@pytest.fixture
+def split(spark):
+    """Files are read in pieces smaller than their row groups, so that most tasks have no rows."""
+    names = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def unit_rows(spark, n=300, dim=16, seed=5):
+    rng = np.random.default_rng(seed)
+    return spark.createDataFrame([(i, rng.normal(size=dim).tolist()) for i in range(n)], "interaction_id long, vector array<double>").coalesce(1)
+
+
+def test_kmeans_where_tasks_have_no_rows(spark, split):
+    assert vectors.kmeans(unit_rows(spark), 4).select("cluster_id").distinct().count() == 4

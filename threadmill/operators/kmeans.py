@@ -53,6 +53,8 @@ def _round(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
                     one[np.arange(len(own)), cluster[:, r]] = 1
                     sums[r] += one.T @ own
         at = np.argwhere(n > 0)
+        if not len(at):  # a task without rows: Arrow cannot tell an empty column of lists
+            return
         yield pd.DataFrame({"run": at[:, 0].astype(np.int32), "cluster": at[:, 1].astype(np.int32), "n": n[n > 0], "cost": cost[n > 0], "sums": list(sums[n > 0])})
 
     parts = rows.select("vector").mapInPandas(run, _SUMS).select("run", "cluster", "n", "cost", F.posexplode("sums").alias("d", "x"))
