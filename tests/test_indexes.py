@@ -188,3 +188,11 @@ def unit_rows(spark, n=300, dim=16, seed=5):
 
 def test_kmeans_where_tasks_have_no_rows(spark, split):
     assert vectors.kmeans(unit_rows(spark), 4).select("cluster_id").distinct().count() == 4
+
+
+def test_vector_index_where_tasks_have_no_rows(spark, split, tmp_path):
+    rows = unit_rows(spark)
+    index = vector_index.build(rows, str(tmp_path), "m", rows_a_part=32)
+    got = vector_index.topk(index, rows.where("interaction_id < 3").withColumnRenamed("interaction_id", "asked_id"), 2)
+    assert sorted((r.asked_id, r.interaction_id) for r in got.where("rank = 1").collect()) == [(i, i) for i in range(3)]
+    assert got.count() == 6
