@@ -196,3 +196,31 @@ def test_vector_index_where_tasks_have_no_rows(spark, split, tmp_path):
     got = vector_index.topk(index, rows.where("interaction_id < 3").withColumnRenamed("interaction_id", "asked_id"), 2)
     assert sorted((r.asked_id, r.interaction_id) for r in got.where("rank = 1").collect()) == [(i, i) for i in range(3)]
     assert got.count() == 6
+
+
+def test_hybrid_where_tasks_have_no_rows(spark, split, tmp_path):
+    rows, docs = unit_rows(spark), texts(290)
+    words = lexical.build(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "words"), documents=16)
+    index = vector_index.build(rows, str(tmp_path / "vectors"), "m", rows_a_part=32)
+    asked = rows.where("interaction_id < 3").selectExpr("interaction_id AS asked_id", "'w7 w9' AS text", "vector", "1 AS intent")
+    out = hybrid.topk(words, index, asked, rows.selectExpr("interaction_id AS doc_id", "1 AS intent"), 2)[0]
+    assert out.count() == 6
+
+
+def test_topk_batch_by_chunks_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", 16)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 5).astype(float).tolist()) for i in range(90)]  # many equal scores
+    odd = [(90, None), (91, [1.0, None, 0.0, 0.0, 0.0]), (92, [2.0, 1.0]), (93, [0.0] * 5), (94, [float("nan")] + [0.0] * 4), (95, rows[0][1])]
+    asked = [(i, v) for i, v in rows[:20]] + [(i, v) for i, v in odd]
+    score = lambda a, b: None if a is None or b is None or len(a) != len(b) or None in a + b else sum(x * y for x, y in zip(a, b, strict=True))
+    want = []
+    for i, q in asked:
+        each = [(score(v, q), j) for j, v in rows + odd]
+        each = sorted(each, key=lambda x: (x[0] is None, -(math.inf if x[0] is None or math.isnan(x[0]) else x[0]), x[1]))[:4]
+        want += [(i, j, rank + 1, None if s is None or math.isnan(s) else s) for rank, (s, j) in enumerate(each)]
+    frame = lambda x, c: spark.createDataFrame(x, f"{c} long, vector array<double>").repartition(3)
+    out = vectors.topk_batch(frame(rows + odd, "interaction_id"), frame(asked, "asked_id"), 4)
+    got = [(r.asked_id, r.interaction_id, r.rank, None if r.score is None or math.isnan(r.score) else r.score) for r in out.collect()]
+    assert sorted(got, key=lambda x: x[:3]) == sorted(want, key=lambda x: x[:3])
+    assert "NestedLoop" not in spark._jvm.PythonSQLUtils.explainString(vectors.topk_batch(frame(rows, "interaction_id"), frame(rows, "asked_id"), 4)._jdf.queryExecution(), "simple")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from ..functions import fixed_values as V
 from ..plans.staging import stage_table
 from . import kmeans as clusters
 
-#: Asked vectors up to which they are broadcast; beyond, they are taken in blocks.
-BROADCAST_ROWS = 20_000
+#: Rows of the index and asked rows that a task compares at a time.
+CHUNK_ROWS = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,24 +52,62 @@ def topk(index: DataFrame, asked: list[float], k: int = V.TOP_K, key: str = "int
 
 
 def topk_batch(index: DataFrame, asked: DataFrame, k: int = V.TOP_K, key: str = "interaction_id") -> DataFrame:
-    """``asked_id, key, score, rank`` for all rows of ``asked``, against the whole index, in blocks of ``BROADCAST_ROWS`` of them.
+    """``asked_id, key, score, rank`` for all rows of ``asked``, against the whole index; ties by key, pairs without a score last.
 
-    Each block keeps its best ``k`` per part of the index before anything is shuffled.
+    Chunks of some ``CHUNK_ROWS`` rows of the index meet blocks of as many asked ones; a matrix product says which rows can be among the
+    best ``k`` of the chunk, whose scores are then summed component by component. A vector that is null or has a null has no score with
+    any, vectors of different lengths have none with each other.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    numbered = stage_table(asked.select("asked_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("asked_id"), F.lit(1 << 20)).alias("_h")), "asked")
-    blocks = max(1, -(-numbered.count() // BROADCAST_ROWS))
-    best = Window.partitionBy("asked_id", "_part").orderBy(F.desc("score"), key)
+    size = F.when(F.forall("vector", lambda x: x.isNotNull()), F.size("vector"))
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    numbered = stage_table(asked.select("asked_id", double("vector").alias("_q"), size.alias("_size")), "asked")
+    rows = stage_table(index.select(key, double("vector").alias("_v"), size.alias("_size")), "vectors")
+    blocks, chunks = (max(1, -(-d.count() // CHUNK_ROWS)) for d in (numbered, rows))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.where("_size is not null").select("_size", dealt(key, chunks).alias("_chunk"), every(blocks).alias("_block"), key, "_v")
+    right = numbered.where("_size is not null").select("_size", every(chunks).alias("_chunk"), dealt("asked_id", blocks).alias("_block"), "asked_id", "_q")
+    cell = ["_size", "_chunk", "_block"]
+    kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema, *numbered.schema]}
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"asked_id": [], key: [], "score": [], "_nan": []})
+        v, ids, q = np.stack(a["_v"].to_numpy()), a[key].to_numpy(), np.stack(b["_q"].to_numpy())
+        found = best_rows(v, ids, q, k)
+        score = np.concatenate([f[1] for f in found])
+        return pd.DataFrame({"asked_id": np.repeat(b["asked_id"].to_numpy(), min(k, len(v))), key: np.concatenate([f[0] for f in found]), "score": score, "_nan": np.isnan(score)})
+
+    pairs = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(best, f"asked_id {kinds['asked_id']}, {key} {kinds[key]}, score double, _nan boolean")
+    pairs = pairs.select("asked_id", key, F.when(F.col("_nan"), F.lit(float("nan"))).otherwise(F.col("score")).alias("score"))  # pandas hands NaN on as null
     final = Window.partitionBy("asked_id").orderBy(F.desc("score"), key)
-    parts = index.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64)))
-    out = None
-    for b in range(blocks):
-        block = numbered.where(F.col("_h") % blocks == b)
-        scored = parts.crossJoin(F.broadcast(block)).select("asked_id", key, "_part", dot(F.col("vector"), F.col("_q")).alias("score"))
-        own = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        own = own.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("asked_id", key, "score", "rank")
-        out = own if out is None else out.unionByName(own)
+    top = stage_table(pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k), "best")
+    few = numbered.select("asked_id").join(top.where(F.col("rank") == k).select("asked_id"), "asked_id", "left_anti")
+    if few.isEmpty():
+        return top
+    # These scored fewer than k rows, all of them; the rest of their rows has no score and comes by key.
+    rest = few.crossJoin(F.broadcast(rows.select(key).orderBy(key).limit(2 * k))).join(top.select("asked_id", key), ["asked_id", key], "left_anti")
+    filled = top.drop("rank").unionByName(rest.withColumn("score", F.lit(None).cast("double")))
+    return filled.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("asked_id", key, "score", "rank")
+
+
+def best_rows(v: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the best ``k`` rows for each asked vector; equal vectors score alike wherever they lie, and what is no number is greatest, as in SQL."""
+    out, size = [], np.sqrt((v**2).sum(axis=1)).max()
+    for at in range(0, len(asked), 256):
+        rough = asked[at : at + 256] @ v.T
+        rough[np.isnan(rough)] = np.inf
+        cuts = np.partition(rough, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(rough), -np.inf)
+        for q, own, cut in zip(asked[at : at + 256], rough, cuts, strict=True):
+            slack = 1e-12 * size * np.sqrt((q**2).sum())  # beyond the rounding of a product
+            some = np.flatnonzero(own >= cut - slack) if np.isfinite(slack) else np.arange(len(v))  # NaN or infinite components: all rows
+            score, near = np.zeros(len(some)), v[some]
+            for j in range(v.shape[1]):
+                score += near[:, j] * q[j]
+            first = np.lexsort((ids[some], -np.where(np.isnan(score), np.inf, score)))[:k]
+            out.append((ids[some][first], score[first]))
     return out
 
 
