@@ -61,6 +61,14 @@ def test_profiles(spark):
     assert {r.language for r in language.detect(asked, none).collect()} == {None} and language.scores(asked.limit(0), language.train(rows)).count() == 0
 
 
+def test_profiles_cut_each_word_once(spark):
+    rows = spark.createDataFrame([("A", "abc abc abc ab")] * 3, "language string, text string")
+    made = language.profiles(rows)
+    assert {r.gram: r.n for r in made.collect()} == {" ab": 12, "abc": 9, "bc ": 9, "ab ": 3}
+    plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "simple")
+    assert "word#" in plan  # words are counted before they are cut
+
+
 def test_learned_detector_on_held_out_texts(spark):
     sf = "/root/testdata/sf0.01"
     if not os.path.isdir(sf):

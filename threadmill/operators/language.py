@@ -41,12 +41,13 @@ def report(rows: DataFrame, language: str = "ENGLISH", column: str = "language")
 def profiles(rows: DataFrame, n: int = 3, size: int = 400, text: str = "text", column: str = "language") -> DataFrame:
     """``language, gram, n, share``: the ``size`` most frequent n-grams of each language's texts and their share among those.
 
-    Counted over all rows of a known language; as many rows come out as languages times ``size`` at most.
+    Counted over all rows of a known language, words first, so that each is cut once; as many rows come out as languages times ``size`` at most.
     """
-    padded = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    padded = F.filter(padded, lambda w: F.length(w) >= n)
-    grams = F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: w.substr(i, F.lit(n)))))
-    counted = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("language"), F.explode(grams).alias("gram")).groupBy("language", "gram").agg(F.count("*").alias("n"))
+    said = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)).alias("word")
+    words = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("language"), said).groupBy("language", "word").agg(F.count("*").alias("c"))
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: padded.substr(i, F.lit(n)))
+    counted = words.where(F.length(padded) >= n).select("language", "c", F.explode(grams).alias("gram")).groupBy("language", "gram").agg(F.sum("c").alias("n"))
     own = Window.partitionBy("language")
     top = counted.withColumn("rn", F.row_number().over(own.orderBy(F.desc("n"), "gram"))).where(F.col("rn") <= size).drop("rn")
     return top.withColumn("share", F.col("n") / F.sum("n").over(own))
