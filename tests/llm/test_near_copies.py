@@ -158,3 +158,18 @@ def test_clean_and_short_texts_stay(spark, tmp_path):
     out = stage(spark, tmp_path / "d", rows)
     assert sorted(out, key=str) == sorted((rows[i] for i in brute(rows)), key=str)
     assert {1000, 1001, 1002} <= {r[0] for r in out} and len([1 for r in out if not (r[1] or "").split()]) == 1
+
+
+def test_simhash_blocks_name_candidates(spark):
+    """Fingerprints within 3 bits are linked by their blocks, whatever bands their texts have; equal ones, too."""
+    from threadmill.llm import near_copies
+    from threadmill.llm.components import connected_components
+    from threadmill.llm.scratch import Scratch
+
+    fp = 0x123456789ABCDEF
+    rows = [(1, fp), (2, fp), (3, fp ^ 0b1000000000100001), (4, fp ^ (0b11111 << 20)), (5, ~fp)]
+    nodes = spark.createDataFrame(rows, "node long, fp long")
+    scratch = Scratch(spark, "test")
+    links = scratch.put(near_copies.simhash_links(nodes, scratch), "links")
+    roots = {r.node: r.root for r in connected_components(links, scratch).collect()}
+    assert set(roots) == {1, 2, 3} and len(set(roots.values())) == 1

@@ -4,8 +4,8 @@ Texts are compared by their sets of five-word shingles (words as in ``textblocks
 if the shared shingles are at least 0.8 of all shingles of both. Texts of fewer words than a shingle are linked only
 to texts of the same words. Words and shingles are compared by 64 bits of hash, whole word sequences by 128 bits.
 
-SimHash fingerprints of such pairs differ in some 9.5 of 64 bits, too many for pigeonhole blocks. So the blocks on which candidates meet are bands of
-``ROWS`` least hashes instead: of ``BANDS`` bands a pair of similarity s shares one with a probability of 1 - (1 - s**8)**24 (0.988 at 0.8), whatever
+Texts whose SimHash fingerprints differ in 3 bits at most are candidates by the block keys of operator 10. At a similarity of 0.8 fingerprints
+differ in some 9.5 of 64 bits, too many for such blocks alone; so texts meet on bands of ``ROWS`` least hashes, too: of ``BANDS`` bands a pair of similarity s shares one with a probability of 1 - (1 - s**8)**24 (0.988 at 0.8), whatever
 the edit was. Texts that share a band and whose fingerprints of the same shingles are within ``LOOSE`` bits are candidates.
 Texts that such links connect form a candidate group; inside it all pairs are compared on the whole sets, so a pair is missed only
 if no chain of candidates joins it. Groups are compared in units of bounded size (pairs of chunks). In a group of several chunks the text nearest
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .simhash_dedup import in_units, linked
+from .simhash_dedup import in_units, linked, near_links
 from .textblocks import PlaceHash, Words, bit_counts, column_bytes, mix64, slices
 
 SHINGLE = 5
@@ -118,6 +118,16 @@ def candidate_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return in_units(buckets, ["fp", "other", "node"], scratch).mapInArrow(linked(LOOSE), "a long, b long").distinct()
 
 
+def simhash_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links ``a, b`` that connect all nodes (``node, fp``) whose fingerprints differ in 3 bits at most, by the block keys of operator 10."""
+    first = scratch.put(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = scratch.put(near_links(first.select("fp"), scratch).distinct(), "near-fingerprints")
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return equal.unionByName(near)
+
+
 def _forest(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places ``(child, parent)`` of a spanning forest of a symmetric table of links."""
     left, child, parent = np.ones(len(alike), bool), [], []
@@ -254,7 +264,8 @@ def gone(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n", "fp", "bands")
     nodes = rows.groupBy("d0", "d1").agg(F.min(rank).alias("r"))
     nodes = scratch.put(nodes.select(F.col("r.row_key").alias("node"), "r.none", "r.doc_id", "r.n", "r.fp", "r.bands"), "nodes")
-    links = scratch.put(candidate_links(nodes.where("n > 0"), scratch), "candidate-links")
+    some = nodes.where("n > 0")
+    links = scratch.put(simhash_links(some, scratch).unionByName(candidate_links(some, scratch)), "candidate-links")
     roots = scratch.put(connected_components(links, scratch), "candidate-groups")
     members = roots.join(nodes.select("node", "n", "fp"), "node").select("root", "node", "n", "fp")
     sure = verified(members, texts.select(F.col("row_key").alias("node"), "text"), scratch)
