@@ -102,3 +102,23 @@ def test_agreement(spark):
     pairs = spark.createDataFrame([("a", "a")] * 4 + [("a", "b")] + [("b", "b")] * 3 + [("b", "a")] * 2, "judge string, human string")
     r = metrics.agreement(pairs).first()
     assert (r.n, round(r.agreement, 6), round(r.kappa, 6)) == (10, 0.7, 0.4)
+
+
+def test_texts_are_scored_where_they_lie(spark):
+    taught = [("FRENCH", "le chat est sur la table"), ("GERMAN", "die katze sitzt auf dem tisch"), ("GERMAN", "der hund")]
+    model = language.train(spark.createDataFrame(taught, "language string, text string"))
+    asked = [(1, "le Chat, le chat @x https://t.co/y"), (2, "hund"), (3, "12"), (4, None), (5, "z"), (2, "le")]
+    made = language.scores(spark.createDataFrame(asked, "interaction_id long, message string").repartition(3), model)
+    gain = {(r.language, r.gram): r.gain for r in model.grams.collect()}
+    floor = {(r.language, r.n): r.floor for r in model.floors.collect()}
+
+    def score(name, word):
+        grams = [*word, *(f" {word} "[i : i + n] for n in range(2, 6) for i in range(len(word) + 3 - n))]
+        return sum(floor[name, len(g)] + gain.get((name, g), 0.0) for g in grams) / 5
+
+    words = {1: ["le", "chat", "le", "chat"], 2: ["hund", "le"], 5: ["z"]}
+    want = {(i, name): sum(score(name, w) for w in said) for i, said in words.items() for name in ("FRENCH", "GERMAN")}
+    got = {(r.interaction_id, r.language): r.score for r in made.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    plan = spark._jvm.PythonSQLUtils.explainString(made.select("*")._jdf.queryExecution(), "simple")
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1  # words do not meet the scores by a shuffle

@@ -1,15 +1,18 @@
 """Keeping one language: a detector by n-grams on opening texts, the keep rule, and the breakdown.
 
 The detector is a likelihood: Spark counts the 1- to 5-grams of the words of labelled texts, the most frequent of each language and order become a
-table of smoothed log-probabilities, and a text's score in a language is the sum over the n-grams of its words, averaged over the orders. Words
-are scored once each; texts then add up the scores of their words. A language is named if its posterior probability leads that of
-the next one by ``MIN_LANGUAGE_DISTANCE``, so texts of few letters, or none, have no signal. Any number of languages; all of it are expressions.
+table of smoothed log-probabilities, and a text's score in a language is the sum over the n-grams of its words, averaged over the orders. A batch's
+distinct words are scored once each, in the task that reads the texts; these then add up the scores of their words. A language is named if its posterior probability leads that of
+the next one by ``MIN_LANGUAGE_DISTANCE``, so texts of few letters, or none, have no signal. Any number of languages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,20 +94,57 @@ def train(rows: DataFrame, text: str = "text", column: str = "language", size: i
     return Model(top, floors, sorted(r[0] for r in floors.select("language").distinct().collect()))
 
 
-def word_scores(words: DataFrame, model: Model) -> DataFrame:
-    """``word`` and a column ``s0, s1, ...`` for each language: the word's log-likelihood, averaged over the orders."""
-    grams = stage_table(words.select("word").distinct().select("word", F.inline(_grams(F.col("word")))), "word-grams")
-    sized = grams.groupBy("word", "n").agg(F.count("*").alias("c")).join(model.floors, "n").select("word", "language", (F.col("c") * F.col("floor")).alias("x"))
-    gained = grams.join(model.grams, ["n", "gram"]).select("word", "language", F.col("gain").alias("x"))
-    each = [F.sum(F.when(F.col("language") == name, F.col("x") / ORDERS).otherwise(0.0)).alias(f"s{i}") for i, name in enumerate(model.languages)]
-    return stage_table(sized.unionByName(gained).groupBy("word").agg(*each), "word-scores")
-
-
 def _summed(rows: DataFrame, model: Model, text: str, key: str) -> DataFrame:
-    """``key, words, s0, s1, ...``; of a text without letters the sums are null."""
-    words = rows.select(key, F.explode_outer(words_of(F.col(text))).alias("word"))
-    scored = words.join(word_scores(words.where("word is not null"), model), "word", "left")
-    return scored.groupBy(key).agg(F.count("word").alias("words"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(model.languages))])
+    """``key, words, s0, s1, ...``: the log-likelihoods of a text's words, averaged over the orders; of a text without letters they are null.
+
+    The model (languages times ``ORDERS`` times ``SIZE`` n-grams at most) goes to every task, which scores each distinct word of a batch once where it
+    lies; only the sums of each text are shuffled.
+    """
+    wide = len(model.languages)
+    lang = {name: i for i, name in enumerate(model.languages)}
+    floors = np.zeros((ORDERS, wide))
+    for r in model.floors.collect():
+        floors[r["n"] - 1, lang[r["language"]]] = r["floor"]
+    grams = model.grams.select("language", "gram", "gain").collect()  # an n-gram's length is its order
+    place = {g: i for i, g in enumerate(dict.fromkeys(r["gram"] for r in grams))}
+    gains = np.zeros((len(place), wide))
+    for r in grams:
+        gains[place[r["gram"]], lang[r["language"]]] = r["gain"]
+
+    def scored(words: list[str]) -> np.ndarray:
+        found, of = [], []
+        for i, word in enumerate(words):
+            padded = f" {word} "
+            own = [*word, *(padded[j : j + n] for n in range(2, ORDERS + 1) for j in range(len(padded) - n + 1))]
+            got = [place[g] for g in own if g in place]
+            found += got
+            of += [i] * len(got)
+        long = np.array([len(w) for w in words], np.int64)[:, None]
+        many = np.maximum(long + np.array([0, *(3 - n for n in range(2, ORDERS + 1))]), 0)
+        known = gains[np.array(found, np.int64)]
+        return (many @ floors + np.stack([np.bincount(np.array(of, np.int64), known[:, i], len(words)) for i in range(wide)], axis=1)) / ORDERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            said = b.column(1)
+            count = said.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = said.flatten().dictionary_encode()
+            each, words = scored(coded.dictionary.to_pylist()) if wide else np.zeros((len(coded.dictionary), 0)), coded.indices.to_numpy()
+            ends, sums = np.concatenate([[0], np.cumsum(count)]), np.zeros((len(count), wide))
+            for at in range(0, len(count), 256):
+                own = count[at : at + 256]
+                of, part = np.repeat(np.arange(len(own)), own), words[ends[at] : ends[at + len(own)]]
+                for i in range(wide):
+                    sums[at : at + 256, i] = np.bincount(of, each[part, i], len(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), *(pa.array(sums[:, i], mask=count == 0) for i in range(wide))], names)
+
+    columns = [f"s{i}" for i in range(wide)]
+    names = [key, "words", *columns]
+    said = rows.select(key, words_of(F.col(text)).alias("_words"))
+    each = said.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, words long" + "".join(f", {c} double" for c in columns))
+    return each.groupBy(key).agg(F.sum("words").alias("words"), *[F.sum(c).alias(c) for c in columns])
 
 
 def scores(rows: DataFrame, model: Model, text: str = "message", key: str = "interaction_id") -> DataFrame:
