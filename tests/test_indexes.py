@@ -224,3 +224,24 @@ def test_topk_batch_by_chunks_is_that_of_all_pairs(spark, monkeypatch):
     got = [(r.asked_id, r.interaction_id, r.rank, None if r.score is None or math.isnan(r.score) else r.score) for r in out.collect()]
     assert sorted(got, key=lambda x: x[:3]) == sorted(want, key=lambda x: x[:3])
     assert "NestedLoop" not in spark._jvm.PythonSQLUtils.explainString(vectors.topk_batch(frame(rows, "interaction_id"), frame(rows, "asked_id"), 4)._jdf.queryExecution(), "simple")
+
+
+def test_scored_ranges_hand_on_their_best(spark, index, corpus):
+    asked = spark.createDataFrame([(i, "w1 w2 w7") for i in range(40)], "asked_id long, text string")
+    terms = lexical.weighted(index, asked)
+    pairs = lexical.bounds(index, terms).select("asked_id", "range")
+    made = lexical._scored(index, terms, pairs, 2)
+    assert made.count() <= 3 * pairs.count()  # not every document of a range, for each entry
+    want = bm25(corpus, [(0, "w1 w2 w7")], 5)[0]
+    some = spark.createDataFrame([(q, d) for q in (3, 4) for _, d in want] + [(5, -1)], "asked_id long, doc_id long")
+    got = sorted((r.asked_id, round(-r.score, 9), r.doc_id) for r in lexical.scores_of(index, terms, some).collect())
+    assert got == sorted((q, s, d) for q in (3, 4) for s, d in want)
+
+
+def test_slots_of_entries_find_the_same(spark, index, corpus, monkeypatch):
+    monkeypatch.setattr(lexical, "SLOT", 3)
+    asked = batch(4)
+    got = {}
+    for r in lexical.topk(index, spark.createDataFrame(asked, "asked_id long, text string"), 3).collect():
+        got.setdefault(r.asked_id, []).append((round(-r.score, 9), r.doc_id))
+    assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in bm25(corpus, asked, 3).items() if v}

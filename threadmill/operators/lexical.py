@@ -14,6 +14,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ DOCUMENTS, WORDS, STEPS = 1024, 1 << 20, 4
 LISTED = 2000
 #: Ranges that each entry scores before any is ruled out.
 FIRST = 3
+#: Asked entries that a range scores in one group, in the mean.
+SLOT = 4096
 _SLACK = 1e-7
 
 
@@ -118,12 +122,48 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(_order(k))).where(F.col("rank") <= k)
 
 
-def _scored(index: LexicalIndex, terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``asked_id, doc_id, score`` of all documents of the ranges of ``pairs`` (``asked_id, range``)."""
-    wanted = pairs.select("asked_id", "range").join(terms, "asked_id")
-    blocks = _read(index, terms).select("range", "term", "entries").join(wanted, ["range", "term"])
-    each = blocks.select("asked_id", "range", "idf", "entries").repartition("asked_id", "range").select("asked_id", "range", "idf", F.inline("entries"))
-    return each.groupBy("asked_id", "range", "doc_id").agg(F.sum(F.col("idf") * F.col("impact")).alias("score")).drop("range")
+def _met(index: LexicalIndex, terms: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``asked_id, doc_id, score`` for ``wanted`` (``asked_id, range, docs``): of the documents ``docs``, or of the range's best ``k`` where that is null.
+
+    The blocks of a range go to one place once, however many entries ask for them; the entries come in slots of some ``SLOT`` to a range. Documents
+    that rounding may rank among the best ``k`` come along.
+    """
+    own = stage_table(terms.groupBy("asked_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs")), "asked-words")
+    slots = max(1, -(-own.count() // SLOT))
+    asked = wanted.join(own, "asked_id").withColumn("slot", F.pmod(F.xxhash64("asked_id"), F.lit(slots)).cast("int"))
+    blocks = _read(index, terms).join(terms.select("term").distinct(), "term", "left_semi").join(wanted.select("range").distinct(), "range", "left_semi")
+    blocks = blocks.select("range", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "term", F.col("entries.doc_id").alias("ids"), F.col("entries.impact").alias("impacts"))
+
+    def score(blocks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        asked_ids, ids, scores = [], [], []
+        if len(blocks) and len(asked):
+            place = {t: i for i, t in enumerate(blocks["term"])}
+            ends = np.cumsum([len(x) for x in blocks["ids"]])
+            docs, at = np.unique(np.concatenate(blocks["ids"].to_list()), return_inverse=True)
+            at, impacts = np.split(at, ends[:-1]), blocks["impacts"].to_list()
+            for asked_id, words, idfs, chosen in zip(asked["asked_id"], asked["terms"], asked["idfs"], asked["docs"], strict=True):
+                own = np.zeros(len(docs))
+                for i, idf in sorted((place[w], idf) for w, idf in zip(words, idfs, strict=True) if w in place):
+                    own[at[i]] += idf * impacts[i]
+                some = np.flatnonzero(own) if chosen is None else np.flatnonzero(np.isin(docs, chosen) & (own != 0))
+                if chosen is None and len(some) > k:
+                    some = some[own[some] >= np.partition(own[some], len(some) - k)[len(some) - k] - 2e-9]
+                    some = some[np.lexsort((docs[some], own[some]))]
+                    first = np.concatenate([[0], np.flatnonzero(np.diff(own[some])) + 1])  # of equal scores, the least ids
+                    some = some[np.arange(len(some)) - np.repeat(first, np.diff(np.append(first, len(some)))) < k]
+                asked_ids += [asked_id] * len(some)
+                ids += docs[some].tolist()
+                scores += own[some].tolist()
+        return pd.DataFrame({"asked_id": asked_ids, "doc_id": ids, "score": scores})
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*own.schema, *index.places().schema]}
+    both = blocks.groupBy("range", "slot").cogroup(asked.groupBy("range", "slot"))
+    return both.applyInPandas(score, f"asked_id {kinds['asked_id']}, doc_id {kinds['doc_id']}, score double")
+
+
+def _scored(index: LexicalIndex, terms: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """``asked_id, doc_id, score`` of the best ``k`` documents of each of the ranges of ``pairs`` (``asked_id, range``)."""
+    return _met(index, terms, pairs.select("asked_id", "range", F.lit(None).cast("array<long>").alias("docs")), k)
 
 
 def topk(index: LexicalIndex, asked: DataFrame, k: int = 5) -> DataFrame:
@@ -138,18 +178,15 @@ def searched(index: LexicalIndex, terms: DataFrame, k: int) -> tuple[DataFrame,
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     every = stage_table(every.withColumns({"first": (before < 2 * k) | (F.row_number().over(order) <= FIRST)}), "bounds")
     first = every.where("first")
-    found = stage_table(_best(_scored(index, terms, first), k), "found")
+    found = stage_table(_best(_scored(index, terms, first, k), k), "found")
     least = found.where(F.col("rank") == k).select("asked_id", F.col("score").alias("least"))
     rest = every.where("NOT first").join(least, "asked_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _SLACK))
     rest = stage_table(rest.select("asked_id", "range"), "rest")
-    more = _best(_scored(index, terms, rest), k)
+    more = _best(_scored(index, terms, rest, k), k)
     return _best(found.drop("rank").unionByName(more.drop("rank")), k), first.select("asked_id", "range").unionByName(rest)
 
 
 def scores_of(index: LexicalIndex, terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``asked_id, doc_id, score`` of given pairs with a common word; only the blocks of their ranges are read into a join."""
+    """``asked_id, doc_id, score`` of given pairs with a common word; only the blocks of their ranges are shuffled."""
     placed = stage_table(pairs.select("asked_id", "doc_id").distinct().join(index.places(), "doc_id"), "pairs")
-    wanted = placed.select("asked_id", "range").distinct().join(terms, "asked_id")
-    blocks = _read(index, terms).select("range", "term", "entries").join(wanted, ["range", "term"])
-    each = blocks.select("asked_id", "idf", F.inline("entries")).join(placed.select("asked_id", "doc_id"), ["asked_id", "doc_id"])
-    return each.groupBy("asked_id", "doc_id").agg(F.sum(F.col("idf") * F.col("impact")).alias("score"))
+    return _met(index, terms, placed.groupBy("asked_id", "range").agg(F.collect_list("doc_id").alias("docs")), 0)
