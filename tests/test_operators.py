@@ -282,6 +282,19 @@ def test_baselines(spark):
     assert all(r.prediction == r._y for r in got)
 
 
+def test_baseline_cuts_texts_once(spark):
+    times = spark.sparkContext.accumulator(0)
+
+    def said(text):
+        times.add(1)
+        return text
+
+    train = spark.createDataFrame([(f"song {i}", "play") for i in range(8)] + [(f"card {i}", "bill") for i in range(8)], "message string, intent string")
+    model = metrics.tfidf_baseline(train.withColumn("message", F.udf(said, "string")("message")), features=64)
+    assert times.value == 16
+    assert all(r.prediction == r._y for r in model.transform(train).select("prediction", "_y").collect())
+
+
 def test_stream_keeps_latest(spark, tmp_path):
     schema = "k long, v string, seq long"
     for rows in [[(1, "a", 1), (2, "b", 2)], [(1, "c", 3)], [(2, "old", 0), (3, "d", 4)]]:

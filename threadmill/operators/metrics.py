@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage_table
+
 
 def hybrid(lexical: DataFrame, dense: DataFrame, weight: float = 0.5, boost: float = 0.1, k: int = 5) -> DataFrame:
     """``asked_id, doc_id, score`` from two score tables (scaled by the best of each asked text) and ``same_intent`` of the dense one."""
@@ -79,15 +81,14 @@ def majority(train: DataFrame, label: str = "intent") -> DataFrame:
 
 
 def tfidf_baseline(train: DataFrame, text: str = "message", label: str = "intent", features: int = 1 << 14) -> PipelineModel:
-    """A TF-IDF and logistic-regression model."""
-    steps = [
-        StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep"),
-        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_x"),
-        LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=30),
-    ]
-    return Pipeline(stages=steps).fit(train)
+    """A TF-IDF and logistic-regression model; texts are cut into words once, for both fits."""
+    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep").fit(train)
+    words = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}]+")
+    counts = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features)
+    counted = stage_table(counts.transform(words.transform(index.transform(train))).select("_y", "_tf"), "term-counts")
+    idf = IDF(inputCol="_tf", outputCol="_x").fit(counted)
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=30).fit(idf.transform(counted))
+    return PipelineModel(stages=[index, words, counts, idf, model])
 
 
 def case_format(dataset: DataFrame, intents: DataFrame) -> DataFrame:
