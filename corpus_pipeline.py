@@ -51,8 +51,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     scratch = Scratch(spark, "contaminated")
     own = keyed(scratch, docs)
     work = Scratch(spark, "decontaminate")
-    found = decontaminate.contaminated(own.select("row_key", "row.text"), items, id_col="row_key", scratch=work)
-    found = scratch.put(found.select(F.col("doc_id").alias("row_key")).distinct(), "found")
+    found = scratch.put(decontaminate.contaminated_ids(own.select("row_key", "row.text"), items, "row_key", work), "found")
     work.drop()
     return own.join(found, "row_key", "left_anti").select("row.*")
 

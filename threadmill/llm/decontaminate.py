@@ -23,6 +23,7 @@ empty table on either side nothing is reported; further columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 SHINGLE, BLOCKS, BITS = 5, 8, 8
+#: Digests of a document's id and text.
+KEY = ["doc", "digest"]
 #: Shingles of all items, or documents with windows, up to which they are broadcast (about 64 MB); beyond, the join is a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -70,30 +73,25 @@ def _block(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, BITS * k).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
 
 
-def contaminated(
-    docs: DataFrame,
-    items: DataFrame,
-    similarity: float = 0.8,
-    radius: int = 24,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    scratch: Scratch | None = None,
-) -> DataFrame:
-    """``doc_id, item_id, similarity, start_word, words, hamming``: the best window of each document and item.
+@dataclass
+class Found:
+    """The windows that pass the exact test, and what names their documents and items again."""
 
-    The result reads tables of ``scratch``, a folder of its own where none is given.
-    """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "decontaminate")
+    sure: DataFrame  # KEY, words, start, item, similarity, hamming
+    hashed: DataFrame  # doc_id, KEY, text
+    windows: DataFrame  # doc_id, KEY, words, start
+    items: DataFrame  # item, item_id, words
+
+
+def _found(docs: DataFrame, items: DataFrame, similarity: float, radius: int, id_col: str, text_col: str, item_col: str, item_text_col: str, scratch: Scratch) -> Found | None:
+    """None if there are no items."""
     own = items.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("h")).where(F.size("h") > 0)
     own = scratch.put(own.withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"]), "items")
     sizes = [r[0] for r in own.select(F.least(F.size("h"), F.lit(SHINGLE))).distinct().collect()]  # five values at most
     by_size = own.select("item", F.least(F.size("h"), F.lit(SHINGLE)).alias("size"), F.size("h").alias("words"), "h")
     parts = [by_size.where(F.col("size") == n).select("item", "size", "words", F.posexplode(shingles(F.col("h"), n)).alias("q", "sh")) for n in sizes]
     if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, words int, hamming int")
+        return None
     places = parts[0]
     for p in parts[1:]:
         places = places.unionByName(p)
@@ -111,7 +109,7 @@ def contaminated(
     totals = scratch.put(totals.select("item", "size", "words", "item_total", _fingerprint(F.col("item_total")).alias("item_fp")), "totals")
 
     # Anchors: places of documents whose shingle some item has too; once, however many items have it.
-    key = ["doc", "digest"]
+    key = KEY
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("doc"), F.xxhash64(F.lit(1), text_col).alias("digest"), F.col(text_col).alias("text"))
     small = places.count() <= BROADCAST_ROWS
     fit = F.broadcast if small else (lambda x: x)
@@ -170,12 +168,47 @@ def contaminated(
     shared = shared.groupBy(*window, "item").agg(F.sum(F.col("weight") * F.least("n", "item_n")).alias("shared"))
     alike = F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))
     sure = met.join(shared, [*window, "item"]).withColumn("similarity", alike).where(F.col("similarity") >= similarity)
-    best = sure.groupBy(*key, "item").agg(F.max_by(F.struct("similarity", "start", "hamming"), F.struct("similarity", -F.col("start"))).alias("w"))
     named = own.select("item", "item_id", F.size("h").alias("words"))
-    ids = by_shingle.select("doc_id", *key, "words", F.col("start").alias("some_start"))
-    first = ids.groupBy("doc_id", *key, "words").agg(F.min("some_start").alias("some_start"), F.count("*").alias("rows"), F.count_distinct("some_start").alias("starts"))
+    return Found(sure, hashed, by_shingle.select("doc_id", *window), named)
+
+
+def contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    similarity: float = 0.8,
+    radius: int = 24,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """``doc_id, item_id, similarity, start_word, words, hamming``: the best window of each document and item.
+
+    The result reads tables of ``scratch``, a folder of its own where none is given.
+    """
+    spark = docs.sparkSession
+    found = _found(docs, items, similarity, radius, id_col, text_col, item_col, item_text_col, scratch or Scratch(spark, "decontaminate"))
+    if found is None:
+        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, words int, hamming int")
+    best = found.sure.groupBy(*KEY, "item").agg(F.max_by(F.struct("similarity", "start", "hamming"), F.struct("similarity", -F.col("start"))).alias("w"))
+    ids = found.windows.withColumnRenamed("start", "some_start")
+    first = ids.groupBy("doc_id", *KEY, "words").agg(F.min("some_start").alias("some_start"), F.count("*").alias("rows"), F.count_distinct("some_start").alias("starts"))
     times = F.explode(F.sequence(F.lit(1), (F.col("rows") / F.col("starts")).cast("int")))
-    out = best.join(named, "item").join(first, [*key, "words"])
+    out = best.join(found.items, "item").join(first, [*KEY, "words"])
     return out.select(
         "doc_id", "item_id", F.col("w.similarity").alias("similarity"), F.col("w.start").alias("start_word"), "words", F.col("w.hamming").alias("hamming"), times.alias("copy")
     ).drop("copy")
+
+
+def contaminated_ids(docs: DataFrame, items: DataFrame, id_col: str, scratch: Scratch, similarity: float = 0.8, radius: int = 24) -> DataFrame:
+    """``id_col`` of each row that ``contaminated`` reports with any item, once a row. The result reads tables of ``scratch``.
+
+    Neither the best windows nor how often rows repeat are asked for, so windows are not laid a second time.
+    """
+    found = _found(docs, items, similarity, radius, id_col, "text", "item_id", "text", scratch)
+    if found is None:
+        return docs.select(id_col).where(F.lit(False))
+    keys = scratch.put(found.sure.select(*KEY).distinct(), "sure")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    return found.hashed.join(keys, KEY, "left_semi").select(F.col("doc_id").alias(id_col))

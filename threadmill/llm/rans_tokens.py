@@ -127,7 +127,7 @@ def _staged(docs: DataFrame, path: str, end_id: int, bounds: np.ndarray, id_col:
         rows: tuple[list, list, list] = ([], [], [])
         for part in np.split(order, cut[1:]):
             own = np.concatenate([ids[at[i] : at[i] + count[i]] for i in part])
-            raw = struct.pack("<I", len(part)) + doc[part].astype("<i8").tobytes() + count[part].astype("<u4").tobytes() + own.tobytes()
+            raw = struct.pack("<IB", len(part), own.itemsize) + doc[part].astype("<i8").tobytes() + count[part].astype("<u4").tobytes() + own.tobytes()
             for column, v in zip(rows, (int(bucket[part[0]]), len(own), zstandard.compress(raw, 1)), strict=True):
                 column.append(v)
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["bucket", "n", "ids"])
@@ -152,17 +152,18 @@ def _staged(docs: DataFrame, path: str, end_id: int, bounds: np.ndarray, id_col:
     return rows.mapInArrow(run, "bucket int, n long, ids binary")
 
 
-def _unpack(blob: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.decompress(blob)
-    n = struct.unpack_from("<I", raw)[0]
-    return np.frombuffer(raw, "<i8", n, 4), np.frombuffer(raw, "<u4", n, 4 + 8 * n).astype(np.int64), np.frombuffer(raw[4 + 12 * n :], "<u4" if wide else "<u2")
+    n, width = struct.unpack_from("<IB", raw)  # documents, bytes of an id
+    at = 5
+    return np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<u4", n, at + 8 * n).astype(np.int64), np.frombuffer(raw[at + 12 * n :], f"<u{width}")
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all documents and write ``folder/blocks`` and ``folder/table``.
 
     Documents are dealt to ranges of ids (quantiles, about 24 MB of input each), so blocks ascend by range. What goes
-    to the driver is one count per symbol of the vocabulary and one per range.
+    to the driver is one count per symbol of the vocabulary and one per range; it does not open the tokenizer.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
@@ -170,13 +171,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0]
     bounds = np.unique(np.array(cuts or [], np.int64)) if n > 1 else np.zeros(0, np.int64)
     staged = scratch.put(_staged(docs, tokenizer, end_id, bounds, id_col, text_col), "staged")
-    wide = encoder(tokenizer).size > 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for blob in batch.column(0):
-                c = np.bincount(_unpack(blob.as_py(), wide)[2])
+                c = np.bincount(_unpack(blob.as_py())[2])
                 total = np.pad(total, (0, max(0, len(c) - len(total))))
                 total[: len(c)] += c
         s = np.flatnonzero(total)
@@ -199,7 +199,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         runs: dict[int, list] = {}
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                runs.setdefault(bucket, []).append(_unpack(blob.as_py(), wide))
+                runs.setdefault(bucket, []).append(_unpack(blob.as_py()))
         for bucket in sorted(runs):
             doc, cnt, ids = (np.concatenate([r[i] for r in runs[bucket]]) for i in range(3))
             at = np.cumsum(cnt) - cnt
