@@ -195,6 +195,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         done = pa.Table.from_batches(held).combine_chunks()
         yield from links(*[done.column(i).to_numpy() for i in range(3)], done.column(3).combine_chunks())
+        del done, held
+    pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
 
 def _links(units: DataFrame) -> DataFrame:

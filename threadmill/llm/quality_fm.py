@@ -149,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
                 [rows.column(0), rows.column(3), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())],
                 ["doc_id", "label", "words", "shares", "stats"],
             )
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     # The sample is bounded by its parameter, so it may be broadcast.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
@@ -177,5 +178,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for rows, data, offs in slices(batches):
             y = np.zeros(rows.num_rows) if model is None else model.margin(*_features(data, offs, _declared(rows)))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(y, -30, 30))), pa.float64())], ["row", "score"])
+        pa.default_memory_pool().release_unused()
 
     return used.mapInArrow(run, used.select("row").schema.add("score", "double"))

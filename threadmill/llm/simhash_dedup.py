@@ -115,6 +115,8 @@ def linked(radius: int, loose: int = 64):
                 held = [c[done:] for c in held]
         if held is not None and len(held[0]):
             yield links(*held)
+        held = batch = now = None
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     return run
 
